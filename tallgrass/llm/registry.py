@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import quality_rules
+from tallgrass.llm import bpe, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op6_simhash_vptree": simhash.op6_simhash_vptree,
+        "op7_byte_bpe": bpe.op7_byte_bpe,
     }
 
 
