@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import bpe, quality_rules, simhash
+from tallgrass.llm import bpe, nbsvm, quality_rules, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op5_subsequence_toxicity": toxicity.op5_subsequence_toxicity,
         "op6_simhash_vptree": simhash.op6_simhash_vptree,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op10_nbsvm_quality": nbsvm.op10_nbsvm_quality,
     }
 
 
