@@ -2,18 +2,20 @@
 
 The kernel compares the character subsequences of length four that span at most
 six characters of two words, each gap costing a factor, normalised by the words'
-own lengths in that space.  Letters are folded to 27 classes, common digit
-look-alikes to letters; punctuation inside a word is passed over and letters
-spelled apart are put together, so an insult with characters put in between still
-shares most of its subsequences.
+own lengths in that space; a word's beginning counts as a character, so that stems
+differ from endings.  Letters are folded to 29 classes, common digit look-alikes to
+letters; punctuation inside a word is passed over and letters spelled apart are put
+together, so an insult with characters put in between still shares most of its
+subsequences.
 
 Landmarks are words of labelled sentences; the machine is linear in the Nyström
 features K(x, L) K(L, L)^(-1/2).  As the kernel is an inner product of explicit
 subsequence counts, the fitted decision function is one weight for each
 subsequence: sum over landmarks of beta_l phi_u(l).  That table (a fixed 4 MB) is
 the whole machine, so every word of every text is scored exactly, in one pass
-without a shuffle.  A sentence's margin, and a text's, is that of its worst word;
-the text's is calibrated on labelled documents.
+without a shuffle.  A text's probability is a logistic function of its worst word,
+of the number and sum of its words on the toxic side and of its length, fitted on
+labelled documents.
 
 Labels come from the learnable fold only; ``PER_CLASS`` documents of each class
 and ``SENTENCES`` sentences of each class bound the fit.
@@ -35,33 +37,40 @@ from pyspark.sql import functions as F
 
 from tallgrass.llm import labels as lab
 from tallgrass.llm import textbatch as tb
-from tallgrass.llm.linear import hinge_dcd, platt, sigmoid
+from tallgrass.llm.linear import hinge_dcd, logistic, sigmoid
 from tallgrass.llm.nbsvm import score_rows
+from tallgrass.llm.shared import Table
 
-PER_CLASS, SENTENCES, LANDMARKS, ROUNDS = 2_500, 5_000, 128, 3
+PER_CLASS, SENTENCES, LANDMARKS, ROUNDS = 2_500, 5_000, 128, 2
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: Added to a word's squared length, so that a word of one subsequence counts less.
 SHORT = 0.25
-#: Words that mark a sentence of a toxic document as the toxic one: found in so many
-#: toxic documents of the sample, and so many times likelier there.
-SEED_DOCS, SEED_ODDS, SEED_WORDS = 4, 8.0, 64
+#: Stems that mark a sentence of a toxic document as a toxic one: the beginnings of
+#: words, of so many letters, in so many distinct sentences of toxic documents, and so
+#: many times likelier there; at most so many of them.
+STEM_LETTERS, SEED_SENTENCES, SEED_ODDS, SEED_STEMS = range(3, 11), 6, 12.0, 64
 
 PATTERNS = [(0, *c) for c in combinations(range(1, SPAN), ORDER - 1)]
 GAPS = [DECAY ** (c[-1] - ORDER + 1) for c in PATTERNS]
 TABLE = 1 << (5 * ORDER)
-_SPACE, _DROP = 27, 255
+_OTHER, _SPACE, _DROP = 28, 30, 255
 _FOLD = np.full(256, _DROP, np.uint8)
 _FOLD[97:123] = np.arange(26)
 _FOLD[65:91] = np.arange(26)
-_FOLD[0xC0:] = 26  # one class for letters outside ASCII
+_FOLD[0xC4:] = _OTHER
 for _digit, _letter in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}.items():
     _FOLD[ord(_digit)] = ord(_letter) - 97
 _FOLD[tb.WHITE] = _SPACE
+_LATIN = np.full(256, _OTHER, np.uint8)  # second bytes of U+00C0..U+00FF
+_LATIN[[0x89, 0xA9]] = 26
+_LATIN[[0x8A, 0xAA]] = 27
 
 
 def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letter classes of all texts, spaces around each; and where each text begins."""
     codes = _FOLD[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+    codes[latin] = _LATIN[data[latin]]
     keep = codes != _DROP
     count = tb.per_text(keep, offsets)
     n = len(count)
@@ -88,31 +97,31 @@ def subsequences(codes: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
 
 def phi(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, value) of each subsequence of a word, divided by the word's length in that space."""
-    padded = np.concatenate([word, np.full(SPAN, _SPACE, np.uint8)])
-    index = np.concatenate([subsequences(padded, p) for p in PATTERNS]).astype(np.int64)
-    value = np.repeat(GAPS, len(padded) - SPAN)
-    letters = np.ones(len(index), bool)
-    for k in range(ORDER):
-        letters &= (index >> (5 * k)) & 31 < _SPACE
-    index, value = index[letters], value[letters]
-    return index, value / np.sqrt(SHORT + float(value @ value))
+    padded = np.concatenate([[_SPACE], word, [_SPACE] * SPAN]).astype(np.uint8)
+    n = len(padded) - SPAN
+    index = [subsequences(padded, p)[: max(0, n - p[-1])] for p in PATTERNS]
+    value = np.repeat(GAPS, [len(x) for x in index])
+    return np.concatenate(index).astype(np.int64), value / np.sqrt(SHORT + float(value @ value))
+
+
+#: What a text's probability is made of.
+N_FEATURES = 5
 
 
 @dataclass
 class Model:
     table: np.ndarray
-    slope: float
-    offset: float
+    theta: np.ndarray
 
     def word_margins(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, decision value) of each word."""
+        """(position of the space before it, decision value) of each word."""
         letter = codes < _SPACE
         n = len(codes) - SPAN
-        starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+        starts = np.flatnonzero(letter[1:] & ~letter[:-1])
         if not len(starts):
             return starts, np.empty(0)
         own, square = np.zeros(n, np.float32), np.zeros(n, np.float32)
-        inside = [letter[:n]]  # inside[k]: the k characters after this one are of the same word
+        inside = [np.ones(n, bool)]  # inside[k]: the k characters after this one are letters
         for k in range(1, SPAN):
             inside.append(inside[-1] & letter[k : k + n])
         for pattern, gap in zip(PATTERNS, GAPS, strict=True):
@@ -121,23 +130,28 @@ class Model:
             square += whole * np.float32(gap)
         return starts, np.add.reduceat(own, starts) / np.sqrt(np.float32(SHORT) + np.add.reduceat(square, starts))
 
-    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The worst word of each text, at least zero."""
+    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row for each text: worst word, logs of the sum and number of toxic words and of all words, toxic share."""
         codes, begins = fold(data, offsets)
-        out = np.zeros(len(begins))
+        n = len(begins)
         starts, values = self.word_margins(codes)
-        np.maximum.at(out, np.searchsorted(begins, starts, "right") - 1, values)
-        return out
+        text = np.searchsorted(begins, starts + 1, "right") - 1
+        worst = np.zeros(n)
+        np.maximum.at(worst, text, values)
+        hit = values > 0.25
+        count, all_ = np.bincount(text[hit], minlength=n), np.bincount(text, minlength=n)
+        total = np.bincount(text[hit], np.minimum(values[hit], 2), n)
+        return np.stack([worst, np.log1p(total), np.log1p(count), np.log1p(all_), np.log1p(200 * total / np.maximum(all_, 20))], 1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return sigmoid(self.slope * self.margins(data, offsets) + self.offset)
+        return sigmoid(self.features(data, offsets) @ self.theta[:-1] + self.theta[-1])
 
 
-def _words(texts: list[str]) -> list[tuple[bytes, ...]]:
+def _words(texts: list[str]) -> list[list[bytes]]:
     """The folded words of each text that hold a subsequence."""
     codes, begins = fold(*tb.flatten(pa.array(texts, pa.string())))
     stops = np.append(begins[1:], len(codes))
-    return [tuple(w for w in codes[a:b].tobytes().split(bytes([_SPACE])) if len(w) >= ORDER) for a, b in zip(begins, stops)]
+    return [[w for w in codes[a:b].tobytes().split(bytes([_SPACE])) if len(w) >= ORDER - 1] for a, b in zip(begins, stops)]
 
 
 class Landmarks:
@@ -171,22 +185,22 @@ class Landmarks:
 
 def _machine(z: list[np.ndarray], y: list[int], weight: list[float]) -> np.ndarray:
     columns = np.arange(len(z[0]))
-    return hinge_dcd([(columns, row) for row in z], np.array(y), len(columns), np.array(weight), 40)
+    return hinge_dcd([(columns, row) for row in z], np.array(y), len(columns), np.array(weight), 25)
 
 
 def fit(toxic: list[str], clean: list[str], marks: list[str], seed: int = 5) -> np.ndarray:
-    """Subsequence weights from labelled sentences; ``marks`` are the words that made sentences toxic ones.
+    """Subsequence weights from labelled sentences; ``marks`` are the stems that made sentences toxic ones.
 
-    A toxic sentence stands for its marking words, a clean one for any of its words;
+    A toxic sentence stands for its words of such a stem, a clean one for any of its words;
     after each fit, a clean sentence also gives the word that the machine finds worst,
     and the worst of those become landmarks.
     """
     rng = np.random.default_rng(seed)
-    marking = {w for words in _words(marks) for w in words}
+    marking = tuple(w for words in _words(marks) for w in words)
     positive: dict[bytes, int] = {}
     for words in _words(toxic):
         for w in words:
-            if w in marking:
+            if w.startswith(marking):
                 positive[w] = positive.get(w, 0) + 1
     whole = [words for words in _words(clean) if words]
     drawn = sorted({words[int(rng.integers(len(words)))] for words in whole} - positive.keys())
@@ -203,7 +217,7 @@ def fit(toxic: list[str], clean: list[str], marks: list[str], seed: int = 5) ->
             break
         every = sorted({w for words in whole for w in words} - seen.keys())
         codes = np.frombuffer(bytes([_SPACE]) + bytes([_SPACE]).join(every) + bytes([_SPACE]) * SPAN, np.uint8)
-        worst = dict(zip(every, Model(table, 1.0, 0.0).word_margins(codes)[1].tolist()))
+        worst = dict(zip(every, Model(table, np.zeros(N_FEATURES + 1)).word_margins(codes)[1].tolist()))
         new = {max(words, key=lambda w: worst.get(w, -1.0)) for words in whole}
         new = sorted((w for w in new if worst.get(w, -1.0) > -0.5), key=lambda w: (-worst[w], w))
         if not new:
@@ -214,36 +228,57 @@ def fit(toxic: list[str], clean: list[str], marks: list[str], seed: int = 5) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, sentences: int = SENTENCES) -> Model:
-    from tallgrass.llm.shared import Table
-
     table = Table(lab.sampled_documents(docs, lab.sample(labels, label_col, per_class)), "toxicity")
     rows = table.df
     n = {r[0]: r[1] for r in rows.groupBy("label").agg(F.count("*")).collect()}
     if not n.get(0) or not n.get(1):
         share = n.get(1, 0) / max(1, sum(n.values())) if n else 0.5
-        return Model(np.zeros(TABLE, np.float32), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    words = rows.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("length(word) BETWEEN 4 AND 24")
-    counts = words.groupBy("word").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
-    odds = (F.col("n1") + 0.5) / n[1] / ((F.col("n0") + 0.5) / n[0])
-    marks = [r[0] for r in counts.where(F.col("n1") >= SEED_DOCS).where(odds >= SEED_ODDS).where(F.col("n0") * 20 <= F.col("n1")).orderBy(odds.desc(), "word").limit(SEED_WORDS).collect()]
-    split = rows.select("doc_id", "label", F.explode(F.split("text", r"[.!?\n]")).alias("sentence")).where("length(sentence) BETWEEN 8 AND 400")
-    hit = F.arrays_overlap(F.split(F.lower("sentence"), r"[^\p{L}]+"), F.array(*map(F.lit, marks))) if marks else F.lit(False)
+        return Model(np.zeros(TABLE, np.float32), np.append(np.zeros(N_FEATURES), np.log((share + 1e-6) / (1 - share + 1e-6))))
+    # A copied text brings its sentences again; only distinct ones count as evidence.
+    split = Table(rows.select("label", F.explode(F.split("text", r"[.!?\n]")).alias("sentence")).where("length(sentence) BETWEEN 8 AND 400").distinct(), "sentences")
+    total = {r[0]: r[1] for r in split.df.groupBy("label").agg(F.count("*")).collect()}
+    words = F.array_distinct(F.split(F.lower("sentence"), r"[^\p{L}]+"))
+    word = split.df.select("label", "sentence", F.explode(words).alias("word"))
+    stems = F.explode(F.array_distinct(F.array(*(F.substring("word", 1, k) for k in STEM_LETTERS))))
+    each = word.select("label", "sentence", stems.alias("stem")).where(F.length("stem") >= STEM_LETTERS[0]).distinct()
+    counts = each.groupBy("stem").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    odds = (F.col("n1") + 0.5) / max(1, total.get(1, 0)) / ((F.col("n0") + 0.5) / max(1, total.get(0, 0)))
+    found = counts.where(F.col("n1") >= SEED_SENTENCES).where(odds >= SEED_ODDS).orderBy((F.col("n1") * F.log(odds)).desc(), "stem").limit(SEED_STEMS).collect()
+    marks = [r["stem"] for r in found]
+    hit = F.exists(words, lambda w: F.array_contains(F.array(*map(F.lit, marks)), w) | _any([w.startswith(m) for m in marks])) if marks else F.lit(False)
 
     def take(part: DataFrame) -> list[str]:
-        return [r[0] for r in part.select("sentence").distinct().orderBy(F.xxhash64("sentence"), "sentence").limit(sentences).collect()]
+        return [r[0] for r in part.select("sentence").orderBy(F.xxhash64("sentence"), "sentence").limit(sentences).collect()]
 
-    toxic, clean = take(split.where("label = 1").where(hit)), take(split.where("label = 0").where(~hit))
-    model = Model(fit(toxic, clean, marks) if toxic and clean else np.zeros(TABLE, np.float32), 1.0, 0.0)
+    toxic, clean = take(split.df.where("label = 1").where(hit)), take(split.df.where("label = 0").where(~hit))
+    split.drop()
+    model = Model(fit(toxic, clean, marks) if toxic and clean else np.zeros(TABLE, np.float32), np.zeros(N_FEATURES + 1))
 
-    def margins(batches):
+    def describe(batches):
         for batch in batches:
             for part in tb.slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(model.margins(*tb.flatten(part.column(1))).astype(np.float64))], ["doc_id", "label", "margin"])
+                f = model.features(*tb.flatten(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c.astype(np.float64)) for c in f.T)], ["doc_id", "label", *(f"f{k}" for k in range(N_FEATURES))])
 
-    found = sorted(map(tuple, rows.select("doc_id", "text", "label").mapInArrow(margins, "doc_id long, label int, margin double").collect()))
+    schema = "doc_id long, label int, " + ", ".join(f"f{k} double" for k in range(N_FEATURES))
+    known = np.array(sorted(map(tuple, rows.select("doc_id", "text", "label").mapInArrow(describe, schema).collect())), float)
     table.drop()
-    slope, offset = platt(np.array([f[2] for f in found]), np.array([f[1] for f in found]))
-    return Model(model.table, slope, offset)
+    share = _prior(labels, label_col)
+    weight = np.where(known[:, 1] > 0, share / max(1, n[1]), (1 - share) / max(1, n[0])) * len(known)
+    return Model(model.table, logistic(known[:, 2:], known[:, 1], weight))
+
+
+def _any(conditions):
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def _prior(labels: DataFrame, label_col: str) -> float:
+    """Share of label 1 among all learnable rows; the sample is balanced, the probability is not."""
+    row = labels.where(~lab.held_out(F.col("doc_id"))).where(F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()
+    return float(row[0])
 
 
 def op5_subsequence_toxicity(spark, sf_dir: str) -> DataFrame:
