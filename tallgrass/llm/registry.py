@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import bpe, nbsvm, quality_rules, simhash, toxicity
+from tallgrass.llm import bpe, nbsvm, pii, quality_rules, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_subsequence_toxicity": toxicity.op5_subsequence_toxicity,
         "op6_simhash_vptree": simhash.op6_simhash_vptree,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_bilstm_crf_pii": pii.op8_bilstm_crf_pii,
         "op10_nbsvm_quality": nbsvm.op10_nbsvm_quality,
     }
 
