@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import bpe, nbsvm, pii, quality_rules, simhash, toxicity
+from tallgrass.llm import bpe, nbsvm, pii, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_simhash_vptree": simhash.op6_simhash_vptree,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_bilstm_crf_pii": pii.op8_bilstm_crf_pii,
+        "op9_bucket_pointer_dedup": suffix_dedup.op9_bucket_pointer_dedup,
         "op10_nbsvm_quality": nbsvm.op10_nbsvm_quality,
     }
 
