@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import bpe, nbsvm, pii, quality_rules, simhash, suffix_dedup, toxicity
+from tallgrass.llm import bpe, decontaminate, nbsvm, pii, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_subsequence_toxicity": toxicity.op5_subsequence_toxicity,
         "op6_simhash_vptree": simhash.op6_simhash_vptree,
