@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import bpe, decontaminate, nbsvm, pii, quality_rules, simhash, suffix_dedup, toxicity
+from tallgrass.llm import bpe, decontaminate, line_templates, nbsvm, pii, quality_rules, secrets, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
+        "op2_line_templates": line_templates.op2_line_templates,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_markov_secrets": secrets.op4_markov_secrets,
         "op5_subsequence_toxicity": toxicity.op5_subsequence_toxicity,
         "op6_simhash_vptree": simhash.op6_simhash_vptree,
         "op7_byte_bpe": bpe.op7_byte_bpe,
