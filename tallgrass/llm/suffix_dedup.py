@@ -9,7 +9,9 @@ the whole corpus; they are bucketed and only what shares a bucket is refined.
    form one row: (bucket, hash of all bytes that the row's strings cover, place).
    There is about one row for 39 bytes, and equal strings always share a bucket.
 2. Rows of a bucket with equal covered bytes: all but the first are repeats through
-   and through.  A bucket whose rows are all equal needs no more.
+   and through.  A bucket whose rows are all equal needs no more.  Rows of some
+   10 MB of text are combined before the shuffle: only their first meets its bucket,
+   the others are known as repeats and are dealt out evenly.
 3. The other first rows get their bytes from their documents and are refined, bucket
    by bucket: suffixes start in buckets of 4-byte grams, and a bucket is sorted on
    the bucket pointers of the suffixes 4, 8, 16, 32 and 36 bytes on, each pass
@@ -40,8 +42,8 @@ from tallgrass.llm.shared import Table
 
 LENGTH, GRAM = 100, 24
 #: Different rows from which a bucket is dealt out by its strings, bytes refined at
-#: once, and the piece of a giant text that is bucketed at once.
-HOT_ROWS, REFINE_BYTES, PIECE = 20_000, 2 << 20, 4 << 20
+#: once, the piece of a giant text that is bucketed at once, and rows combined at once.
+HOT_ROWS, REFINE_BYTES, PIECE, COMBINED_ROWS = 20_000, 2 << 20, 4 << 20, 1 << 18
 _NO_ID = -(1 << 63)
 
 
@@ -168,8 +170,34 @@ def _with_seq(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return Table(base.withColumn("seq", F.row_number().over(Window.partitionBy("doc").orderBy("text"))).select("doc", "seq", "text"), "rows").df
 
 
+def known_repeats(bucket: np.ndarray, covered: np.ndarray, place: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which rows equal a row of these that starts earlier; ``place`` is ordered by its first array."""
+    out = np.zeros(len(covered), bool)
+    by = np.argsort(covered)
+    same = covered[by[1:]] == covered[by[:-1]]
+    if same.any():
+        use = np.zeros(len(by), bool)
+        use[1:] = same
+        use[:-1] |= same
+        own = by[use]
+        own = own[np.lexsort((*(p[own] for p in reversed(place)), bucket[own], covered[own]))]
+        out[own[1:]] = (covered[own[1:]] == covered[own[:-1]]) & (bucket[own[1:]] == bucket[own[:-1]])
+    return out
+
+
 def _bucket_rows(docs: DataFrame) -> DataFrame:
+    """The rows of all texts; a ``held`` one is a repeat of an earlier row combined with it and has a bucket of its own."""
+
+    names = ["bucket", "covered", "doc", "seq", "lo", "n", "held"]
+
+    def combine(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        bucket, covered, doc, seq, lo, count = map(np.concatenate, zip(*rows))
+        held = known_repeats(bucket, covered, (doc, seq, lo))
+        bucket = np.where(held, tb.mix(doc.view(np.uint64) ^ tb.mix(lo.astype(np.uint64))), bucket)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket.view(np.int64), covered.view(np.int64), doc, seq, lo, count, held)], names)
+
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
             for part in tb.slices(batch, 2):
                 data, offsets = tb.flatten(part.column(2))
@@ -177,19 +205,25 @@ def _bucket_rows(docs: DataFrame) -> DataFrame:
                 for shift, lo, piece, ends in _pieces(data, offsets):
                     text, start, count, bucket, covered = initial_buckets(piece, ends)
                     text = text + shift
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(covered.view(np.int64)), pa.array(doc[text]), pa.array(seq[text].astype(np.int32)), pa.array((start + lo).astype(np.int32)), pa.array(count.astype(np.int32))], ["bucket", "covered", "doc", "seq", "lo", "n"])
+                    rows.append((bucket, covered, doc[text], seq[text].astype(np.int32), (start + lo).astype(np.int32), count.astype(np.int32)))
+                    size += len(text)
+                    if size >= COMBINED_ROWS:
+                        yield combine(rows)
+                        rows, size = [], 0
+        if rows:
+            yield combine(rows)
 
-    return docs.mapInArrow(run, "bucket long, covered long, doc long, seq int, lo int, n int")
+    return docs.mapInArrow(run, "bucket long, covered long, doc long, seq int, lo int, n int, held boolean")
 
 
 def _shared_rows(rows: DataFrame) -> DataFrame:
     """Rows that repeat an earlier one whole (state 0), and first rows of buckets with different ones (1, or 2 if hot)."""
-    in_order = Window.partitionBy("bucket").orderBy("covered", "doc", "seq", "lo")
+    in_order = Window.partitionBy("bucket", "held").orderBy("covered", "doc", "seq", "lo")
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = rows.withColumns({"before": F.lag("covered").over(in_order), "least": F.first("covered").over(whole), "most": F.last("covered").over(whole), "rows": F.count(F.lit(1)).over(whole)})
-    again = F.coalesce(F.col("before") == F.col("covered"), F.lit(False))
+    again = F.col("held") | F.coalesce(F.col("before") == F.col("covered"), F.lit(False))
     state = F.when(again, 0).when(F.col("rows") > HOT_ROWS, 2).otherwise(1)
-    return seen.where("rows > 1").where(again | (F.col("least") != F.col("most"))).select("bucket", "doc", "seq", "lo", "n", state.alias("state"))
+    return seen.where("held OR rows > 1").where(again | (F.col("least") != F.col("most"))).select("bucket", "doc", "seq", "lo", "n", state.alias("state"))
 
 
 def _contexts(batches):
