@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and a character-level BiLSTM-CRF that adds spans.
 
 The tagger is trained in numpy on labelled spans: windows of a bounded sample of
-documents, labelled by the patterns, some with the leading country code of a
-phone number taken away so that the tagger learns more than the patterns know.
+documents, labelled by the patterns.  Half the spans are written another way first
+(a phone number without its country code, spaces about an ``@``, dots in a card
+number) and unrelated numbers are put between them, so that the tagger learns more
+than the patterns know.
 
 Tagging: a span has to hold a digit or an ``@`` and may reach ``REACH`` characters
 beyond the nearest one, so only stretches around such characters have any other
 reading than 'no personal data' and only they are run through the network, in
 overlapping windows.  Each character takes its scores from the window in which it
 is most central, and one Viterbi pass over the whole stretch reconciles the
-windows.  Pattern spans stay; a tagged span is added where it overlaps none.
+windows.  Pattern spans stay; a tagged span is added where it overlaps none, its
+lowest CRF marginal is at least ``CONFIDENCE`` and it can be a datum of its kind.
 
 Defined results: a null text counts as empty (no spans); repeated rows each get
 a row; an empty table gives an empty result and an untrained tagger adds nothing;
@@ -30,10 +33,12 @@ from tallgrass.llm import textbatch as tb
 from tallgrass.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents the labelled windows come from, windows used, and their length.
-SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_WINDOW, STEPS = 4_000, 900, 64, 180
+#: Documents the labelled windows come from, windows used with spans and as many without, their length.
+SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_WINDOW, STEPS = 4_000, 1_200, 64, 500
+#: Writings of each labelled span.
+WRITINGS = 4
 WINDOW, STRIDE, REACH = 96, 48, 40
-CONFIDENCE = 0.95
+CONFIDENCE = 0.9
 
 _AT = re.compile(r"@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -102,18 +107,45 @@ def symbols(text: str) -> np.ndarray:
     return np.where(points < 0x80, _CODE[np.minimum(points, 0x7F)], 20).astype(np.int8)
 
 
+#: Shapes of numbers that are nobody's data: dates, times, amounts, versions, references.
+OTHER_NUMBERS = ("9999-99-99", "99/99/9999", "99.99.9999", "99:99:99", "9,999,999", "9999.99", "v9.99.9", "99999", "999-9999", "#999999", "9999 9999", "999 999 999 999", "99 999 999", "999-9-99-999999-9", "999999-99999")
+
+
+def other_writing(kind: int, found: str, rng: np.random.Generator) -> str:
+    """The same datum as the patterns do not read it: a phone number without country code, spaces about an ``@``, dots in a card number."""
+    if kind == 0:
+        return found.replace("@", (" @ ", "@ ", " @")[rng.integers(3)])
+    if kind == 2:
+        digits = re.sub("[^0-9]", "", found)
+        return (".", "  ")[rng.integers(2)].join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    groups = re.findall("[0-9]+", re.sub(r"^\+[0-9]{1,3}(?=[^0-9])", "", found))
+    rest = ("-", ".", " ", " ", "-")[shape := int(rng.integers(5))].join(groups[shape >= 3 :])
+    return f"({groups[0]}) {rest}" if shape >= 3 else rest
+
+
+def varied(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with some spans in another writing and an unrelated number between them, and its spans."""
+    edits = []
+    for k, (s, kind, e) in enumerate(spans):
+        apart = (k == 0 or spans[k - 1][2] <= s) and (k + 1 == len(spans) or e <= spans[k + 1][0])
+        if kind != 1 and apart and rng.random() < 0.5:
+            edits.append((s, e, other_writing(kind, text[s:e], rng)))
+    gap = text.find(" ", int(rng.integers(len(text)))) if text else -1
+    if gap >= 0 and not any(s - 1 <= gap <= e for s, _, e in spans):
+        number = re.sub("9", lambda _: str(rng.integers(10)), OTHER_NUMBERS[rng.integers(len(OTHER_NUMBERS))])
+        edits.append((gap, gap, f" {number}"))
+    out, at, shift, moved = [], 0, 0, {}
+    for s, e, new in sorted(edits):
+        out += [text[at:s], new]
+        at, moved[s] = e, (s + shift, s + shift + len(new))
+        shift += len(new) - (e - s)
+    shifted = lambda x: x + sum(len(new) - (e - s) for s, e, new in edits if s < x)
+    return "".join([*out, text[at:]]), [(moved.get(s, (shifted(s),))[0], kind, moved[s][1] if s in moved else shifted(e)) for s, kind, e in spans]
+
+
 def labelled_windows(text: str, rng: np.random.Generator, most: int = 4) -> list[tuple[bytes, bytes]]:
     """(symbols, tags) of windows about pattern spans, and one about other digits if there are any."""
-    spans = base_spans(text)
-    cut = None
-    for k, (s, kind, e) in enumerate(spans):
-        if kind == 3 and rng.random() < 0.4 and (m := re.match(r"\+[0-9]{1,3}[\x20-]*", text[s:e])):
-            cut = (k, s, s + m.end())
-            break
-    if cut:  # the same number without its country code
-        k, a, b = cut
-        text = text[:a] + text[b:]
-        spans = [(s - (b - a) * (s > a), kind, e - (b - a) * (e > a)) for s, kind, e in spans]
+    text, spans = varied(text, base_spans(text), rng)
     if not spans and not _TRIGGER.search(text):
         return []
     codes = symbols(text)
@@ -138,6 +170,15 @@ def labelled_windows(text: str, rng: np.random.Generator, most: int = 4) -> list
     return out
 
 
+def sample_windows(text: str, seed: int) -> list[tuple[bytes, bytes]]:
+    """Windows of a text; those with spans in ``WRITINGS`` writings."""
+    rng = np.random.default_rng(seed)
+    out = labelled_windows(text, rng)
+    for _ in range(1, WRITINGS if any(any(y) for _, y in out) else 1):
+        out += [w for w in labelled_windows(text, rng) if any(w[1])]
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
     """A tagger fitted to a bounded sample, or None where no text has a pattern span."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
@@ -148,11 +189,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ta
             for part in tb.slices(batch, 1):
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    rows += [(doc_id, k, *w) for k, w in enumerate(labelled_windows(text or "", np.random.default_rng(abs(doc_id))))]
-                cols = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["doc_id", "k", "x", "y"])
-
-    found = chosen.select("doc_id", "text").mapInArrow(run, "doc_id long, k int, x binary, y binary").orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k").limit(SAMPLE_WINDOWS).collect()
+                    rows += [(doc_id, k, any(w[1]), *w) for k, w in enumerate(sample_windows(text or "", abs(doc_id)))]
+                cols = list(zip(*rows)) if rows else [[]] * 5
+                types = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "k", "spans", "x", "y"])
+
+    windows = chosen.select("doc_id", "text").mapInArrow(run, "doc_id long, k int, spans boolean, x binary, y binary")
+    order = [F.xxhash64("doc_id", "k"), "doc_id", "k"]
+    found = windows.where("spans").orderBy(*order).limit(SAMPLE_WINDOWS).unionByName(windows.where("NOT spans").orderBy(*order).limit(SAMPLE_WINDOWS)).collect()
     found = sorted({(bytes(r["x"]), bytes(r["y"])) for r in found})
     if not any(np.frombuffer(y, np.int8).any() for _, y in found):
         return None
@@ -162,8 +206,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ta
     return tagger
 
 
-def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
-    """For each text the (start, kind, end, confidence) that the tagger reads in it."""
+def plausible(kind: int, found: str) -> bool:
+    """Whether the characters of a tagged span can be a datum of its kind."""
+    digits = re.sub("[^0-9]", "", found)
+    if kind == 0:
+        return bool(re.fullmatch(r"[^@\s]+\s*@\s*[^@\s]+\.[^@\s]+", found))
+    if kind == 1:
+        return len(parts := re.findall("[0-9]+", found)) == 4 and all(len(x) < 4 and int(x) <= 255 for x in parts)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+
+
+def tagged_spans(tagger: Tagger, texts: list[str], known: list[list[tuple[int, int, int]]] | None = None) -> list[list[tuple[int, int, int, float]]]:
+    """For each text the (start, kind, end, confidence) that the tagger reads in it.
+
+    With ``known`` spans, only plausible ones that overlap none of them.
+    """
     jobs, codes = [], []
     for k, text in enumerate(texts):
         codes.append(symbols(text) if _TRIGGER.search(text) else None)
@@ -197,17 +254,17 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
         if e[:, 1:].max(1).max() < e[:, 0].min():
             continue
         tags = tagger.viterbi(e, ALLOWED)
-        share = np.exp(e - e.max(1, keepdims=True))
-        share /= share.sum(1, keepdims=True)
-        starts = np.flatnonzero(tags % 2 == 1)
-        for a in starts:
+        read = []
+        for a in np.flatnonzero(tags % 2 == 1).tolist():
             b = a + 1
             while b < len(tags) and tags[b] == tags[a] + 1:
                 b += 1
-            kind = int(tags[a]) // 2
-            own = share[a:b, 1 + 2 * kind] + share[a:b, 2 + 2 * kind]
-            if ((codes[k][s + a : s + b] == 1) | (codes[k][s + a : s + b] == 6)).any():
-                out[k].append((s + int(a), kind, s + int(b), float(own.mean())))
+            span = (s + a, int(tags[a]) // 2, s + b)
+            if known is None or (plausible(span[1], texts[k][span[0] : span[2]]) and not any(x < span[2] and span[0] < y for x, _, y in known[k])):
+                read.append(span)
+        if read:
+            share = tagger.marginals(e, ALLOWED)
+            out[k] += [(x, kind, y, float(share[x - s : y - s, [1 + 2 * kind, 2 + 2 * kind]].sum(1).min())) for x, kind, y in read]
     return out
 
 
@@ -216,12 +273,7 @@ def find(texts: list[str], tagger: Tagger | None) -> list[tuple[list, list]]:
     base = [base_spans(t) if _TRIGGER.search(t) else [] for t in texts]
     if tagger is None:
         return [(b, b) for b in base]
-    out = []
-    for b, more in zip(base, tagged_spans(tagger, texts)):
-        taken = [(s, e) for s, _, e in b]
-        more = [(s, kind, e) for s, kind, e, sure in more if sure >= CONFIDENCE and e - s >= 6 and not any(s < y and x < e for x, y in taken)]
-        out.append((b, sorted(b + more)))
-    return out
+    return [(b, sorted(b + [m[:3] for m in more if m[3] >= CONFIDENCE])) for b, more in zip(base, tagged_spans(tagger, texts, base))]
 
 
 def _text(spans: list[tuple[int, int, int]]) -> str:

@@ -135,3 +135,20 @@ class Tagger:
         for t in range(len(e) - 1, 0, -1):
             out[t - 1] = back[t, out[t]]
         return out
+
+    def marginals(self, e: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Probability of each tag at each place of one sequence under the transitions that are allowed."""
+        trans = np.where(allowed, self.p["t"], -1e9).astype(np.float64)
+        step = np.exp(trans - trans.max())
+        forward, backward = np.empty(e.shape), np.empty(e.shape)
+        here = np.exp((e - e.max(1, keepdims=True)).astype(np.float64))
+        forward[0] = here[0] * allowed[0]
+        for t in range(1, len(e)):
+            row = (forward[t - 1] @ step) * here[t]
+            forward[t] = row / row.sum()
+        backward[-1] = 1
+        for t in range(len(e) - 2, -1, -1):
+            row = step @ (here[t + 1] * backward[t + 1])
+            backward[t] = row / row.sum()
+        both = forward * backward
+        return both / both.sum(1, keepdims=True)

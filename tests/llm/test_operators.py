@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -257,6 +258,32 @@ def test_tagger_gradients_and_learning():
     assert losses[-1] < 0.1 * losses[0]
 
 
+def test_tagger_marginals_by_enumeration():
+    t, rng = Tagger(5, 3, 4), np.random.default_rng(1)
+    t.p["t"] = rng.standard_normal((3, 3)).astype(np.float32)
+    allowed = np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool)
+    e, want = rng.standard_normal((4, 3)), np.zeros((4, 3))
+    for path in itertools.product(range(3), repeat=4):
+        if path[0] != 2 and all(allowed[a, b] for a, b in zip(path, path[1:])):
+            weight = np.exp(e[range(4), path].sum() + t.p["t"][path[:-1], path[1:]].sum())
+            want[range(4), path] += weight
+    assert np.allclose(t.marginals(e, allowed), want / want.sum(1, keepdims=True))
+
+
+def test_pii_other_writings():
+    text = "ask a.b@c.org or +1 (415) 555-0134, card 4111111111111111, host 10.0.0.1 " + "and no more of it " * 5
+    base = pii.base_spans(text)
+    for seed in range(50):
+        new, spans = pii.varied(text, base, np.random.default_rng(seed))
+        assert [k for _, k, _ in spans] == [k for _, k, _ in base]
+        for (s, k, e), (a, _, b) in zip(base, spans):
+            was, now = (re.sub("[^0-9a-z@]", "", t) for t in (text[s:e], new[a:b]))
+            assert now == was or (k == 3 and was == "1" + now)
+            assert pii.plausible(k, new[a:b])
+    assert pii.varied("", [], np.random.default_rng(0)) == ("", []) and pii.sample_windows("", 0) == []
+    assert not pii.plausible(2, "4111.1111.1111.1112") and not pii.plausible(3, "555-0134") and not pii.plausible(1, "1.2.3.999") and not pii.plausible(0, "@ home")
+
+
 @pytest.mark.parametrize("module,threshold", [(nbsvm, 0.3), (toxicity, 0.5)])
 def test_classifiers(spark, docs, empty, module, threshold):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
