@@ -34,7 +34,7 @@ from tallgrass.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents the labelled windows come from, windows used with spans and as many without, their length.
-SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_WINDOW, STEPS = 4_000, 1_200, 64, 500
+SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_WINDOW, STEPS = 4_000, 1_200, 64, 400
 #: Writings of each labelled span.
 WRITINGS = 4
 WINDOW, STRIDE, REACH = 96, 48, 40

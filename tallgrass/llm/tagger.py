@@ -58,20 +58,23 @@ class Tagger:
         """Mean negative log-likelihood and its gradients by emissions and transitions."""
         steps, n, k = e.shape
         e, trans = e.astype(np.float64), self.p["t"].astype(np.float64)
-        total = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0]
-        for t in range(1, steps):
-            alpha[t] = e[t] + total(alpha[t - 1][:, :, None] + trans, 1)
+        here, step = np.exp(e - e.max(2, keepdims=True)), np.exp(trans - trans.max())
+        forward, backward, scale = np.empty_like(e), np.ones_like(e), np.empty((steps, n))
+        for t in range(steps):
+            row = (forward[t - 1] @ step) * here[t] if t else here[0]
+            scale[t] = row.sum(1)
+            forward[t] = row / scale[t][:, None]
         for t in range(steps - 2, -1, -1):
-            beta[t] = total(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = total(alpha[-1], 1)
-        marginal = np.exp(alpha + beta - z[None, :, None])
+            row = (here[t + 1] * backward[t + 1]) @ step.T
+            backward[t] = row / row.sum(1, keepdims=True)
+        z = np.log(scale).sum(0) + e.max(2).sum(0) + (steps - 1) * trans.max()
+        marginal = forward * backward
+        marginal /= marginal.sum(2, keepdims=True)
+        left, right = forward[:-1], here[1:] * backward[1:]
+        left = left / ((left @ step) * right).sum(2, keepdims=True)
+        pair = step * (left.reshape(-1, k).T @ right.reshape(-1, k))
         rows = np.arange(n)
         score = e[np.arange(steps)[:, None], rows, y].sum(0) + trans[y[:-1], y[1:]].sum(0)
-        pair = np.zeros((k, k))
-        for t in range(1, steps):
-            pair += np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(0)
         np.add.at(pair, (y[:-1].ravel(), y[1:].ravel()), -1.0)
         marginal[np.arange(steps)[:, None], rows, y] -= 1
         return float((z - score).mean()), (marginal / n).astype(np.float32), (pair / n).astype(np.float32)
@@ -82,19 +85,19 @@ class Tagger:
         both = np.concatenate([forward, backward], 2)
         loss, de, dt = self._crf(both @ self.p["o"] + self.p["c"], y)
         grad = {"t": dt, "c": de.sum((0, 1)), "o": both.reshape(-1, 2 * h_).T @ de.reshape(-1, self.tags)}
-        dboth = de @ self.p["o"].T
+        dboth, once = de @ self.p["o"].T, np.eye(self.symbols, dtype=np.float32)[x.ravel()]
         for d, saved, part in (("f", fs, dboth[:, :, :h_]), ("b", bs, dboth[:, :, h_:])):
-            gx, gh = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(self.p[f"h{d}"])
+            gh, all_dz = np.zeros_like(self.p[f"h{d}"]), np.empty((*x.shape, 4 * h_), part.dtype)
             dh = np.zeros(part.shape[1:], np.float32)
             dc = np.zeros_like(dh)
             for t, i, f, o, g, u, c_before, h_before in reversed(saved):
                 dh = dh + part[t]
                 dc = dc + dh * o * (1 - u * u)
                 dz = np.concatenate([dc * g * i * (1 - i), dc * c_before * f * (1 - f), dh * u * o * (1 - o), dc * i * (1 - g * g)], 1)
-                np.add.at(gx, x[t], dz)
+                all_dz[t] = dz
                 gh += h_before.T @ dz
                 dh, dc = dz @ self.p[f"h{d}"].T, dc * f
-            grad |= {f"x{d}": gx, f"h{d}": gh}
+            grad |= {f"x{d}": once.T @ all_dz.reshape(-1, 4 * h_), f"h{d}": gh}
         return loss, grad
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int = 64, rate: float = 0.03) -> list[float]:
