@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallgrass.llm import bpe, decontaminate, line_templates, quality_rules, simhash
+from tallgrass.llm import bpe, decontaminate, line_templates, near_copies, quality_rules
 from tallgrass.llm.shared import Table
 
 
@@ -19,8 +19,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document, the one of smallest id, of each group of near copies (five-word shingles, similarity >= 0.8)."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
