@@ -27,22 +27,26 @@ def hinge_dcd(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, siz
     return w
 
 
-def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """(a, b) of the probability 1 / (1 + exp(-(a * margin + b))), by Newton's method on smoothed targets."""
+def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 60, share: float | None = None) -> tuple[float, float]:
+    """(a, b) of the probability 1 / (1 + exp(-(a * margin + b))), by Newton's method on smoothed targets.
+
+    With ``share``, rows are weighted so that label 1 has that share of them.
+    """
     n1, n0 = float((labels > 0).sum()), float((labels <= 0).sum())
+    weight = np.ones(len(margins)) if share is None else np.where(labels > 0, share / max(1, n1), (1 - share) / max(1, n0)) * len(margins)
     target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     scale = float(np.std(margins)) or 1.0
     x = np.stack([margins / scale, np.ones(len(margins))], 1)
-    theta = np.array([1.0, np.log((n1 + 1) / (n0 + 1))])
+    theta = np.array([1.0, np.log((weight[labels > 0].sum() + 1) / (weight[labels <= 0].sum() + 1))])
 
     def loss(t):
         z = x @ t
-        return float(np.sum(np.logaddexp(0, z) - target * z)) + 1e-4 * float(t @ t)
+        return float(weight @ (np.logaddexp(0, z) - target * z)) + 1e-4 * float(t @ t)
 
     now = loss(theta)
     for _ in range(steps):
         p = sigmoid(x @ theta)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 2e-4 * np.eye(2), x.T @ (p - target) + 2e-4 * theta)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 2e-4 * np.eye(2), x.T @ (weight * (p - target)) + 2e-4 * theta)
         size = 1.0
         while size > 1e-6 and loss(theta - size * step) > now:
             size /= 2

@@ -8,7 +8,8 @@ it was not fitted to.  Scoring is one pass without a shuffle; the weights are a
 fixed one megabyte.
 
 Labels come from the learnable fold only, at most ``PER_CLASS`` rows of each
-class (the documented bound of the fit).  A text alone makes its score.
+class (the documented bound of the fit); the calibration weighs them by the class
+shares of all learnable labels, so it does not move with the bound.  A text alone makes its score.
 
 Defined results: a null or empty text is scored as the empty text; repeated rows
 each get a score; a null doc_id is not held out; without labels of both classes
@@ -85,8 +86,8 @@ class Model:
         return sigmoid(self.slope * self.margins(data, offsets) + self.offset)
 
 
-def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
-    """A model of (label, set features) rows."""
+def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11, share: float | None = None) -> Model:
+    """A model of (label, set features) rows, calibrated to ``share`` of label 1 (to the rows' own if None)."""
     y = np.array([label for label, _ in rows])
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
@@ -104,12 +105,12 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
     w = hinge_dcd([scaled[i] for i in fold], np.where(y[fold] > 0, 1, -1), N_FEATURES, np.full(len(fold), COST), EPOCHS)
     rest = sorted(held) if len({int(y[i]) for i in held}) == 2 else fold
     margins = np.array([float(w[scaled[i][0]] @ scaled[i][1]) for i in rest])
-    slope, offset = platt(margins, y[rest])
+    slope, offset = platt(margins, y[rest], share=share)
     return Model((w * ratio).astype(np.float32), slope, offset)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded sample; features are made by the executors, class balance is put back by weight."""
+    """Fit on a bounded sample; features are made by the executors, the class share of all learnable labels is put back by weight."""
     chosen = lab.sample(labels, label_col, per_class)
 
     def run(batches):
@@ -122,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_cl
 
     rows = lab.sampled_documents(docs, chosen).select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, features binary").collect()
     rows = sorted((r[0], r[1], bytes(r[2])) for r in rows)
-    return fit([(label, np.frombuffer(f, "<i4")) for _, label, f in rows])
+    return fit([(label, np.frombuffer(f, "<i4")) for _, label, f in rows], share=lab.share(labels, label_col))
 
 
 def score(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
