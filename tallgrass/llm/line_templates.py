@@ -3,10 +3,14 @@
 Lines are parsed to a fixed depth: number of tokens, then the first ``DEPTH`` tokens,
 tokens that hold a digit standing for variable fields.  A leaf is recurring if lines
 of at least ``MIN_DOCS`` documents reach it.  In it, a masked line that recurs by
-itself is its own template; the other lines are generalised: a token stays constant
-if at least ``MIN_DOCS`` documents have it at its place in the leaf, all else becomes
-variable, and a line whose tokens are constant to at least ``SIMILARITY`` belongs to
-the template of its constants.  Templates in at least ``MIN_DOCS`` documents are
+itself is its own template; the other lines are generalised.  A token's level is the
+number of documents that have it at its place in the leaf.  For each level of a line
+from ``MIN_DOCS`` up, the tokens of at least that level are constants and all else is
+variable; a line whose tokens are constant to at least ``SIMILARITY`` belongs to the
+template of these constants.  So a field's values may be as frequent as they like:
+at a level above theirs they are variable.  Lines that recur by themselves count as
+members too.  A line is cut by the template of its lowest level that recurs.
+Templates in at least ``MIN_DOCS`` documents are
 boilerplate: their lines are dropped from every document but the first (smallest
 doc_id), so no text leaves the corpus altogether.
 
@@ -58,19 +62,24 @@ def templates(documents: DataFrame, lines: DataFrame) -> DataFrame:
     in_doc = Table(lines.groupBy(*key, *_KEY).agg(F.min("line_no").alias("line_no")), "in-doc").df
     counted = Table(in_doc.groupBy(*key).agg(F.count("*").alias("docs"), F.min(F.struct(*_KEY, "line_no")).alias("first")), "masked-lines").df
     itself = counted.where(F.col("docs") >= MIN_DOCS).select(*key, "first.doc", "first.version")
-    rare = counted.where(F.col("docs") < MIN_DOCS)
-    leaves = rare.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count("*").alias("k")).where((F.col("n") >= MIN_DOCS) & (F.col("k") > 1)).select("leaf")
-    wanted = rare.join(leaves, "leaf").groupBy(F.col("first.doc").alias("doc"), F.col("first.version").alias("version")).agg(F.collect_list(F.struct(*key, "docs", "first.line_no")).alias("wanted"))
+    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count("*").alias("k"), F.min("docs").alias("least")).where((F.col("n") >= MIN_DOCS) & (F.col("k") > 1) & (F.col("least") < MIN_DOCS)).select("leaf")
+    wanted = counted.join(leaves, "leaf").groupBy(F.col("first.doc").alias("doc"), F.col("first.version").alias("version")).agg(F.collect_list(F.struct(*key, "docs", "first.line_no")).alias("wanted"))
     distinct = documents.where("lines IS NOT NULL").join(wanted, _KEY)
     seen = distinct.select("lines", F.explode("wanted").alias("w")).select("w.leaf", "w.line", "w.docs", F.split(masked(F.get("lines", F.col("w.line_no"))), " ").alias("tokens"))
     seen = Table(seen.dropDuplicates(key), "generalised").df
     tokens = seen.select(*key, "docs", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
-    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("token") != VARIABLE)).select("leaf", "at", "token")
-    constant = tokens.join(common, ["leaf", "at", "token"]).groupBy(*key, "size").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("constants"))
-    constant = constant.where(F.size("constants") >= SIMILARITY * F.col("size")).select(*key, F.xxhash64("leaf", "constants").alias("template"))
+    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("token") != VARIABLE)).select("leaf", "at", "token", F.col("n").alias("level"))
+    constant = tokens.join(common, ["leaf", "at", "token"]).groupBy(*key, "size", "docs").agg(F.sort_array(F.collect_list(F.struct("at", "token", "level"))).alias("found"))
+    constant = constant.select(*key, "size", "docs", "found", F.explode(F.array_distinct("found.level")).alias("level"))
+    held = F.transform(F.filter("found", lambda x: x["level"] >= F.col("level")), lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token")))
+    constant = constant.select(*key, "size", "docs", "level", held.alias("constants")).where(F.size("constants") >= SIMILARITY * F.col("size")).select(*key, "docs", "level", F.xxhash64("leaf", "constants").alias("template"))
+    constant = Table(constant, "constants").df
     members = in_doc.join(constant, key).select(*key, "template", *_KEY)
-    recurring = members.groupBy("template").agg(F.countDistinct(*_KEY).alias("n"), F.min(F.struct(*_KEY)).alias("first")).where(F.col("n") >= MIN_DOCS)
-    general = constant.join(recurring, "template").select(*key, "first.doc", "first.version")
+    recurring = members.groupBy("template").agg(F.countDistinct(*_KEY).alias("n")).where(F.col("n") >= MIN_DOCS).select("template")
+    chosen = constant.where(F.col("docs") < MIN_DOCS).join(recurring, "template").groupBy(*key).agg(F.min(F.struct("level", "template")).alias("best")).select(*key, F.col("best.template").alias("template"))
+    chosen = Table(chosen, "general").df
+    first = in_doc.join(chosen, key).groupBy("template").agg(F.min(F.struct(*_KEY)).alias("first"))
+    general = chosen.join(first, "template").select(*key, "first.doc", "first.version")
     return itself.unionByName(general)
 
 
