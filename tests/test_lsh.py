@@ -1,0 +1,30 @@
+"""Recall of the approximate search against brute force, and full lists."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallgrass.operators import ranking
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_against_brute_force(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
+    rows = e.collect()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got = {}
+    for r in ranking.lsh_topk(e.where("vec_id % 100 = 0"), e, 10).collect():
+        got.setdefault(r.q_id, set()).add(r.item_id)
+    hits = []
+    for q in np.flatnonzero(ids % 100 == 0):
+        want = ids[np.lexsort((ids, np.linalg.norm(v - v[q], axis=1)))[:10]].tolist()
+        hits.append(len(got[ids[q]] & set(want)) / 10)
+    print(sf, "recall", np.mean(hits), len(hits))
+    assert np.mean(hits) >= 0.9 and all(len(x) == 10 for x in got.values())
+
+
+def test_a_query_without_neighbours_gets_k_rows(spark):
+    items = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(20)], "id long, v array<double>")
+    query = spark.createDataFrame([(99, [-40.0, 35.0])], "id long, v array<double>")
+    got = ranking.lsh_topk(query, items, 5).orderBy("rank").collect()
+    assert [r.item_id for r in got] == [19, 18, 17, 16, 15]
