@@ -35,3 +35,22 @@ class Table:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables that a computation needs until its own result is written; dropped at the end of a ``with`` block."""
+
+    def __init__(self):
+        self._tables: list[Table] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for t in self._tables:
+            t.drop()
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        made = Table(df, name)
+        self._tables.append(made)
+        return made.df
