@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.shared import Table
+from tallgrass.llm.shared import Scratch, Table
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -25,12 +25,13 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b: long); component is its smallest member.
 
     Each step points nodes at the smallest node next to them; minima are combined
     before the shuffle and joined back, so a hub is never gathered in one task.
-    Stops when a round changes no edge.  Loops and repeated edges do no harm.
+    Stops when a round changes no edge.  Loops and repeated edges do no harm.  The last
+    table is ``scratch``'s to drop, if given.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     table = Table(pairs, "edges")
@@ -48,6 +49,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         table = new
         if mark == old_mark:
             break
+    if scratch is not None:
+        scratch.keep(table)
     stars = table.df
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -1,7 +1,9 @@
 """Line deduplication with a log-template tree, in DataFrame functions only.
 
 Lines are parsed to a fixed depth: number of tokens, then the first ``DEPTH`` tokens,
-tokens that hold a digit standing for variable fields.  A leaf is recurring if lines
+tokens that hold a digit standing for variable fields.  A line with fewer constant
+tokens than ``SIMILARITY`` of all, such as a row of numbers, has no template and always
+stays.  A leaf is recurring if lines
 of at least ``MIN_DOCS`` documents reach it.  In it, a masked line that recurs by
 itself is its own template; the other lines are generalised.  A token's level is the
 number of documents that have it at its place in the leaf.  For each level of a line
@@ -10,18 +12,22 @@ variable; a line whose tokens are constant to at least ``SIMILARITY`` belongs to
 template of these constants.  So a field's values may be as frequent as they like:
 at a level above theirs they are variable.  Lines that recur by themselves count as
 members too.  A line is cut by the template of its lowest level that recurs.
-Templates in at least ``MIN_DOCS`` documents are
-boilerplate: their lines are dropped from every document but the first (smallest
-doc_id), so no text leaves the corpus altogether.
+Templates in at least ``MIN_DOCS`` documents (a parameter; absolute, as for exact line
+deduplication) are boilerplate: their lines are dropped from every document but the
+first (smallest doc_id).  Each template thus stays in the corpus once; the values that
+its variable fields have in the lines that are cut leave it.
 
 Counts are combined before every shuffle, so a very common line is one row a task.
-Texts are moved twice: to look at the lines of recurring leaves that do not recur by
-themselves, and to cut lines out.
+Only distinct lines are joined by leaf and token; a leaf with very many of them is a
+skewed key of that join, which adaptive execution splits.  Texts are moved twice: to
+look at the lines of recurring leaves that do not recur by themselves, and to cut lines
+out.
 
 Defined results: a null text stays null and has no line; blank lines are never
 templates; rows of one doc_id with different texts are different documents, equal
-rows are one document; a null doc_id counts as smaller than any other; an empty
-table gives an empty result; other columns pass through unchanged.
+rows are one document; a null doc_id counts as smaller than any other; a very long text
+is split like any other; an empty table gives an empty result; other columns, whatever
+their names, pass through unchanged.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.shared import Table
+from tallgrass.llm.shared import Scratch, Table
 
 DEPTH, MIN_DOCS, SIMILARITY = 3, 6, 0.5
 VARIABLE = "<*>"
@@ -43,75 +49,79 @@ def masked(line: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(plain)
 
 
+def _size(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines"))
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines"))
 
 
 def _parsed(documents: DataFrame) -> DataFrame:
-    """(doc, version, line_no, leaf, line): hashes of the leaf and of the masked line, for lines with a word."""
+    """(doc, version, line_no, leaf, line): hashes of the leaf and of the masked line, for lines with a word and enough constants."""
     each = documents.select(*_KEY, F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     each = each.select(*_KEY, "line_no", masked(F.col("line")).alias("line"))
-    size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return each.select(*_KEY, "line_no", F.xxhash64(size, F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("line"))
+    variable = F.regexp_count("line", F.lit(r"(?<![^ ])<\*>(?![^ ])"))
+    each = each.where(~F.contains("line", F.lit(VARIABLE)) | (_size(F.col("line")) - variable >= SIMILARITY * _size(F.col("line"))))
+    return each.select(*_KEY, "line_no", F.xxhash64(_size(F.col("line")), F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("line"))
 
 
-def templates(documents: DataFrame, lines: DataFrame) -> DataFrame:
+def templates(documents: DataFrame, lines: DataFrame, scratch: Scratch, min_docs: int) -> DataFrame:
     """(leaf, line, doc, version): masked lines to drop, and the document that keeps them."""
     key = ["leaf", "line"]
-    in_doc = Table(lines.groupBy(*key, *_KEY).agg(F.min("line_no").alias("line_no")), "in-doc").df
-    counted = Table(in_doc.groupBy(*key).agg(F.count("*").alias("docs"), F.min(F.struct(*_KEY, "line_no")).alias("first")), "masked-lines").df
-    itself = counted.where(F.col("docs") >= MIN_DOCS).select(*key, "first.doc", "first.version")
-    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count("*").alias("k"), F.min("docs").alias("least")).where((F.col("n") >= MIN_DOCS) & (F.col("k") > 1) & (F.col("least") < MIN_DOCS)).select("leaf")
+    in_doc = scratch.table(lines.groupBy(*key, *_KEY).agg(F.min("line_no").alias("line_no")), "in-doc")
+    counted = scratch.table(in_doc.groupBy(*key).agg(F.count("*").alias("docs"), F.min(F.struct(*_KEY, "line_no")).alias("first")), "masked-lines")
+    itself = counted.where(F.col("docs") >= min_docs).select(*key, "first.doc", "first.version")
+    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count("*").alias("k"), F.min("docs").alias("least")).where((F.col("n") >= min_docs) & (F.col("k") > 1) & (F.col("least") < min_docs)).select("leaf")
     wanted = counted.join(leaves, "leaf").groupBy(F.col("first.doc").alias("doc"), F.col("first.version").alias("version")).agg(F.collect_list(F.struct(*key, "docs", "first.line_no")).alias("wanted"))
     distinct = documents.where("lines IS NOT NULL").join(wanted, _KEY)
     seen = distinct.select("lines", F.explode("wanted").alias("w")).select("w.leaf", "w.line", "w.docs", F.split(masked(F.get("lines", F.col("w.line_no"))), " ").alias("tokens"))
-    seen = Table(seen.dropDuplicates(key), "generalised").df
+    seen = scratch.table(seen.dropDuplicates(key), "generalised")
     tokens = seen.select(*key, "docs", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
-    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("token") != VARIABLE)).select("leaf", "at", "token", F.col("n").alias("level"))
+    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "at", "token", F.col("n").alias("level"))
     constant = tokens.join(common, ["leaf", "at", "token"]).groupBy(*key, "size", "docs").agg(F.sort_array(F.collect_list(F.struct("at", "token", "level"))).alias("found"))
     constant = constant.select(*key, "size", "docs", "found", F.explode(F.array_distinct("found.level")).alias("level"))
     held = F.transform(F.filter("found", lambda x: x["level"] >= F.col("level")), lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token")))
     constant = constant.select(*key, "size", "docs", "level", held.alias("constants")).where(F.size("constants") >= SIMILARITY * F.col("size")).select(*key, "docs", "level", F.xxhash64("leaf", "constants").alias("template"))
-    constant = Table(constant, "constants").df
+    constant = scratch.table(constant, "constants")
     members = in_doc.join(constant, key).select(*key, "template", *_KEY)
-    recurring = members.groupBy("template").agg(F.countDistinct(*_KEY).alias("n")).where(F.col("n") >= MIN_DOCS).select("template")
-    chosen = constant.where(F.col("docs") < MIN_DOCS).join(recurring, "template").groupBy(*key).agg(F.min(F.struct("level", "template")).alias("best")).select(*key, F.col("best.template").alias("template"))
-    chosen = Table(chosen, "general").df
+    recurring = members.groupBy("template").agg(F.countDistinct(*_KEY).alias("n")).where(F.col("n") >= min_docs).select("template")
+    chosen = constant.where(F.col("docs") < min_docs).join(recurring, "template").groupBy(*key).agg(F.min(F.struct("level", "template")).alias("best")).select(*key, F.col("best.template").alias("template"))
+    chosen = scratch.table(chosen, "general")
     first = in_doc.join(chosen, key).groupBy("template").agg(F.min(F.struct(*_KEY)).alias("first"))
     general = chosen.join(first, "template").select(*key, "first.doc", "first.version")
     return itself.unionByName(general)
 
 
-def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, version, dropped): the numbers of the lines to drop from each document that loses any."""
+def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc, version, dropped): the numbers of the lines to drop from each document that loses any, written."""
     documents = _documents(docs, id_col, text_col)
-    lines = Table(_parsed(documents), "lines").df
-    drop = templates(documents, lines).select("leaf", "line", F.struct(*_KEY).alias("keeper"))
-    hit = lines.join(drop, ["leaf", "line"]).where(F.struct(*_KEY) != F.col("keeper"))
-    return hit.groupBy(*_KEY).agg(F.collect_set("line_no").alias("dropped"))
+    with Scratch() as scratch:
+        lines = scratch.table(_parsed(documents), "lines")
+        drop = templates(documents, lines, scratch, min_docs).select("leaf", "line", F.struct(*_KEY).alias("keeper"))
+        hit = lines.join(drop, ["leaf", "line"]).where(F.struct(*_KEY) != F.col("keeper"))
+        return Table(hit.groupBy(*_KEY).agg(F.collect_set("line_no").alias("dropped")), "dropped-lines").df
 
 
-def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with boilerplate lines cut out of the text, and __lines and __dropped, their numbers."""
-    found = Table(find_lines(docs, id_col, text_col), "dropped-lines").df
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFrame:
+    """(row, text, n_lines, n_dropped): the other columns as a struct, and the text without its boilerplate lines."""
+    found = find_lines(docs, id_col, text_col, min_docs)
     text = F.col(f"`{text_col}`").cast("string")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    side = docs.select(*rest, F.split(text, "\n", -1).alias("__text_lines"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("__doc"), F.xxhash64(text).alias("__version"))
-    found = found.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("dropped").alias("__which"))
-    both = side.join(found, ["__doc", "__version"], "left")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("__text_lines") - 1), F.col("__which"))
-    kept = F.when(F.col("__which").isNull(), F.col("__text_lines")).otherwise(F.transform(numbers, lambda i: F.get("__text_lines", i)))
-    names = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.array_join(kept, "\n")}
-    return both.select(*(names[c].alias(c) for c in docs.columns), F.coalesce(F.size("__text_lines"), F.lit(0)).alias("__lines"), F.coalesce(F.size("__which"), F.lit(0)).alias("__dropped"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    side = docs.select(rest.alias("row"), F.split(text, "\n", -1).alias("lines"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("version"))
+    both = side.join(found, _KEY, "left")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.transform(numbers, lambda i: F.get("lines", i)))
+    return both.select("row", F.array_join(kept, "\n").alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"))
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with boilerplate lines cut out; the same rows and columns."""
-    return cut_lines(docs, id_col, text_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _cut(docs, id_col, text_col, min_docs).select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op2_line_templates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    lines, dropped = (F.when(F.col("text").isNull(), 0).otherwise(F.col(c)).cast("long") for c in ("__lines", "__dropped"))
-    return cut_lines(docs).select("doc_id", lines.alias("n_lines"), dropped.alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    lines, dropped = (F.when(F.col("text").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("n_lines", "n_dropped"))
+    return _cut(docs, "doc_id", "text", MIN_DOCS).select("row.doc_id", lines, dropped, F.sha2("text", 256).alias("kept_sha256"))

@@ -1,19 +1,30 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose, exact sets decide.
+"""Near copies by the Jaccard similarity of word shingles: fingerprints propose, exact sets decide.
 
 A text is the set of its ``SHINGLE``-word shingles, words split at ASCII white space and
-lower-cased as for the fingerprints.  Texts of equal sets are one class.  Each class is
-put in ``BANDS`` buckets by ``ROWS`` minima each, and what shares a bucket, directly or
-over others, is a candidate group; a pair of similarity 0.8 shares none with probability
-0.0007, a pair of 0.3 shares one with probability 0.003.  In a candidate group the sets
-themselves are compared, and two classes link if their similarity is at least
-``SIMILARITY``; groups are the connected components.
-
-A radius on 64-bit fingerprints cannot do this: at similarity 0.8 they differ in some
-ten bits, up to sixteen or more, and a tree that has to copy so wide a ring cuts nothing.
+lower-cased as for the fingerprints.  Texts of equal sets are one class.  Candidates come
+from two searches:
+
+1. the vantage-point search over 64-bit SimHash fingerprints of the sets, exact within
+   ``simhash.RADIUS`` bits;
+2. for what lies beyond that radius, ``BANDS`` buckets by ``ROWS`` minima each: a pair of
+   similarity 0.8 shares none with probability 0.0007, a pair of 0.3 shares one with
+   probability 0.003.  A radius cannot do this alone: at similarity 0.8 fingerprints
+   differ in some ten bits, up to sixteen or more, and a tree that has to copy so wide
+   a ring cuts nothing.
+
+What is proposed together, directly or over others, is a candidate group.  In it the
+sets themselves are compared, and two classes link if their similarity is at least
+``SIMILARITY``; groups are the connected components.  A candidate group of more than
+``GROUP_BYTES`` of text is not gathered in one task: all its members are held against
+one pivot, in parallel.  Those near it are linked.  As Jaccard distance is a metric,
+only what lies within ``1 - SIMILARITY`` of the nearest member that is not near can link
+to one, so the rest of the near ones is done, and the others go on to the next round.
 
 Defined results: null and blank texts are one class; a text of fewer than ``SHINGLE``
 words is one shingle; rows without id are judged by their text and give way to rows
-with one; an empty table gives an empty result; other columns are ignored.
+with one; of several rows of one id and text the one of smallest hash over its columns
+stays, so the order of rows does not matter; very long texts are compared whole; an
+empty table gives an empty result; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -21,15 +32,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
+from tallgrass.llm import simhash
 from tallgrass.llm import textbatch as tb
 from tallgrass.llm.components import connected_components
-from tallgrass.llm.shared import Table
+from tallgrass.llm.shared import Scratch, Table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 8
+#: Text of a candidate group up to which one task decides it, rounds of pivots for larger ones, and parts a pivot is sent to.
+GROUP_BYTES, PIVOT_ROUNDS, PARTS = 32 << 20, 12, 64
 _NO_ID = (1 << 63) - 1
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,13 +83,30 @@ def band_keys(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
+def set_fingerprints(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each set: a bit is set if it is in over half of the set's hashes; sets must not be empty."""
+    size = np.diff(ends, prepend=0)
+    out = np.empty(len(ends), np.uint64)
+    step = 1 << 16
+    lo = 0
+    while lo < len(ends):  # sets of some 65,536 shingles at once, or one larger one
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + step, "right")))
+        own = values[ends[lo] - size[lo] : ends[hi - 1]]
+        starts = ends[lo:hi] - size[lo:hi] - (ends[lo] - size[lo])
+        bits = np.unpackbits(tb.mix(own).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        out[lo:hi] = np.packbits(2 * count > size[lo:hi, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        lo = hi
+    return out
+
+
+def _key(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(doc, version): the id, the largest long where there is none, and a hash of the text."""
+    return F.coalesce(df[f"`{id_col}`"].cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(df[f"`{text_col}`"].cast("string")).alias("version")
 
 
 def _marked(keyed: DataFrame) -> DataFrame:
-    """(doc, version, class, bands) of each row; an empty set has no bands."""
+    """(doc, version, class, fp, bands) of each row; an empty set has fingerprint 0 and no bands."""
 
     def run(batches):
         for batch in batches:
@@ -84,12 +116,15 @@ def _marked(keyed: DataFrame) -> DataFrame:
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(values), dtype=np.uint64)])
                 name = tb.mix((total[ends] - total[ends - size]) ^ tb.mix(size.astype(np.uint64))).view(np.int64)
                 full = size > 0
+                fps = np.zeros(len(ends), np.uint64)
+                if full.any():
+                    fps[full] = set_fingerprints(values, ends[full])
                 keys = band_keys(values, ends[full]) if full.any() else np.empty((0, BANDS), np.uint64)
                 at = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name), bands], ["doc", "version", "class", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name), pa.array(fps.view(np.int64)), bands], ["doc", "version", "class", "fp", "bands"])
 
-    return keyed.mapInArrow(run, "doc long, version long, class long, bands array<long>")
+    return keyed.mapInArrow(run, "doc long, version long, class long, fp long, bands array<long>")
 
 
 def linked(values: np.ndarray, ends: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -123,32 +158,84 @@ def linked(values: np.ndarray, ends: np.ndarray, similarity: float = SIMILARITY)
     return label
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc, version (hash of the text) and group; doc is the largest long where there is no id."""
-    keyed = _keyed(docs, id_col, text_col)
-    marked = Table(_marked(keyed), "shingles").df
-    classes = Table(marked.groupBy("class").agg(F.min(F.struct("doc", "version")).alias("first"), F.first("bands").alias("bands")), "classes").df
-    buckets = classes.select("class", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "low")
-    candidates = connected_components(buckets.join(shared, "band").select(F.col("class").alias("a"), F.col("low").alias("b")))
-    wanted = candidates.join(classes, F.col("node") == F.col("class")).select("class", "component", "first.doc", "first.version")
-    texts = keyed.join(wanted, ["doc", "version"]).select("component", "class", "text").dropDuplicates(["class"])
+def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("class")
+    own = pdf["class"].to_numpy()
+    data, offsets = tb.flatten(pa.array(pdf["text"], pa.string()))
+    group = own[linked(*shingle_sets(data, offsets))]
+    return pd.DataFrame({"a": own, "b": group})[own != group]
+
+
+def _against_pivot(batches):
+    """(component, class, pivot, similarity, reached) of rows with their own and their pivot's text."""
+    sets: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part in tb.slices(batch, 3):
+            component, own, reached, _, pivot = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 1, 4))
+            values, ends = shingle_sets(*tb.flatten(part.column(3)))
+            out = np.empty(len(own))
+            for k, p in enumerate(pivot.tolist()):
+                if p not in sets:
+                    sets.clear()
+                    sets[p] = shingle_sets(*tb.flatten(part.column(5).slice(k, 1)))[0]
+                mine = values[ends[k - 1] if k else 0 : ends[k]]
+                both = np.searchsorted(sets[p], mine)
+                both = int((sets[p][np.minimum(both, len(sets[p]) - 1)] == mine).sum()) if len(sets[p]) else 0
+                out[k] = both / max(1, len(mine) + len(sets[p]) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(component), pa.array(own), pa.array(pivot), pa.array(out), pa.array(reached)], ["component", "class", "pivot", "similarity", "reached"])
+
+
+def exact_links(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) whose components are those of 'similarity at least' within each component of (component, class, text)."""
+    found = None
+    left = scratch.table(texts.withColumn("reached", F.lit(False)), "candidates")
+    for turn in range(PIVOT_ROUNDS + 1):
+        large = left.groupBy("component").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > GROUP_BYTES).select("component")
+        large = scratch.table(large.where(F.lit(turn < PIVOT_ROUNDS)), "large")
+        small = left.join(large, "component", "left_anti").select("component", "class", "text").groupBy("component").applyInPandas(_stars, "a long, b long")
+        small = scratch.table(small, "stars")
+        found = small if found is None else found.unionByName(small)
+        if large.isEmpty():
+            return found
+        rows = left.join(large, "component", "left_semi").withColumn("part", F.pmod(F.xxhash64("class"), F.lit(PARTS)))
+        pivot = rows.groupBy("component").agg(F.min(F.struct("reached", "class")).alias("first")).select("component", F.col("first.class").alias("class"))
+        pivot = rows.join(pivot, ["component", "class"]).select("component", F.col("class").alias("pivot"), F.col("text").alias("pivot_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+        pairs = rows.join(pivot, ["component", "part"]).select("component", "class", "reached", "text", "pivot", "pivot_text")
+        held = scratch.table(pairs.mapInArrow(_against_pivot, "component long, class long, pivot long, similarity double, reached boolean"), "against-pivot")
+        near = F.col("similarity") >= SIMILARITY - 1e-9
+        found = found.unionByName(held.where(near & (F.col("class") != F.col("pivot"))).select(F.col("class").alias("a"), F.col("pivot").alias("b")))
+        nearest = held.where(~near & ~F.col("reached")).groupBy("component").agg(F.max("similarity").alias("most"))
+        going = held.join(nearest, "component").where((F.col("class") != F.col("pivot")) & (~near | (F.col("similarity") <= F.col("most") + 1 - SIMILARITY + 1e-9)))
+        going = going.select("component", "class", (near | F.col("reached")).alias("reached"))
+        left = scratch.table(rows.drop("reached", "part").join(going, ["component", "class"]), "candidates")
+    raise AssertionError("the last round leaves nothing")
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("class")
-        own = pdf["class"].to_numpy()
-        data, offsets = tb.flatten(pa.array(pdf["text"], pa.string()))
-        return pd.DataFrame({"class": own, "group": own[linked(*shingle_sets(data, offsets))]})
 
-    groups = texts.groupBy("component").applyInPandas(decide, "class long, group long").where("class <> group")
-    return marked.join(groups, "class", "left").select("doc", "version", F.coalesce("group", "class").alias("group"))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc, version (hash of the text) and group; doc is the largest long where there is no id."""
+    keyed = docs.select(*_key(docs, id_col, text_col), docs[f"`{text_col}`"].cast("string").alias("text"))
+    with Scratch() as scratch:
+        marked = scratch.table(_marked(keyed), "shingles")
+        classes = scratch.table(marked.groupBy("class").agg(F.min(F.struct("doc", "version")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+        prints = scratch.table(classes.select("fp").distinct(), "prints")
+        close = simhash.link(prints, scratch)
+        own = classes.join(close, classes["fp"] == close["node"], "left").select("class", F.coalesce("component", "fp").alias("bucket"))
+        own = own.unionByName(classes.select("class", F.explode("bands").alias("bucket")))
+        shared = own.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket", "low")
+        candidates = connected_components(own.join(shared, "bucket").select(F.col("class").alias("a"), F.col("low").alias("b")), scratch)
+        wanted = candidates.join(classes, F.col("node") == F.col("class")).select("class", "component", "first.doc", "first.version")
+        texts = keyed.join(wanted, ["doc", "version"]).select("component", "class", "text").dropDuplicates(["class"])
+        groups = connected_components(exact_links(texts, scratch), scratch)
+        named = marked.join(groups, marked["class"] == groups["node"], "left")
+        return Table(named.select("doc", "version", F.coalesce("component", "class").alias("group")), "groups").df
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of near copies, the one of smallest id, columns unchanged."""
     first = near_groups(docs, id_col, text_col).groupBy("group").agg(F.min(F.struct("doc", "version")).alias("first"))
-    first = Table(first.select(F.col("first.doc").alias("__doc"), F.col("first.version").alias("__version")).distinct(), "kept").df
-    key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("__doc"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__version")]
-    own = docs.select("*", *key).join(first, ["__doc", "__version"])
-    ranked = own.withColumn("__rank", F.row_number().over(Window.partitionBy("__doc", "__version").orderBy("__doc")))
-    return ranked.where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = first.select("first.doc", "first.version").distinct()
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    order = F.xxhash64(*(docs[f"`{f.name}`"] for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))))
+    own = docs.select(row.alias("row"), order.alias("order"), *_key(docs, id_col, text_col)).join(first, ["doc", "version"])
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "version").orderBy("order")))
+    return ranked.where("rank = 1").select("row.*")

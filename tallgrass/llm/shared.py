@@ -51,6 +51,8 @@ class Scratch:
             t.drop()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        made = Table(df, name)
-        self._tables.append(made)
-        return made.df
+        return self.keep(Table(df, name)).df
+
+    def keep(self, table: Table) -> Table:
+        self._tables.append(table)
+        return table

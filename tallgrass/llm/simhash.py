@@ -1,19 +1,21 @@
 """SimHash near-duplicates through vantage-point trees.
 
-Each text gets a 64-bit fingerprint; equal fingerprints form one class, named by
-its smallest document.  A vantage-point tree, fitted to a bounded sample, cuts
+Each text gets a 64-bit fingerprint; distinct fingerprints are linked, whatever
+documents they belong to.  A vantage-point tree, fitted to a bounded sample, cuts
 the Hamming space: a node sends a fingerprint left if it is at most ``mu`` from
 the vantage point.  By the triangle inequality two fingerprints within radius r
 that part at a node have distances to its vantage point within r of each other,
 so it is enough to send what lies in (mu - r, mu] to the right as well: every
 linked pair then meets in some shard, none is lost, and only one side is copied.
-Shards are searched exactly, with further vantage-point splits in memory, and
-return stars (member, smallest linked member), not pairs.
+The tree deepens with the data, up to 65,536 shards; a shard that is still large is
+split again by vantage points in memory.  Shards are searched exactly and return
+stars (member, smallest linked member), not pairs.
 
 Defined results: a null or empty text has fingerprint zero and links like any
-other; repeated rows share a class; a row without id takes the component of its
-class and never names one (null if no row of the class has an id); an empty
-table gives an empty result; other columns are ignored.
+other; repeated rows share a fingerprint; a row without id bridges like any other, takes
+its component's id and never names one (null if no row of the component has an id);
+a very long text is read in chunks of shingles; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ from pyspark.sql import functions as F
 
 from tallgrass.llm import textbatch as tb
 from tallgrass.llm.components import connected_components, local_components
-from tallgrass.llm.shared import Table
+from tallgrass.llm.shared import Scratch, Table
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-#: Fingerprints the tree is fitted to, rows aimed at for a shard, and the deepest tree.
-SAMPLE, SHARD_ROWS, MAX_DEPTH = 16_384, 4_096, 12
+#: Fingerprints the tree is fitted to (at least, and for each shard), rows aimed at for a shard, and the deepest tree.
+SAMPLE, SAMPLE_SHARD, SHARD_ROWS, MAX_DEPTH = 16_384, 8, 4_096, 16
 #: Largest block of a shard that is compared all against all.
 BLOCK = 512
 _CHUNK = 65_536
@@ -61,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _split(fps: np.ndarray, vantage: np.uint64) -> tuple[np.ndarray, int]:
@@ -148,50 +150,39 @@ def _probe(fps: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[moved], at[label[moved]]
 
 
-def link_classes(classes: DataFrame) -> DataFrame:
-    """(node, component) of the classes (fp, rep) that link to another, by their representatives."""
-    n = classes.count()
+def link(fps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the distinct fingerprints in column ``fp`` that link to another; the component is one of them."""
+    n = fps.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / SHARD_ROWS)))))
-    sample = [r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
+    size = max(SAMPLE, SAMPLE_SHARD << depth)
+    sample = [r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()] if depth else []
     points, mu = fit_tree(np.array(sample, np.int64).view(np.uint64), depth)
 
     def deal(batches):
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            row, shard = shards(fps, points, mu, depth)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["shard", "fp", "rep"])
+            own = batch.column(0).to_numpy()
+            row, shard = shards(own.view(np.uint64), points, mu, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(own[row])], ["shard", "fp"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        reps = pdf["rep"].to_numpy()
-        a, b = stars(pdf["fp"].to_numpy().view(np.uint64))
-        return pd.DataFrame({"a": reps[a], "b": reps[b]})
+        own = np.sort(pdf["fp"].to_numpy())
+        a, b = stars(own.view(np.uint64))
+        return pd.DataFrame({"a": own[a], "b": own[b]})
 
-    dealt = classes.select("fp", "rep").mapInArrow(deal, "shard long, fp long, rep long")
-    return connected_components(dealt.groupBy("shard").applyInPandas(search, "a long, b long"))
+    dealt = fps.select("fp").mapInArrow(deal, "shard long, fp long")
+    return connected_components(dealt.groupBy("shard").applyInPandas(search, "a long, b long"), scratch)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp and component_id, the smallest doc_id reachable over links."""
     marked = Table(fingerprints(docs, id_col, text_col), "fingerprints").df
-    classes = Table(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes").df
-    linked = link_classes(classes)
-    named = classes.join(linked, classes["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document names its component, columns unchanged.
-
-    Of repeated rows of such a document one stays; rows without id stay.
-    """
-    first = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    from pyspark.sql import Window
-
-    has_id = docs.where(F.col(id_col).isNotNull())
-    own = has_id.join(first, has_id[id_col].cast("long") == F.col("__kept_id"), "inner")
-    ranked = own.withColumn("__rank", F.row_number().over(Window.partitionBy("__kept_id").orderBy("__kept_id")))
-    return ranked.where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
+    with Scratch() as scratch:
+        classes = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+        linked = link(classes, scratch)
+        own = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+        least = own.groupBy("component").agg(F.min("first").alias("component_id"))
+        named = Table(own.join(least, "component").select("fp", "component_id"), "named").df
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_vptree(spark, sf_dir: str) -> DataFrame:
