@@ -3,26 +3,29 @@
 The kernel compares the character subsequences of length four that span at most
 six characters of two words, each gap costing a factor, normalised by the words'
 own lengths in that space; a word's beginning counts as a character, so that stems
-differ from endings.  Letters are folded to 29 classes, common digit look-alikes to
-letters; punctuation inside a word is passed over and letters spelled apart are put
-together, so an insult with characters put in between still shares most of its
-subsequences.
+differ from endings.  Letters are folded to 29 classes: the 26 of ASCII, and any other
+letter, lower-cased in Latin, Greek and Cyrillic, to one that differs from those of its
+neighbours in its alphabet; common digit look-alikes go to letters.  Punctuation inside
+a word is passed over and letters spelled apart are put together, so an insult with
+characters put in between still shares most of its subsequences.
 
 Landmarks are words of labelled sentences; the machine is linear in the Nyström
 features K(x, L) K(L, L)^(-1/2).  As the kernel is an inner product of explicit
 subsequence counts, the fitted decision function is one weight for each
 subsequence: sum over landmarks of beta_l phi_u(l).  That table (a fixed 4 MB) is
 the whole machine, so every word of every text is scored exactly, in one pass
-without a shuffle.  A text's probability is a logistic function of its worst word,
-of the number and sum of its words on the toxic side and of its length, fitted on
-labelled documents.
+without a shuffle.  A text's probability is a logistic function of its worst word, of
+the sum over its words on the toxic side, each counted to its margin of one, and of
+their share, fitted on labelled documents.
 
 Labels come from the learnable fold only; ``PER_CLASS`` documents of each class
-and ``SENTENCES`` sentences of each class bound the fit.
+and ``SENTENCES`` sentences of each class bound the fit.  Sentences are of any length;
+one of more than ``PIECE`` characters counts as several.
 
-Defined results: a null or empty text is scored as one without any word; repeated
-rows each get a score; a null doc_id is not held out; without labels of both
-classes every score is the class share (0.5 if none); other columns are ignored.
+Defined results: a null or empty text is scored as one without any word; a very long
+text is scored whole; repeated rows each get a score; a null doc_id is not held out;
+without labels of both classes every score is the class share (0.5 if none); an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -50,27 +53,40 @@ SHORT = 0.25
 #: many times likelier there; at most so many of them.
 STEM_LETTERS, SEED_SENTENCES, SEED_ODDS, SEED_STEMS = range(3, 11), 6, 12.0, 64
 
+#: Longest piece of a sentence, cut at white space if there is any.
+PIECE = 400
+_PIECES = rf"(?s)\S.{{0,{PIECE - 2}}}\S(?!\S)|\S(?!\S)|\S{{{PIECE}}}"
+
 PATTERNS = [(0, *c) for c in combinations(range(1, SPAN), ORDER - 1)]
 GAPS = [DECAY ** (c[-1] - ORDER + 1) for c in PATTERNS]
 TABLE = 1 << (5 * ORDER)
-_OTHER, _SPACE, _DROP = 28, 30, 255
+_SPACE, _DROP = 30, 255
 _FOLD = np.full(256, _DROP, np.uint8)
 _FOLD[97:123] = np.arange(26)
 _FOLD[65:91] = np.arange(26)
-_FOLD[0xC4:] = _OTHER
 for _digit, _letter in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}.items():
     _FOLD[ord(_digit)] = ord(_letter) - 97
 _FOLD[tb.WHITE] = _SPACE
-_LATIN = np.full(256, _OTHER, np.uint8)  # second bytes of U+00C0..U+00FF
-_LATIN[[0x89, 0xA9]] = 26
-_LATIN[[0x8A, 0xAA]] = 27
+
+
+def _beyond_ascii(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Classes of the characters whose first bytes are at ``at``: letters by code point, symbols dropped, spaces kept."""
+    follow = lambda k: (data[np.minimum(at + k, len(data) - 1)] & 0x3F).astype(np.int64)
+    lead = data[at].astype(np.int64)
+    point = np.where(lead < 0xE0, (lead & 0x1F) << 6 | follow(1), np.where(lead < 0xF0, (lead & 0x0F) << 12 | follow(1) << 6 | follow(2), (lead & 7) << 18 | follow(1) << 12 | follow(2) << 6 | follow(3)))
+    within = lambda lo, hi: (point >= lo) & (point <= hi)
+    space = (point == 0xA0) | within(0x2000, 0x200A) | within(0x2028, 0x2029) | (point == 0x3000)
+    symbol = within(0xA1, 0xBF) | (point == 0xD7) | (point == 0xF7) | within(0x200B, 0x206F) | within(0x3001, 0x3003)
+    point = point + 0x20 * (within(0xC0, 0xDE) | within(0x391, 0x3A9) | within(0x410, 0x42F)) + 0x50 * within(0x400, 0x40F)
+    point = np.where((point >= 0x100) & (point < 0x180), point | 1, point)
+    return np.where(space, _SPACE, np.where(symbol, _DROP, (7 * point + 3) % 29)).astype(np.uint8)
 
 
 def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letter classes of all texts, spaces around each; and where each text begins."""
     codes = _FOLD[data]
-    latin = np.flatnonzero(data[:-1] == 0xC3) + 1
-    codes[latin] = _LATIN[data[latin]]
+    lead = np.flatnonzero(data >= 0xC0)
+    codes[lead] = _beyond_ascii(data, lead)
     keep = codes != _DROP
     count = tb.per_text(keep, offsets)
     n = len(count)
@@ -104,8 +120,8 @@ def phi(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index).astype(np.int64), value / np.sqrt(SHORT + float(value @ value))
 
 
-#: What a text's probability is made of.
-N_FEATURES = 5
+#: What a text's probability is made of, and the margin from which a word counts as toxic.
+N_FEATURES, TOXIC_WORD = 3, 0.7
 
 
 @dataclass
@@ -131,17 +147,17 @@ class Model:
         return starts, np.add.reduceat(own, starts) / np.sqrt(np.float32(SHORT) + np.add.reduceat(square, starts))
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """A row for each text: worst word, logs of the sum and number of toxic words and of all words, toxic share."""
+        """A row for each text: worst word, log of the sum of toxic words, log of their share."""
         codes, begins = fold(data, offsets)
         n = len(begins)
         starts, values = self.word_margins(codes)
+        values = np.minimum(values, 1)
         text = np.searchsorted(begins, starts + 1, "right") - 1
         worst = np.zeros(n)
         np.maximum.at(worst, text, values)
-        hit = values > 0.25
-        count, all_ = np.bincount(text[hit], minlength=n), np.bincount(text, minlength=n)
-        total = np.bincount(text[hit], np.minimum(values[hit], 2), n)
-        return np.stack([worst, np.log1p(total), np.log1p(count), np.log1p(all_), np.log1p(200 * total / np.maximum(all_, 20))], 1)
+        hit = values > TOXIC_WORD
+        total, words = np.bincount(text[hit], values[hit], n), np.bincount(text, minlength=n)
+        return np.stack([worst, np.log1p(total), np.log1p(200 * total / np.maximum(words, 20))], 1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return sigmoid(self.features(data, offsets) @ self.theta[:-1] + self.theta[-1])
@@ -193,7 +209,8 @@ def fit(toxic: list[str], clean: list[str], marks: list[str], seed: int = 5) ->
 
     A toxic sentence stands for its words of such a stem, a clean one for any of its words;
     after each fit, a clean sentence also gives the word that the machine finds worst,
-    and the worst of those become landmarks.
+    and the worst of those become landmarks.  A clean word weighs as many sentences as it
+    is in, so a common word that resembles an insult is not taken for one.
     """
     rng = np.random.default_rng(seed)
     marking = tuple(w for words in _words(marks) for w in words)
@@ -203,27 +220,34 @@ def fit(toxic: list[str], clean: list[str], marks: list[str], seed: int = 5) ->
             if w.startswith(marking):
                 positive[w] = positive.get(w, 0) + 1
     whole = [words for words in _words(clean) if words]
+    common: dict[bytes, int] = {}
+    for words in whole:
+        for w in set(words) - positive.keys():
+            common[w] = common.get(w, 0) + 1
     drawn = sorted({words[int(rng.integers(len(words)))] for words in whole} - positive.keys())
     if not positive or not drawn:
         return np.zeros(TABLE, np.float32)
+    cost = lambda w: 10.0 * min(common[w], 100)
     landmarks = sorted(positive, key=lambda w: (-positive[w], w))[: LANDMARKS // 2]
     landmarks += [drawn[i] for i in rng.permutation(len(drawn))[: LANDMARKS - len(landmarks)]]
-    seen = {**{w: (1, 100.0) for w in positive}, **{w: (-1, 10.0) for w in drawn}}
+    seen = {**{w: (1, 100.0) for w in positive}, **{w: (-1, cost(w)) for w in drawn}}
+    every = sorted(common)
+    codes = np.frombuffer(bytes([_SPACE]) + bytes([_SPACE]).join(every) + bytes([_SPACE]) * SPAN, np.uint8)
     for turn in range(ROUNDS + 1):
         marks_of = Landmarks(landmarks)
         z = [marks_of.features(w) for w in seen]
         table = marks_of.table(_machine(z, [y for y, _ in seen.values()], [c for _, c in seen.values()]))
         if turn == ROUNDS:
             break
-        every = sorted({w for words in whole for w in words} - seen.keys())
-        codes = np.frombuffer(bytes([_SPACE]) + bytes([_SPACE]).join(every) + bytes([_SPACE]) * SPAN, np.uint8)
-        worst = dict(zip(every, Model(table, np.zeros(N_FEATURES + 1)).word_margins(codes)[1].tolist()))
-        new = {max(words, key=lambda w: worst.get(w, -1.0)) for words in whole}
-        new = sorted((w for w in new if worst.get(w, -1.0) > -0.5), key=lambda w: (-worst[w], w))
-        if not new:
+        margin = dict(zip(every, Model(table, np.zeros(N_FEATURES + 1)).word_margins(codes)[1].tolist()))
+        worst = {max(own, key=lambda w: margin[w]) for words in whole if (own := [w for w in words if w in margin])}
+        worst = sorted((w for w in worst if margin[w] > -0.5), key=lambda w: (-margin[w], w))
+        known = set(landmarks)
+        more = [w for w in worst if w not in known][: LANDMARKS // 2]
+        if not more:
             break
-        seen |= {w: (-1, 10.0) for w in new}
-        landmarks += new[: LANDMARKS // 2]
+        seen |= {w: (-1, cost(w)) for w in worst}
+        landmarks += more
     return table
 
 
@@ -235,7 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
         share = n.get(1, 0) / max(1, sum(n.values())) if n else 0.5
         return Model(np.zeros(TABLE, np.float32), np.append(np.zeros(N_FEATURES), np.log((share + 1e-6) / (1 - share + 1e-6))))
     # A copied text brings its sentences again; only distinct ones count as evidence.
-    split = Table(rows.select("label", F.explode(F.split("text", r"[.!?\n]")).alias("sentence")).where("length(sentence) BETWEEN 8 AND 400").distinct(), "sentences")
+    sentences_of = F.flatten(F.transform(F.split("text", r"[.!?\n]"), lambda x: F.regexp_extract_all(x, F.lit(_PIECES), F.lit(0))))
+    split = Table(rows.select("label", F.explode(sentences_of).alias("sentence")).distinct(), "sentences")
     total = {r[0]: r[1] for r in split.df.groupBy("label").agg(F.count("*")).collect()}
     words = F.array_distinct(F.split(F.lower("sentence"), r"[^\p{L}]+"))
     word = split.df.select("label", "sentence", F.explode(words).alias("word"))
