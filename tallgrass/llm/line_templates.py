@@ -45,8 +45,8 @@ _KEY = ["doc", "version"]
 
 def masked(line: Column) -> Column:
     """A line with single spaces and a mark in place of each token that holds a digit."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(plain)
+    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(plain)
 
 
 def _size(line: Column) -> Column:
@@ -60,8 +60,8 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _parsed(documents: DataFrame) -> DataFrame:
     """(doc, version, line_no, leaf, line): hashes of the leaf and of the masked line, for lines with a word and enough constants."""
-    each = documents.select(*_KEY, F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    each = each.select(*_KEY, "line_no", masked(F.col("line")).alias("line"))
+    # masked inside the generator, so that no filter on a line computes it again
+    each = documents.select(*_KEY, F.posexplode(F.transform("lines", masked)).alias("line_no", "line")).where("line <> ''")
     variable = F.regexp_count("line", F.lit(r"(?<![^ ])<\*>(?![^ ])"))
     each = each.where(~F.contains("line", F.lit(VARIABLE)) | (_size(F.col("line")) - variable >= SIMILARITY * _size(F.col("line"))))
     return each.select(*_KEY, "line_no", F.xxhash64(_size(F.col("line")), F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("line"))
