@@ -1,22 +1,26 @@
 """Personal data: fixed patterns, and a character-level BiLSTM-CRF that adds spans.
 
 The tagger is trained in numpy on labelled spans: windows of a bounded sample of
-documents, labelled by the patterns.  Half the spans are written another way first
-(a phone number without its country code, spaces about an ``@``, dots in a card
-number) and unrelated numbers are put between them, so that the tagger learns more
-than the patterns know.
+documents, labelled by the patterns.  Most spans are written another way first
+(a phone number without its country code and in other groups, spaces or brackets about
+an ``@``, other marks between the groups of a card number) and unrelated numbers are put
+between them, so that the tagger learns more than the patterns know.
 
 Tagging: a span has to hold a digit or an ``@`` and may reach ``REACH`` characters
 beyond the nearest one, so only stretches around such characters have any other
 reading than 'no personal data' and only they are run through the network, in
 overlapping windows.  Each character takes its scores from the window in which it
 is most central, and one Viterbi pass over the whole stretch reconciles the
-windows.  Pattern spans stay; a tagged span is added where it overlaps none, its
-lowest CRF marginal is at least ``CONFIDENCE`` and it can be a datum of its kind.
-
-Defined results: a null text counts as empty (no spans); repeated rows each get
-a row; an empty table gives an empty result and an untrained tagger adds nothing;
-other columns are ignored.
+windows.  A stretch is passed over only if no path with any other tag can beat 'no
+personal data' throughout, by a bound over its scores and all transitions.  Pattern
+spans stay; a tagged span is added where it overlaps none, its lowest CRF marginal is
+at least ``CONFIDENCE`` and it can be a datum of its kind.
+
+Defined results: a null text counts as empty (no spans); spans with one start are listed
+in the order of kinds; a very long text is tagged whole, stretch by stretch, so its
+scores grow with its digits; repeated rows each get a row; an empty table gives an empty
+result and an untrained tagger adds nothing; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from tallgrass.llm import textbatch as tb
 from tallgrass.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents the labelled windows come from, windows used with spans and as many without, their length.
-SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_WINDOW, STEPS = 4_000, 1_200, 64, 400
+#: Documents the labelled windows come from, windows used with spans and three quarters as many without, their length.
+SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_WINDOW, STEPS = 6_000, 3_000, 64, 1_000
 #: Writings of each labelled span.
-WRITINGS = 4
+WRITINGS = 8
 WINDOW, STRIDE, REACH = 96, 48, 40
-CONFIDENCE = 0.9
+CONFIDENCE, HIDDEN = 0.5, 24
 
 _AT = re.compile(r"@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -111,16 +115,24 @@ def symbols(text: str) -> np.ndarray:
 OTHER_NUMBERS = ("9999-99-99", "99/99/9999", "99.99.9999", "99:99:99", "9,999,999", "9999.99", "v9.99.9", "99999", "999-9999", "#999999", "9999 9999", "999 999 999 999", "99 999 999", "999-9-99-999999-9", "999999-99999")
 
 
+#: Sizes of the groups that digits of a phone number are written in, and what stands between groups or about an ``@``.
+GROUPS = ((3, 3, 4), (3, 4, 4), (2, 4, 4), (4, 3, 3), (3, 2, 2, 2), (5, 5), (3, 7), (4, 6), (2, 2, 2, 2, 2))
+BETWEEN = ("-", ".", " ", "/", " - ", "")
+ABOUT_AT = (" @ ", "@ ", " @", "(@)", "[@]", " (@) ")
+
+
 def other_writing(kind: int, found: str, rng: np.random.Generator) -> str:
-    """The same datum as the patterns do not read it: a phone number without country code, spaces about an ``@``, dots in a card number."""
+    """The same kind of datum as the patterns do not read it; a phone number gets other digits and groups, a card number other marks."""
     if kind == 0:
-        return found.replace("@", (" @ ", "@ ", " @")[rng.integers(3)])
+        return found.replace("@", ABOUT_AT[rng.integers(len(ABOUT_AT))])
     if kind == 2:
         digits = re.sub("[^0-9]", "", found)
-        return (".", "  ")[rng.integers(2)].join(digits[k : k + 4] for k in range(0, len(digits), 4))
-    groups = re.findall("[0-9]+", re.sub(r"^\+[0-9]{1,3}(?=[^0-9])", "", found))
-    rest = ("-", ".", " ", " ", "-")[shape := int(rng.integers(5))].join(groups[shape >= 3 :])
-    return f"({groups[0]}) {rest}" if shape >= 3 else rest
+        return (".", "  ", " - ", "/", "_")[rng.integers(5)].join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    groups = ["".join(map(str, rng.integers(0, 10, n))) for n in GROUPS[rng.integers(len(GROUPS))]]
+    between = [BETWEEN[k] for k in (rng.integers(0, 5, len(groups) - 1) if rng.random() < 0.3 else np.full(len(groups) - 1, rng.integers(0, 5)))]
+    if rng.random() < 0.4:
+        groups[0], between[0] = f"({groups[0]})", (" ", "", "-")[rng.integers(3)]
+    return "".join(g + m for g, m in zip(groups, [*between, ""]))
 
 
 def varied(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
@@ -128,7 +140,7 @@ def varied(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generato
     edits = []
     for k, (s, kind, e) in enumerate(spans):
         apart = (k == 0 or spans[k - 1][2] <= s) and (k + 1 == len(spans) or e <= spans[k + 1][0])
-        if kind != 1 and apart and rng.random() < 0.5:
+        if kind != 1 and apart and rng.random() < 0.7:
             edits.append((s, e, other_writing(kind, text[s:e], rng)))
     gap = text.find(" ", int(rng.integers(len(text)))) if text else -1
     if gap >= 0 and not any(s - 1 <= gap <= e for s, _, e in spans):
@@ -196,12 +208,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ta
 
     windows = chosen.select("doc_id", "text").mapInArrow(run, "doc_id long, k int, spans boolean, x binary, y binary")
     order = [F.xxhash64("doc_id", "k"), "doc_id", "k"]
-    found = windows.where("spans").orderBy(*order).limit(SAMPLE_WINDOWS).unionByName(windows.where("NOT spans").orderBy(*order).limit(SAMPLE_WINDOWS)).collect()
+    found = windows.where("spans").orderBy(*order).limit(SAMPLE_WINDOWS).unionByName(windows.where("NOT spans").orderBy(*order).limit(3 * SAMPLE_WINDOWS // 4)).collect()
     found = sorted({(bytes(r["x"]), bytes(r["y"])) for r in found})
     if not any(np.frombuffer(y, np.int8).any() for _, y in found):
         return None
     x, y = (np.stack([np.frombuffer(r[k], np.int8).astype(np.int64) for r in found]) for k in (0, 1))
-    tagger = Tagger(SYMBOLS, TAGS)
+    tagger = Tagger(SYMBOLS, TAGS, HIDDEN)
     tagger.fit(x, y, STEPS)
     return tagger
 
@@ -210,10 +222,21 @@ def plausible(kind: int, found: str) -> bool:
     """Whether the characters of a tagged span can be a datum of its kind."""
     digits = re.sub("[^0-9]", "", found)
     if kind == 0:
-        return bool(re.fullmatch(r"[^@\s]+\s*@\s*[^@\s]+\.[^@\s]+", found))
+        return bool(re.fullmatch(r"[^@\s]+\s*[(\[]?@[)\]]?\s*[^@\s]+\.[^@\s]+", found))
     if kind == 1:
         return len(parts := re.findall("[0-9]+", found)) == 4 and all(len(x) < 4 and int(x) <= 255 for x in parts)
-    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
+
+
+def most_gain(tagger: Tagger) -> float:
+    """What transitions can add, at most, to the score of each place with another tag over staying at 'no personal data'.
+
+    A run of n other tags gains n scores, n - 1 steps inside it and the ways in and out:
+    if no score makes up for the dearer of a step and both ways, no run does.
+    """
+    gain = np.where(ALLOWED, tagger.p["t"], -1e9) - float(tagger.p["t"][0, 0])
+    ways = max(float(gain[0, 1:].max()), 0.0) + max(float(gain[1:, 0].max()), 0.0)  # none at either end of a text
+    return max(float(gain[1:, 1:].max()), ways)
 
 
 def tagged_spans(tagger: Tagger, texts: list[str], known: list[list[tuple[int, int, int]]] | None = None) -> list[list[tuple[int, int, int, float]]]:
@@ -249,9 +272,10 @@ def tagged_spans(tagger: Tagger, texts: list[str], known: list[list[tuple[int, i
             better = central[: b - a] > depth[j][a:b]
             scores[j][a:b][better] = e[: b - a, c][better]
             depth[j][a:b][better] = central[: b - a][better]
+    least = -most_gain(tagger)
     out: list[list] = [[] for _ in texts]
     for (k, s, _), e in zip(jobs, scores):
-        if e[:, 1:].max(1).max() < e[:, 0].min():
+        if float((e[:, 1:].max(1) - e[:, 0]).max()) < least:
             continue
         tags = tagger.viterbi(e, ALLOWED)
         read = []

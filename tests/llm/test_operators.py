@@ -279,7 +279,7 @@ def test_pii_other_writings():
         assert [k for _, k, _ in spans] == [k for _, k, _ in base]
         for (s, k, e), (a, _, b) in zip(base, spans):
             was, now = (re.sub("[^0-9a-z@]", "", t) for t in (text[s:e], new[a:b]))
-            assert now == was or (k == 3 and was == "1" + now)
+            assert now == was or (k == 3 and 9 <= len(now) <= 11)
             assert pii.plausible(k, new[a:b])
     assert pii.varied("", [], np.random.default_rng(0)) == ("", []) and pii.sample_windows("", 0) == []
     assert not pii.plausible(2, "4111.1111.1111.1112") and not pii.plausible(3, "555-0134") and not pii.plausible(1, "1.2.3.999") and not pii.plausible(0, "@ home")
