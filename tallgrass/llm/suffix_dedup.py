@@ -22,10 +22,15 @@ A bucket with very many different rows is dealt out by the hash of each of its
 100-byte strings instead, so no task holds it whole.  Documents meet their repeats
 in one join; both uses of the texts share its exchange.
 
+Rows of one doc_id, or without one, are told apart by a hash of their texts, and equal
+ones are handled once: the copies lose everything that 100-byte strings cover.  No task
+gathers the rows of an id.
+
 Defined results: a null text counts as empty; a text below 100 bytes loses nothing;
 a null doc_id counts as smaller than any other; rows of one doc_id count in the
-order of their texts; an empty table gives an empty result; other columns are
-ignored.
+order of the hashes of their texts, equal ones one after the other; a very long text is
+bucketed in overlapping pieces and cut whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -163,11 +168,12 @@ def cover(size: int, lo: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _with_seq(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, seq, text); seq tells rows of one doc_id apart and is made only if there are any."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """(doc, seq, text, copies) of the distinct rows; seq, a hash of the text, tells rows of one doc_id apart if there are any."""
+    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     if base.groupBy("doc").count().where("count > 1").limit(1).isEmpty():
-        return base.select("doc", F.lit(0).alias("seq"), "text")
-    return Table(base.withColumn("seq", F.row_number().over(Window.partitionBy("doc").orderBy("text"))).select("doc", "seq", "text"), "rows").df
+        return base.select("doc", F.lit(0).cast("long").alias("seq"), "text", F.lit(1).cast("long").alias("copies"))
+    rows = base.groupBy("doc", F.xxhash64("text").alias("seq")).agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    return Table(rows, "rows").df
 
 
 def known_repeats(bucket: np.ndarray, covered: np.ndarray, place: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -205,7 +211,7 @@ def _bucket_rows(docs: DataFrame) -> DataFrame:
                 for shift, lo, piece, ends in _pieces(data, offsets):
                     text, start, count, bucket, covered = initial_buckets(piece, ends)
                     text = text + shift
-                    rows.append((bucket, covered, doc[text], seq[text].astype(np.int32), (start + lo).astype(np.int32), count.astype(np.int32)))
+                    rows.append((bucket, covered, doc[text], seq[text], (start + lo).astype(np.int32), count.astype(np.int32)))
                     size += len(text)
                     if size >= COMBINED_ROWS:
                         yield combine(rows)
@@ -213,7 +219,7 @@ def _bucket_rows(docs: DataFrame) -> DataFrame:
         if rows:
             yield combine(rows)
 
-    return docs.mapInArrow(run, "bucket long, covered long, doc long, seq int, lo int, n int, held boolean")
+    return docs.mapInArrow(run, "bucket long, covered long, doc long, seq long, lo int, n int, held boolean")
 
 
 def _shared_rows(rows: DataFrame) -> DataFrame:
@@ -252,7 +258,7 @@ def _contexts(batches):
 
 def _context_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
 
 
 def _refine_sorted(batches):
@@ -263,7 +269,7 @@ def _refine_sorted(batches):
         cols = [part.column(k).to_numpy() for k in range(1, 4)]
         found = repeats(cols[0], cols[1], cols[2].astype(np.int64), part.column(4).to_pylist())
         row = found[:, 0]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0][row]), pa.array(cols[1][row].astype(np.int32)), pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 2].astype(np.int32))], ["doc", "seq", "lo", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0][row]), pa.array(cols[1][row]), pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 2].astype(np.int32))], ["doc", "seq", "lo", "n"])
 
     def cut(table: pa.Table, last: bool):
         """Yields whole keys, about REFINE_BYTES at a time; returns the rest."""
@@ -293,33 +299,45 @@ def _refine_sorted(batches):
 
 
 def _cut_texts(batches):
+    nothing = hashlib.sha256(b"").hexdigest()
     for batch in batches:
         out = []
-        for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for doc, text, copies, spans in zip(*(batch.column(k).to_pylist() for k in range(4))):
             raw = text.encode()
             gone = np.zeros(len(raw), bool)
             if spans:
                 gone = cover(len(raw), np.array([s["lo"] for s in spans]), np.array([s["n"] for s in spans]))
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
             runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            out.append((None if doc == _NO_ID else doc, len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
-        cols = list(zip(*out)) if out else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            own = None if doc == _NO_ID else doc
+            out.append((own, len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
+            again = (own, len(raw), len(raw), 1, nothing, b"") if len(raw) >= LENGTH else out[-1]
+            for _ in range(copies - 1):
+                out.append(again)
+                if len(out) >= 10_000:
+                    yield _cut_batch(out)
+                    out = []
+        yield _cut_batch(out)
+
+
+def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
     """One row per input row: sizes, the digest of what is left and, if wanted, the bytes that are left."""
     texts = _with_seq(docs, id_col, text_col)
-    shared = Table(_shared_rows(_bucket_rows(texts)), "shared").df
     key = ["doc", "seq"]
+    shared = Table(_shared_rows(_bucket_rows(texts)), "shared").df
     row = F.struct("bucket", "lo", "n", "state")
     firsts = shared.where("state > 0").groupBy(*key).agg(F.collect_list(row).alias("rows"))
-    contexts = texts.join(firsts, key).select("doc", "seq", "text", "rows").mapInArrow(_contexts, "key long, doc long, seq int, lo int, context binary")
-    refined = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_refine_sorted, "doc long, seq int, lo int, n int")
+    contexts = texts.join(firsts, key).select("doc", "seq", "text", "rows").mapInArrow(_contexts, "key long, doc long, seq long, lo int, context binary")
+    refined = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_refine_sorted, "doc long, seq long, lo int, n int")
     spans = shared.where("state = 0").select(*key, "lo", "n").unionByName(refined)
     by_doc = spans.groupBy(*key).agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    cut = texts.join(by_doc, key, "left").select("doc", "text", "spans").mapInArrow(_cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = texts.join(by_doc, key, "left").select("doc", "text", "copies", "spans").mapInArrow(_cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return cut if keep_bytes else cut.drop("kept")
 
 

@@ -187,8 +187,10 @@ def test_decontamination(spark, docs, empty):
 
 def test_substring_dedup(spark, docs, texts, empty, monkeypatch):
     cases = texts + [(2000 + i, t) for i, t in enumerate(["a" * 400, "ab" * 200, "x" * 99, "x" * 100, "y" * 101 + "z", ("abc" * 50 + "Q") * 3, "é" * 120 + "a" * 100])]
+    cases += [(None, "n" * 300), (None, "m" * 200 + "n" * 150), (None, "n" * 300), (2001, "n" * 120), (2001, "q" * 40), (2001, "q" * 40)]
+    hashed = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in cases], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
     seen, want = set(), collections.Counter()
-    for d, t in sorted(cases, key=lambda r: (-(1 << 63) if r[0] is None else r[0], r[1] or "")):
+    for d, t in sorted(cases, key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashed[r[1] or ""])):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - 99):
@@ -211,12 +213,13 @@ def test_bpe_against_the_library(docs, texts, empty):
     coder = bpe.codec(path, pattern)
     ref = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(coder.tokens)}, special_tokens={})
     odd = ["a''s 's", "  's \n's\t\t x", "don't we'll ''ll'vex", "١٢ ½ ñ🙂🙂 　 x", "   ", "\n\n a", "aaaa" * 500, "!!!'s", "<|endoftext|>", "z" * 3000]
-    for t in [t or "" for _, t in texts[:80]] + odd:
+    for t in [t or "" for _, t in texts] + odd:
         ids = coder.encode(t)
         assert ids.tolist() == ref.encode_ordinary(t) and coder.decode(ids).decode() == t
     assert all(coder.whole.find(t) == i for i, t in enumerate(coder.tokens[:2000])) and coder.whole.find(b"no such token") == -1
-    got = collections.Counter((r.doc_id, r.decoded_sha256) for r in bpe.round_trip(docs, path, pattern).collect())
-    assert got == collections.Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in texts)
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, path, pattern).collect())
+    library = [(d, t or "", np.array(ref.encode_ordinary(t or ""), "<u4")) for d, t in texts]
+    assert got == collections.Counter((d, len(i), hashlib.sha256(i.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t, i in library)
     assert bpe.encode_documents(docs, path, pattern, decoded_col="n_words").where(~F.col("n_words").eqNullSafe(F.coalesce("text", F.lit("")))).isEmpty()
     assert bpe.round_trip(empty, path, pattern).count() == 0
 
