@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions.scalars import hash_bucket, hash_uniform, price_response
 from tallgrass.operators.model import money
+from tallgrass.operators.prefix import running_total
 
 #: The discount menu.
 MENU = (0.0, 0.1, 0.2, 0.3)
@@ -48,23 +49,37 @@ def offers(base: DataFrame, eps: float, menu=MENU) -> DataFrame:
     return d.select("id", "discount", p.alias("p"), (p * F.col("price") * (1 - F.col("discount"))).alias("revenue"), (p * F.col("price") * F.col("discount")).alias("spend"))
 
 
-def allocate_greedy(offer: DataFrame, budget: float) -> DataFrame:
-    """Discount steps by marginal revenue per unit of spend until the budget is reached; a prefix, nothing skipped.
-
-    Steps without gain are left out. The running total is a two-level prefix sum:
-    within buckets of the order key in parallel, over the few buckets once.
-    """
+def discount_steps(offer: DataFrame) -> DataFrame:
+    """(id, discount, gain, cost, ratio): what each step of the menu adds in revenue and spend; steps without gain are left out."""
     step = Window.partitionBy("id").orderBy("discount")
     gain = F.col("revenue") - F.lag("revenue").over(step)
     cost = F.col("spend") - F.lag("spend").over(step)
     steps = offer.select("id", "discount", F.round(gain, 6).alias("gain"), F.round(cost, 6).alias("cost")).where((F.col("gain") > 0) & (F.col("cost") > 0))
-    steps = steps.withColumn("ratio", F.round(F.col("gain") / F.col("cost"), 6)).withColumn("bucket", F.floor(F.col("ratio") * 1000))
+    return steps.withColumn("ratio", F.round(F.col("gain") / F.col("cost"), 6))
+
+
+def allocate_greedy(offer: DataFrame, budget: float) -> DataFrame:
+    """Discount steps by marginal revenue per unit of spend until the budget is reached; a prefix, nothing skipped."""
     order = [F.desc("ratio"), F.asc("id"), F.asc("discount")]
-    inner = F.sum(F.col("cost").cast("decimal(20,6)")).over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    per = steps.groupBy("bucket").agg(F.sum(F.col("cost").cast("decimal(20,6)")).alias("c"))
-    offset = F.coalesce(F.sum("c").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    running = steps.withColumn("inner", inner).join(per.select("bucket", offset.alias("offset")), "bucket")
-    return running.withColumn("spent", (F.col("inner") + F.col("offset")).cast("double")).where(F.col("spent") <= budget).select("id", "discount", "gain", "cost", "spent")
+    spent = running_total(discount_steps(offer), order, F.col("cost").cast("decimal(20,6)"), "spent")
+    return spent.withColumn("spent", F.col("spent").cast("double")).where(F.col("spent") <= budget).select("id", "discount", "gain", "cost", "spent")
+
+
+def allocation_bound(offer: DataFrame, budget: float) -> DataFrame:
+    """The greedy allocation beside its linear program: gain and spend of the prefix, and the optimum with a fractional last step.
+
+    Ratios fall along each id's menu, so the relaxed program takes steps in the order of
+    their ratios too, and the part of the first step beyond the budget that still fits.
+    """
+    order = [F.desc("ratio"), F.asc("id"), F.asc("discount")]
+    spent = running_total(discount_steps(offer), order, F.col("cost").cast("decimal(20,6)"), "spent").withColumn("spent", F.col("spent").cast("double"))
+    inside = F.col("spent") <= budget
+    part = F.greatest(F.lit(0.0), F.least(F.col("cost"), budget - (F.col("spent") - F.col("cost"))))
+    return spent.agg(
+        F.count(F.when(inside, 1)).alias("n_steps"), F.round(F.sum(F.when(inside, F.col("gain").cast("decimal(20,6)"))).cast("double"), 4).alias("greedy_gain"),
+        F.round(F.sum(F.when(inside, F.col("cost").cast("decimal(20,6)"))).cast("double"), 4).alias("greedy_spend"),
+        F.round(F.sum(F.col("gain") * part / F.col("cost")), 4).alias("lp_gain"),
+    )
 
 
 def guardrails(decisions: DataFrame, catalog: DataFrame, thresholds: dict[str, float]) -> DataFrame:

@@ -6,14 +6,14 @@ All rankings have a total order: metric descending, id ascending.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.scalars import recency_weight
 
-#: Item vectors up to which the item side is sent to all tasks; beyond, blocks meet in a shuffle.
-BROADCAST_VECTORS = 200_000
+#: Vectors in a block of queries and in a block of items: some 2 MB and 4 MB at 128 floats each.
+QUERY_ROWS, ITEM_ROWS = 4_096, 8_192
 
 
 def top_k(df: DataFrame, by: list[str], order, k: int, rank: str = "rank") -> DataFrame:
@@ -77,30 +77,54 @@ def covisit_candidates(tx: DataFrame, pairs: DataFrame, as_of, lookback: int = 9
     return top_k(score, ["customer_id"], [F.desc("score"), "article_id"], n)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, n_blocks: int = 64, qid: str = "q_id", iid: str = "item_id", vec: str = "v") -> DataFrame:
-    """Exact inner-product top-k: blocked matrix products, a top-k per block, then one per query.
-
-    Few items go to every task; more are dealt into blocks that each query batch visits.
+def _packed(df: DataFrame, ident: str, vec: str, rows: int, names: tuple[str, str, str]) -> DataFrame:
+    """Blocks of about ``rows`` vectors, each as its ids and one flat array."""
+    block, ids, flat = names
+    n = df.count()
+    blocks = max(1, -(-n // rows))
+    each = df.select(F.pmod(F.xxhash64(ident), F.lit(blocks)).alias(block), F.struct(F.col(ident).cast("long").alias("i"), F.col(vec).cast("array<float>").alias("v")).alias("x"))
+    return each.groupBy(block).agg(F.collect_list("x").alias("x")).select(block, F.col("x.i").alias(ids), F.flatten("x.v").alias(flat))
+
+
+def block_topk(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, score) of the k best items of each query by one matrix product; scores to six places, ties by id."""
+    if not len(q_ids) or not len(i_ids):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    out = []
+    for lo in range(0, len(q_ids), 256):
+        scores = np.round(q[lo : lo + 256].astype(np.float64) @ items.T.astype(np.float64), 6) + 0.0
+        k_ = min(k, len(i_ids))
+        least = np.partition(scores, len(i_ids) - k_, axis=1)[:, len(i_ids) - k_]
+        row, col = np.nonzero(scores >= least[:, None])
+        order = np.lexsort((i_ids[col], -scores[row, col], row))
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, np.arange(scores.shape[0]))
+        keep = np.arange(len(row)) - first[row] < k_
+        out.append((q_ids[lo + row[keep]], i_ids[col[keep]], scores[row[keep], col[keep]]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, qid: str = "q_id", iid: str = "item_id", vec: str = "v") -> DataFrame:
+    """Exact inner-product top-k: matrix products of blocks of queries and blocks of items, a top-k per pair, then one per query.
+
+    Each pair of blocks meets once, as flat arrays; every block of items is sent to each
+    block of queries, so what moves is the items times the blocks of queries. Neither
+    side is collected or broadcast, whatever its size.
     """
-    n_items = items.count()
-    blocks = 1 if n_items <= BROADCAST_VECTORS else -(-n_items // BROADCAST_VECTORS)
-    it = items.select(F.col(iid).alias("i"), F.col(vec).alias("iv"), F.pmod(F.xxhash64(iid), F.lit(blocks)).alias("block"))
-    packed = it.groupBy("block", F.pmod(F.xxhash64("i", F.lit(1)), F.lit(max(1, min(n_blocks, n_items // 4096))))).agg(F.collect_list(F.struct("i", "iv")).alias("items"))
-    q = queries.select(F.col(qid).alias("q"), F.col(vec).alias("qv"))
-    both = q.crossJoin(F.broadcast(packed.select("items"))) if blocks == 1 else q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+    q = _packed(queries, qid, vec, QUERY_ROWS, ("qb", "q", "qv"))
+    it = _packed(items, iid, vec, ITEM_ROWS, ("ib", "i", "iv"))
+    n_blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    met = it.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(q, "qb")
+    both = met.select("q", "qv", "i", "iv").repartition(max(1, min(n_blocks * max(1, -(-items.count() // ITEM_ROWS)), 4096)))
 
     def score(batches):
-        for pdf in batches:
-            out = []
-            for q_id, qv, own in zip(pdf["q"], pdf["qv"], pdf["items"]):
-                ids = np.array([x["i"] for x in own])
-                m = np.array([x["iv"] for x in own], dtype=np.float64)
-                s = np.round((m * np.asarray(qv, dtype=np.float64)).sum(1), 6)
-                best = np.lexsort((ids, -s))[:k]
-                out.append(pd.DataFrame({"q": q_id, "i": ids[best], "score": s[best]}))
-            yield pd.concat(out) if out else pd.DataFrame({"q": [], "i": [], "score": []})
-
-    found = both.select("q", "qv", "items").mapInPandas(score, "q long, i long, score double")
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (q_ids, qv, i_ids, iv) = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(4))
+                q_, i_, s = block_topk(q_ids, qv.reshape(len(q_ids), -1), i_ids, iv.reshape(len(i_ids), -1), k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_, pa.int64()), pa.array(i_, pa.int64()), pa.array(s, pa.float64())], ["q", "i", "score"])
+
+    found = both.mapInArrow(score, "q long, i long, score double")
     return top_k(found, ["q"], [F.desc("score"), "i"], k).select(F.col("q").alias(qid), F.col("i").alias(iid), "score", "rank")
 
 

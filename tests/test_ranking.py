@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.functions import scalars as s
 from tallgrass.operators import decision, ranking, retrieval
+from tallgrass.operators.prefix import running_total
 
 
 def test_recall_by_hand(spark):
@@ -19,6 +21,36 @@ def test_vector_topk_returns_exact_ids(spark):
     assert {(r.q_id, r.item_id) for r in got} == {(100 + i, 100 + i) for i in range(5)}
 
 
+def test_vector_topk_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    v = rng.integers(-2, 3, (60, 4)).astype(float)  # many ties
+    items = spark.createDataFrame([(200 - i, x.tolist()) for i, x in enumerate(v)], "item_id long, v array<double>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.integers(-2, 3, (23, 4)).astype(float))], "q_id long, v array<double>")
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 5)
+    monkeypatch.setattr(retrieval, "ITEM_ROWS", 7)
+    got = {(r.q_id, r["rank"]): (r.item_id, r.score) for r in retrieval.vector_topk(queries, items, 9).collect()}
+    for q in queries.collect():
+        best = sorted(((-float(np.dot(q.v, x)), 200 - i) for i, x in enumerate(v)))[:9]
+        assert [got[(q.q_id, k + 1)] for k in range(9)] == [(i, -s) for s, i in best]
+    assert len(got) == 23 * 9
+    assert retrieval.vector_topk(queries.limit(0), items, 3).count() == 0 and retrieval.vector_topk(queries, items.limit(0), 3).count() == 0
+
+
+def test_running_total_of_one_hot_key_and_of_distinct_ones(spark):
+    df = spark.createDataFrame([(1.0, k, k % 5) for k in range(300)], "ratio double, id int, cost int")
+    got = {r.id: r.t for r in running_total(df, [F.desc("ratio"), F.asc("id")], F.col("cost"), "t").collect()}
+    assert got == dict(enumerate(np.cumsum([k % 5 for k in range(300)]).tolist()))
+    assert running_total(df.limit(0), [F.asc("id")], F.col("cost"), "t").count() == 0
+
+
+def test_auc_of_distinct_scores(spark):
+    rng = np.random.default_rng(1)
+    y, x = rng.integers(0, 2, 500), rng.random(500)
+    want = (x[y == 1][:, None] > x[y == 0]).mean()
+    got = ranking.auc(spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "score double, label int")).first()
+    assert got.auc == pytest.approx(want, abs=1e-8)
+
+
 def test_contributions(spark):
     a = spark.createDataFrame([(1, 1), (1, 2)], "customer_id int, article_id int")
     b = spark.createDataFrame([(1, 2), (1, 3)], "customer_id int, article_id int")

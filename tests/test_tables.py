@@ -80,15 +80,47 @@ def test_evolution_is_metadata_only(spark, tmp_path):
     assert t.read(first).columns == ["id", "name"] and t.read(first).count() == 1
 
 
-def test_concurrent_commit_fails(spark, tmp_path):
-    t = SnapshotTable(spark, str(tmp_path / "t"))
-    t.create("id int")
-    stale = SnapshotTable(spark, str(tmp_path / "t"))
-    ids = stale.snapshot_ids()
-    stale.snapshot_ids = lambda: ids
-    t.append(spark.createDataFrame([(1,)], "id int"))
-    with pytest.raises(ConcurrentCommit):
-        stale._commit("x", [], {}, None, 1)
+def _interleaved(t, during):
+    """``t`` with another commit made between its reading of the manifest and its own commit."""
+    write = t._write
+
+    def slow(*args):
+        t._write = write
+        made = write(*args)
+        during()
+        return made
+
+    t._write = slow
+    return t
+
+
+@pytest.mark.parametrize("change", ["append", "overwrite_partitions", "replace", "merge", "append_once", "evolve"])
+def test_two_writers_lose_nothing(spark, tmp_path, change):
+    path = str(tmp_path / "t")
+    t, other = SnapshotTable(spark, path), SnapshotTable(spark, path)
+    t.create("id int, _source_file string", None)
+    row = lambda k: spark.createDataFrame([(k, f"f{k}")], "id int, _source_file string")
+    t.append(row(0))
+    _interleaved(t, lambda: other.append(row(2)))
+    if change == "append":
+        t.append(row(1))
+        assert sorted(r.id for r in t.read().collect()) == [0, 1, 2]
+        return
+    if change == "append_once":
+        _interleaved(t, lambda: other.append_once(row(1).drop("_source_file"), "late"))
+        assert t.append_once(row(1).drop("_source_file"), "late") is None
+        assert t.read().where("_source_file = 'late'").count() == 1
+        return
+    if change == "evolve":
+        m = t.manifest()
+        other.append(row(2))
+        t.manifest = lambda *a: m
+        with pytest.raises(ConcurrentCommit):
+            t.add_column("x", T.IntegerType())
+    else:
+        with pytest.raises(ConcurrentCommit):
+            t.merge(row(1), "id") if change == "merge" else getattr(t, change)(row(1))
+    assert sorted(r.id for r in other.read().collect()) == [0, 2] and other.snapshot_ids() == [1, 2, 3]
 
 
 def test_upsert_semantics(spark, warehouse):
