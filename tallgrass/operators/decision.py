@@ -117,6 +117,14 @@ def sample_policy(policy: DataFrame, by: list[str], item: str = "article_id") ->
     return drawn.drop("__hi", "__u", "__last")
 
 
+def fit_reward_model(logged: DataFrame, context: list[str], action: str, prior: float = 10.0, slice_col: str = "slice") -> DataFrame:
+    """(context, action, q): mean reward, drawn to the mean over contexts by ``prior`` pseudo-rows; from the ``ope_env`` slice only."""
+    own = logged.where(F.col(slice_col) == "ope_env")
+    total = own.groupBy(action).agg((F.sum("reward") / F.count("*")).alias("overall"))
+    each = own.groupBy(*context, action).agg(F.sum("reward").alias("r"), F.count("*").alias("n"))
+    return each.join(total, action).select(*context, action, ((F.col("r") + prior * F.col("overall")) / (F.col("n") + prior)).alias("q"))
+
+
 def ope(logged: DataFrame) -> DataFrame:
     """Direct, IPS and doubly robust values, effective sample size and largest weight share.
 

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.functions.scalars import day_index
+from tallgrass.functions.scalars import day_index, safe_ratio
+from tallgrass.operators.joins import small_side
 from tallgrass.operators.model import money
 
 WINDOWS = (7, 30, 90)
@@ -95,6 +96,32 @@ def build_features(tx: DataFrame, article_type: DataFrame | None = None, start:
     return out
 
 
+def write_features(table, features: DataFrame, day: str = "day_index") -> int | None:
+    """Features into a table by day: every day that the frame has rows for is replaced whole, so a backfill can run again."""
+    table.create(features.schema, day)
+    return table.overwrite_partitions(features)
+
+
+def relative_price(tx: DataFrame, days: int = 90, epoch: str = "2018-09-20") -> DataFrame:
+    """Each transaction's price over the customer's average price in the ``days`` days before; null without such a day."""
+    past = rolling_features(daily_agg(tx, ["customer_id"], epoch=epoch), ["customer_id"], ["n_txn", "spend"], (days,), prefix="past")
+    past = past.select("customer_id", "day_index", (money(F.col(f"past_spend_{days}d")) / F.nullif(F.col(f"past_n_txn_{days}d"), F.lit(0))).alias("past_price"))
+    return tx.withColumn("day_index", day_index(F.col("t_dat"), epoch)).join(past, ["customer_id", "day_index"]).withColumn("relative_price", safe_ratio(money(F.col("price")), F.col("past_price")))
+
+
+def candidate_features(cands: DataFrame, article_type: DataFrame, customer: DataFrame, article: DataFrame, cross: DataFrame) -> DataFrame:
+    """Candidates (customer, article, day_index) with the features of their own day: plain equi joins, zeros where there is no history.
+
+    Correctness lies in the features' frames, which end the day before; the article side is
+    sent to all tasks if it is small enough.
+    """
+    out = cands.join(small_side(article_type.select("article_id", "product_type")), "article_id")
+    for keys, features in ((["customer_id", "day_index"], customer), (["article_id", "day_index"], small_side(article)), (["customer_id", "product_type", "day_index"], cross)):
+        measures = [c for c in features.columns if c not in keys]
+        out = out.join(features, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in measures})
+    return out
+
+
 def coverage(cohort: DataFrame, features: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Share of a cohort's rows that find a feature."""
     return cohort.join(features.select(*keys, column), keys, "left").agg(F.count("*").alias("n"), F.round(F.avg(F.col(column).isNotNull().cast("double")), 8).alias("coverage"))

@@ -47,6 +47,17 @@ def multiset_diff(a: DataFrame, b: DataFrame, ignore_cols=("_ingested_at",)) ->
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 
+def business_columns(df: DataFrame) -> list[str]:
+    """The columns that are not pipeline metadata: those without a leading underscore."""
+    return [c for c in df.columns if not c.startswith("_")]
+
+
+def row_set_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that only one side has, with a column ``side``: whether rows exist, whatever their values and copies."""
+    a, b = a.select(*keys).distinct(), b.select(*keys).distinct()
+    return a.join(b, keys, "left_anti").withColumn("side", F.lit("a")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("b")))
+
+
 def assert_identical(a: DataFrame, b: DataFrame, ignore_cols=("_ingested_at",)) -> None:
     """Raises unless both frames hold the same rows as often, metadata columns aside."""
     counts = {r["side"]: r["count"] for r in multiset_diff(a, b, ignore_cols).groupBy("side").count().collect()}

@@ -135,6 +135,33 @@ def mean_vector(tx: DataFrame, vectors: DataFrame, as_of, n: int = 10) -> DataFr
     return parts.groupBy("customer_id", "pos").agg((F.round(F.avg(F.col("x").cast("double")), 6) + F.lit(0.0)).alias("x"))
 
 
+def customer_vectors(tx: DataFrame, vectors: DataFrame, as_of, n: int = 10) -> DataFrame:
+    """(customer_id, v): the same means as one array a customer, summed by one aggregate without exploding them."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    recent = repurchase(tx, as_of, n).select("customer_id", "article_id").join(vectors, "article_id")
+    mean = Summarizer.mean(array_to_vector(F.col("v").cast("array<double>")))
+    return recent.groupBy("customer_id").agg(mean.alias("m")).select("customer_id", F.transform(vector_to_array("m"), lambda x: F.round(x, 6)).alias("v"))
+
+
+def popular_for(tx: DataFrame, as_of, days: int, n: int) -> DataFrame:
+    """The best sellers for every customer with a history: at most ``n`` rows are sent to all tasks."""
+    best = popular(tx, as_of, days, n).select("article_id")
+    return before(tx, as_of).select("customer_id").distinct().crossJoin(F.broadcast(best))
+
+
+def baseline_union(tx: DataFrame, as_of, days: int, n_popular: int, n_own: int) -> DataFrame:
+    """(customer, article) of best sellers and own articles, each pair once."""
+    return popular_for(tx, as_of, days, n_popular).unionByName(repurchase(tx, as_of, n_own).select("customer_id", "article_id")).distinct()
+
+
+def candidate_size(cands: DataFrame, row_bytes: int) -> DataFrame:
+    """Candidates, customers, candidates a customer, and the bytes of a table with a row for each."""
+    n = F.count("*")
+    return cands.agg(n.alias("n"), F.countDistinct("customer_id").alias("n_customers"), F.round(n / F.countDistinct("customer_id"), 6).alias("per_customer"), (n * F.lit(row_bytes)).alias("n_bytes"))
+
+
 def union_candidates(**sources: DataFrame) -> DataFrame:
     """(customer, article, sources): every candidate once with its sorted source names."""
     out = None

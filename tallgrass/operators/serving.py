@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.operators.joins import small_side
 
 
 def latest_features(features: DataFrame, day: str = "day_index") -> DataFrame:
@@ -16,15 +17,21 @@ def latest_features(features: DataFrame, day: str = "day_index") -> DataFrame:
 
 
 def recommend(cands: DataFrame, scores: DataFrame, customer_id, k: int = 12) -> tuple[DataFrame, dict[str, float]]:
-    """The customer's k best candidates, and seconds for planning each stage."""
-    took, start = {}, time.perf_counter()
-    own = cands.where(F.col("customer_id") == customer_id)
-    took["retrieve"] = time.perf_counter() - start
-    hydrated = own.join(scores, "article_id", "left")
-    took["hydrate"] = time.perf_counter() - start - took["retrieve"]
-    out = hydrated.orderBy(F.desc_nulls_last("score"), "article_id").limit(k)
-    took["rank"] = time.perf_counter() - start - took["retrieve"] - took["hydrate"]
-    return out, took
+    """The customer's k best candidates, and the seconds that retrieving, hydrating and ranking them took.
+
+    A request handles one customer's few candidates, so each stage ends in the driver.
+    """
+    spark, took, start = cands.sparkSession, {}, time.perf_counter()
+
+    def done(name: str, df: DataFrame) -> DataFrame:
+        nonlocal start
+        rows = spark.createDataFrame(df.collect(), df.schema)
+        took[name], start = time.perf_counter() - start, time.perf_counter()
+        return rows
+
+    own = done("retrieve", cands.where(F.col("customer_id") == customer_id))
+    hydrated = done("hydrate", own.join(scores, "article_id", "left"))
+    return done("rank", hydrated.orderBy(F.desc_nulls_last("score"), "article_id").limit(k)), took
 
 
 def submission(ranked: DataFrame, customers: DataFrame, fallback: list, k: int = 12) -> DataFrame:
@@ -33,6 +40,25 @@ def submission(ranked: DataFrame, customers: DataFrame, fallback: list, k: int =
     return customers.select("customer_id").join(best, "customer_id", "left").select("customer_id", F.coalesce("prediction", F.lit(" ".join(map(str, fallback[:k])))).alias("prediction"))
 
 
+def fill_lists(own: DataFrame, category: DataFrame, best: DataFrame, customers: DataFrame, k: int = 12) -> DataFrame:
+    """(customer_id, article_id, rank): k articles for every customer: own ones, then the category's, then best sellers, each once.
+
+    ``best`` (article_id, rank) holds at least k rows of a short list and goes to all tasks.
+    """
+    rows = own.select("customer_id", "article_id", F.lit(0).alias("tier"), "rank").unionByName(category.select("customer_id", "article_id", F.lit(1).alias("tier"), "rank"))
+    everyone = customers.select("customer_id").crossJoin(F.broadcast(best.select("article_id", "rank"))).select("customer_id", "article_id", F.lit(2).alias("tier"), "rank")
+    once = rows.unionByName(everyone).groupBy("customer_id", "article_id").agg(F.min(F.struct("tier", "rank")).alias("place"))
+    w = Window.partitionBy("customer_id").orderBy("place", "article_id")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("customer_id", "article_id", "rank")
+
+
+def score_catalog(customers: DataFrame, catalog: DataFrame, score, k: int) -> DataFrame:
+    """One stage: every listed customer against every article, k best. The catalogue goes to all tasks if it is small enough."""
+    pairs = customers.crossJoin(small_side(catalog)).withColumn("score", score)
+    w = Window.partitionBy("customer_id").orderBy(F.desc("score"), "article_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def latency(events: DataFrame) -> DataFrame:
     """Exact p50, p95 and p99 of (stage, ms)."""
     return events.groupBy("stage").agg(F.count("*").alias("n"), *(F.round(F.percentile("ms", F.lit(q)), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)))

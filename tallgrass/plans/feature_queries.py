@@ -70,10 +70,12 @@ def pit_spine_rolling(spark, d):
     return _spine(spark, d)[1]
 
 
-@query("feature_coverage", _SPINE + "SELECT count(*) AS n, CAST(1.0 AS DOUBLE) AS coverage FROM r WHERE wanted")
+@query("feature_coverage", _SPINE + ", cohort AS (SELECT customer_id, unnest([7, 14, 21, 28, 31]) AS day_index FROM (SELECT DISTINCT customer_id FROM tx)) SELECT count(*) AS n, round(avg(CASE WHEN ev_n_txn_7d IS NULL THEN 0.0 ELSE 1.0 END), 8) AS coverage FROM cohort LEFT JOIN (SELECT * FROM r WHERE wanted) r USING (customer_id, day_index)")
 def feature_coverage(spark, d):
+    """A cohort with one day that is not on the spine, so its rows find no feature."""
     wanted, rolled = _spine(spark, d)
-    return f.coverage(wanted, rolled, ["customer_id", "day_index"], "ev_n_txn_7d")
+    off = wanted.select("customer_id", F.lit(31).alias("day_index")).distinct()
+    return f.coverage(wanted.unionByName(off), rolled, ["customer_id", "day_index"], "ev_n_txn_7d")
 
 
 @query("rows_vs_range_gap", f"WITH {EV}, d AS (SELECT customer_id, {day(EVENT_EPOCH)} AS day_index, count(*) AS n_txn FROM tx GROUP BY ALL), r AS (SELECT customer_id, day_index, CAST(coalesce(sum(n_txn) OVER (PARTITION BY customer_id ORDER BY day_index RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS by_range, CAST(coalesce(sum(n_txn) OVER (PARTITION BY customer_id ORDER BY day_index ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS by_rows FROM d) SELECT * FROM r WHERE by_range <> by_rows")

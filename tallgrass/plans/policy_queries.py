@@ -165,14 +165,8 @@ def age_buckets(spark, d):
 
 @query("isotonic")
 def isotonic(spark, d):
+    """Fitted on even groups; all rows are calibrated, and ``fold`` tells which were fitted on."""
     rows = _scored(spark, d).select("group_id", "article_id", "score", F.col("label").cast("double").alias("label"))
     fold = F.col("group_id") % 2 == 0
-    return k.fit_calibrator(rows.where(fold)).transform(rows.where(~fold)).select("group_id", "article_id", F.round("calibrated", 6).alias("calibrated"))
-
-
-@query("gbt_rank")
-def gbt_rank(spark, d):
-    rows = a.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("label"))
-    part = lambda lo, hi: rows.where((F.col("l_orderkey") % 10).between(lo, hi))
-    model = k.fit_ranker(part(0, 5), part(6, 7), ["l_quantity", "l_discount", "l_tax"], ["l_orderkey"], depths=(3,))
-    return model.transform(part(8, 9)).select("l_orderkey", "l_linenumber", "prediction")
+    done = k.fit_calibrator(rows.where(fold)).transform(rows)
+    return done.select("group_id", "article_id", F.when(fold, "calib").otherwise("rest").alias("fold"), F.round("calibrated", 6).alias("calibrated"))

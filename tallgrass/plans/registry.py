@@ -9,13 +9,15 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from tallgrass.plans import feature_queries, model_queries, policy_queries, retrieval_queries
+from tallgrass.plans import candidate_queries, feature_queries, model_queries, policy_queries, retrieval_queries, table_queries
 
-_MODULES = (feature_queries, model_queries, retrieval_queries, policy_queries)
+_MODULES = (feature_queries, model_queries, retrieval_queries, policy_queries, table_queries, candidate_queries)
 DAYS = {
     "daily_customer_agg": ["feature_date"], "daily_article_agg": ["feature_date"], "daily_cross_agg": ["feature_date"], "split_slices": ["first_day", "last_day"],
     "fact_grain": ["t_dat"], "fact_grain_events": ["t_dat"], "date_bounds_scan": ["t_dat"], "units_anomaly": ["t_dat"], "daily_rowcount_anomaly": ["t_dat"],
     "freshness": ["latest"], "partition_overwrite": ["t_dat"], "late_arrival_state": ["t_dat"], "replay_guard": ["t_dat"], "repurchase": ["last_day"], "article_week_panel": ["week"],
+    "snapshot_time_travel": ["t_dat"], "snapshot_day_overwrite": ["t_dat"], "snapshot_partition_bounds": ["t_dat"], "late_batch_fact": ["t_dat"], "reload_with_corrections": ["t_dat"],
+    "stream_sink_replay": ["t_dat"], "mart_fact": ["t_dat"], "row_set_diff": ["t_dat"], "relative_price": ["t_dat"],
 }
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallgrass.operators import ranking, serving
 from tallgrass.operators import retrieval as r
 from tallgrass.plans.common import ART, AS_OF, TRUTH, TX
 from tallgrass.sources import adapter as a
+from tallgrass.sources.scratch import Table
 
 QUERIES, SQL = {}, {}
 
@@ -98,15 +100,43 @@ def lsh_topk(spark, d):
     return ranking.lsh_topk(e.where("vec_id % 100 = 0"), e, 10)
 
 
-_ALL = f"WITH {TX}, {ART}, {_REP}, {_CAT}, {_BASKET}, {_PAIRS}, {_COV}, un AS (SELECT customer_id, article_id, 'repurchase' AS source FROM rep UNION ALL SELECT customer_id, article_id, 'category_pop' FROM cat UNION ALL SELECT customer_id, article_id, 'covisit' FROM cov), cands AS (SELECT customer_id, article_id, list_sort(list(DISTINCT source)) AS sources FROM un GROUP BY ALL), truth AS (SELECT DISTINCT customer_id, article_id FROM tx WHERE t_dat BETWEEN DATE '{TRUTH[0]}' AND DATE '{TRUTH[1]}')"
+#: Best sellers for every customer with a history, and the articles nearest to the mean of the customer's latest ones.
+_GPOP = f"gpop AS (SELECT customer_id, article_id FROM (SELECT DISTINCT customer_id FROM tx WHERE {_before()}), pop)"
+_ANN = """pos AS (SELECT vec_id AS article_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+means AS (SELECT customer_id, pos, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM rep JOIN pos USING (article_id) WHERE rank <= 10 GROUP BY ALL),
+users AS (SELECT customer_id, list(x ORDER BY pos) AS v FROM means GROUP BY customer_id),
+near AS (SELECT customer_id, vec_id AS article_id, round(list_dot_product(CAST(CAST(v AS FLOAT[]) AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM users, embeddings),
+ann AS (SELECT customer_id, article_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS INTEGER) AS rank FROM near) WHERE rank <= 20)"""
+_ALL = f"WITH {TX}, {ART}, {_REP}, {_CAT}, {_BASKET}, {_PAIRS}, {_COV}, {_POP}, {_GPOP}, {_ANN}, un AS (SELECT customer_id, article_id, 'repurchase' AS source FROM rep UNION ALL SELECT customer_id, article_id, 'category_pop' FROM cat UNION ALL SELECT customer_id, article_id, 'covisit' FROM cov UNION ALL SELECT customer_id, article_id, 'global_pop' FROM gpop UNION ALL SELECT customer_id, article_id, 'ann' FROM ann), cands AS (SELECT customer_id, article_id, list_sort(list(DISTINCT source)) AS sources FROM un GROUP BY ALL), truth AS (SELECT DISTINCT customer_id, article_id FROM tx WHERE t_dat BETWEEN DATE '{TRUTH[0]}' AND DATE '{TRUTH[1]}')"
 
 
-def _cands(spark, d):
-    return r.union_candidates(repurchase=repurchase(spark, d), category_pop=_category(spark, d), covisit=_covisit(spark, d))
+def _log(spark, d):
+    """The joined transactions, written once: every source reads them."""
+    return Table(a.transactions(spark, d), "transactions").df
 
 
-def _truth(spark, d):
-    return r.truth_pairs(a.transactions(spark, d), *TRUTH)
+def _vectors(spark, d):
+    return a.table(spark, d, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("v"))
+
+
+def _ann(tx, vectors):
+    users = r.customer_vectors(tx, vectors, AS_OF, 10).withColumnRenamed("customer_id", "q_id")
+    near = r.vector_topk(users, vectors.withColumnRenamed("article_id", "item_id"), 20)
+    return near.select(F.col("q_id").alias("customer_id"), F.col("item_id").alias("article_id"), "score", "rank")
+
+
+def _cands(spark, d, tx=None):
+    """All five sources."""
+    tx, dim = _log(spark, d) if tx is None else tx, a.articles(spark, d)
+    pairs = r.covisit_pairs(tx, AS_OF, lookback=365)
+    return r.union_candidates(
+        repurchase=r.repurchase(tx, AS_OF, 12), category_pop=r.category_popular(tx, dim, AS_OF, 365, 20),
+        covisit=r.covisit_candidates(tx, pairs, AS_OF, lookback=365), global_pop=r.popular_for(tx, AS_OF, 90, 40), ann=_ann(tx, _vectors(spark, d)),
+    )
+
+
+def _truth(spark, d, tx=None):
+    return r.truth_pairs(a.transactions(spark, d) if tx is None else tx, *TRUTH)
 
 
 @query("candidate_union_tags", _ALL + " SELECT array_to_string(sources, '+') AS tags, count(*) AS n FROM cands GROUP BY 1")
@@ -121,17 +151,23 @@ def recall_at_k(spark, d):
 
 @query("recall_ceiling", _ALL + " SELECT count(sources) AS hits, count(*) AS n_true, round(count(sources) / count(*), 8) AS recall FROM truth LEFT JOIN cands USING (customer_id, article_id)")
 def recall_ceiling(spark, d):
-    return r.recall_ceiling(_cands(spark, d), _truth(spark, d))
+    tx = _log(spark, d)
+    return r.recall_ceiling(_cands(spark, d, tx), _truth(spark, d, tx))
 
 
 @query("source_marginals", _ALL + ", h AS (SELECT sources, CASE WHEN t.customer_id IS NULL THEN 0 ELSE 1 END AS hit FROM cands c LEFT JOIN truth t USING (customer_id, article_id)), e AS (SELECT unnest(sources) AS source, len(sources) = 1 AS alone, hit FROM h) SELECT source, count(*) AS n_cands, CAST(sum(CASE WHEN alone THEN 1 ELSE 0 END) AS BIGINT) AS n_alone, CAST(sum(hit) AS BIGINT) AS solo_hits, CAST(sum(CASE WHEN alone THEN hit ELSE 0 END) AS BIGINT) AS marginal_hits, round(sum(CASE WHEN alone THEN hit ELSE 0 END) / nullif(sum(CASE WHEN alone THEN 1 ELSE 0 END), 0), 8) AS per_slot FROM e GROUP BY source")
 def source_marginals(spark, d):
-    return r.source_contributions(_cands(spark, d), _truth(spark, d))
+    tx = _log(spark, d)
+    return r.source_contributions(_cands(spark, d, tx), _truth(spark, d, tx))
 
 
-@query("submission", f"WITH {TX}, {_REP} SELECT c_custkey AS customer_id, coalesce((SELECT string_agg(CAST(article_id AS VARCHAR), ' ' ORDER BY rank) FROM rep WHERE rep.customer_id = c_custkey), '1 2 3') AS prediction FROM customer")
+@query("submission", f"WITH {TX}, {ART}, {_REP}, {_CAT}, {_POP}, best_all AS (SELECT article_id, row_number() OVER (ORDER BY n_sold DESC, article_id) AS rank FROM pop), un AS (SELECT customer_id, article_id, 0 AS tier, rank FROM rep UNION ALL SELECT customer_id, article_id, 1, rank FROM cat UNION ALL SELECT c_custkey, article_id, 2, rank FROM customer, best_all), once AS (SELECT customer_id, article_id, min(tier * 1000 + rank) AS place FROM un GROUP BY ALL), pl AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY place, article_id) AS k FROM once) SELECT customer_id, string_agg(CAST(article_id AS VARCHAR), ' ' ORDER BY k) AS prediction FROM pl WHERE k <= 12 GROUP BY customer_id")
 def submission(spark, d):
-    return serving.submission(repurchase(spark, d), a.customers(spark, d), [1, 2, 3])
+    """Twelve articles for every customer: own ones, then the category's, then best sellers."""
+    tx, customers = _log(spark, d), a.customers(spark, d)
+    best = r.popular(tx, AS_OF, 90, 40).select("article_id", F.row_number().over(Window.orderBy(F.desc("n_sold"), "article_id")).alias("rank"))
+    lists = serving.fill_lists(r.repurchase(tx, AS_OF, 12), r.category_popular(tx, a.articles(spark, d), AS_OF, 365, 20), best, customers)
+    return serving.submission(lists, customers, [])
 
 
 @query("event_latency", "SELECT event_type AS stage, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
