@@ -259,3 +259,19 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def op1_spaced_seeds(spark, sf_dir: str) -> DataFrame:
     return find_leaks(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
+
+
+#: All alignments with a token in common; Latin-1 letters are lower-cased as by the operator.
+ORACLE = r"""
+WITH lc AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ' AS up, 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ' AS low),
+dt AS (SELECT doc_id, regexp_extract_all(translate(text, up, low), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+') AS ts FROM documents, lc),
+bt AS (SELECT item_id, regexp_extract_all(translate(text, up, low), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+') AS ts FROM benchmark, lc),
+it AS (SELECT item_id, len(ts) AS n, least(12, len(ts)) AS w, unnest(ts) AS tok, unnest(range(0, len(ts))) AS j FROM bt),
+dc AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS tok, unnest(range(0, len(ts))) AS i FROM dt),
+hit AS (SELECT doc_id, item_id, i - j AS shift, j, w, it.n AS ni, dc.n AS nd FROM dc JOIN it USING (tok)),
+near AS (SELECT DISTINCT doc_id, item_id, shift, w, ni, nd, need FROM (SELECT *, CASE WHEN w < 8 THEN w ELSE ceil(0.8 * w - 1e-9) END AS need, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS c FROM hit) WHERE c >= need),
+win AS (SELECT *, unnest(range(greatest(0, -shift), least(ni, nd - shift) - w + 1)) AS s FROM near),
+cnt AS (SELECT win.doc_id, win.item_id, win.shift, win.w, win.need, s, count(*) AS c FROM win JOIN hit h ON h.doc_id = win.doc_id AND h.item_id = win.item_id AND h.shift = win.shift AND h.j BETWEEN s AND s + win.w - 1 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY c DESC, s + shift) AS k FROM cnt WHERE c >= need)
+SELECT doc_id, item_id, CAST(s + shift AS BIGINT) AS token_at, CAST(c AS BIGINT) AS n_equal, CAST(w AS BIGINT) AS n_window FROM best WHERE k = 1
+"""

@@ -125,3 +125,27 @@ def op2_line_templates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lines, dropped = (F.when(F.col("text").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("n_lines", "n_dropped"))
     return _cut(docs, "doc_id", "text", MIN_DOCS).select("row.doc_id", lines, dropped, F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: The tree in SQL; documents of distinct ids, ASCII white space.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, trim(regexp_replace(ls[i], '[\x20\x09-\x0D]+', ' ', 'g')) AS p FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+k AS (SELECT doc_id, i, CASE WHEN regexp_matches(p, '[0-9]') THEN regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE p END AS m FROM l WHERE p <> ''),
+o AS (SELECT * FROM (SELECT doc_id, i, m, string_split(m, ' ') AS ts FROM k) WHERE len(list_filter(ts, lambda x: x <> '<*>')) >= 0.5 * len(ts)),
+od AS (SELECT DISTINCT doc_id, m FROM o),
+counted AS (SELECT len(any_value(ts)) AS sz, array_to_string(any_value(ts)[1:3], ' ') AS head, m, any_value(ts) AS ts, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM o GROUP BY m),
+leaves AS (SELECT sz, head FROM counted GROUP BY ALL HAVING sum(docs) >= 6 AND count(*) > 1 AND min(docs) < 6),
+tok AS (SELECT sz, head, m, docs, j, ts[j] AS tok FROM (SELECT sz, head, m, docs, ts, unnest(range(1, len(ts) + 1)) AS j FROM counted JOIN leaves USING (sz, head))),
+common AS (SELECT sz, head, j, tok, sum(docs) AS level FROM tok WHERE tok <> '<*>' GROUP BY ALL HAVING sum(docs) >= 6),
+held AS (SELECT m, sz, head, docs, j, tok, level FROM tok JOIN common USING (sz, head, j, tok)),
+lev AS (SELECT DISTINCT m, level FROM held),
+cons AS (SELECT h.m, h.sz, h.head, h.docs, lev.level, string_agg(h.j || ':' || h.tok, ' ' ORDER BY h.j) AS template FROM lev JOIN held h ON h.m = lev.m AND h.level >= lev.level GROUP BY ALL HAVING count(*) >= 0.5 * h.sz),
+recurring AS (SELECT sz, head, template FROM cons JOIN od USING (m) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 6),
+chosen AS (SELECT m, sz, head, arg_min(template, level) AS template FROM cons JOIN recurring USING (sz, head, template) WHERE docs < 6 GROUP BY m, sz, head),
+firsts AS (SELECT sz, head, template, min(doc_id) AS first FROM chosen JOIN od USING (m) GROUP BY ALL),
+cut AS (SELECT m, first FROM counted WHERE docs >= 6 UNION ALL SELECT m, first FROM chosen JOIN firsts USING (sz, head, template)),
+gone AS (SELECT doc_id, list(i) AS g FROM o JOIN cut USING (m) WHERE doc_id <> first GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_dropped,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN ls ELSE list_filter(ls, lambda x, i: NOT list_contains(g, i)) END, chr(10))) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)
+"""

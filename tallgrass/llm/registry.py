@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_quality_rules": quality_rules.ORACLE}
+    return {
+        "op1_spaced_seeds": decontaminate.ORACLE,
+        "op2_line_templates": line_templates.ORACLE,
+        "op3_quality_rules": quality_rules.ORACLE,
+        "op9_bucket_pointer_dedup": suffix_dedup.ORACLE,
+    }

@@ -343,3 +343,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op9_bucket_pointer_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_bytes=False)
+
+
+#: Every 100-byte string by its MD5, in order; documents of distinct ids.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT rid, i, md5(substr(h, CAST(2 * i + 1 AS INTEGER), 200)) AS k FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+f AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY k ORDER BY rid, i) AS n FROM p) WHERE n > 1),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM f)),
+s AS (SELECT rid, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY rid, run),
+b AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS after FROM s),
+c AS (SELECT rid, sum(hi - lo) AS gone, count(*) AS n, max(hi) AS last, string_agg(substr(h, CAST(2 * after + 1 AS INTEGER), CAST(2 * (lo - after) AS INTEGER)), '' ORDER BY lo) AS kept FROM b JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN c.rid IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS INTEGER)) END)) AS kept_sha256 FROM d LEFT JOIN c USING (rid)
+"""

@@ -317,3 +317,18 @@ def test_pipeline_stages(spark, docs):
         assert out.columns == small.columns, name
     last = corpus_pipeline.run(spark, SF).collect()
     assert last and all(r.round_trip and r.n_tokens == len(r.ids) for r in last)
+
+
+def test_sql_of_the_operators(spark):
+    import duckdb
+
+    from tallgrass.llm import registry
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    queries = registry.queries()
+    for name, sql in registry.oracle_sql().items():
+        df = queries[name](spark, SF)
+        cols = ", ".join(sorted(df.columns))
+        assert sorted(map(str, (tuple(r) for r in df.select(*sorted(df.columns)).collect()))) == sorted(map(str, con.sql(f"SELECT {cols} FROM ({sql})").fetchall())), name
