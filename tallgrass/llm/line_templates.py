@@ -43,25 +43,36 @@ _NO_ID = -(1 << 63)
 _KEY = ["doc", "version"]
 
 
-def masked(line: Column) -> Column:
-    """A line with single spaces and a mark in place of each token that holds a digit."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(plain)
+def _plain(line: Column) -> Column:
+    """A line with single spaces and none at its ends."""
+    white = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\v")) | F.contains(line, F.lit("\f"))
+    return F.trim(F.when(white, F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")).otherwise(line))
+
+
+def masked(lines: Column) -> Column:
+    """Lines with single spaces and a mark in place of each token that holds a digit."""
+    return F.transform(F.transform(lines, _plain), lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(x))
 
 
 def _size(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _split(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines"))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
 def _parsed(documents: DataFrame) -> DataFrame:
-    """(doc, version, line_no, leaf, line): hashes of the leaf and of the masked line, for lines with a word and enough constants."""
-    # masked inside the generator, so that no filter on a line computes it again
-    each = documents.select(*_KEY, F.posexplode(F.transform("lines", masked)).alias("line_no", "line")).where("line <> ''")
+    """(doc, version, line_no, leaf, line): hashes of the leaf and of the masked line, for lines with a word and enough constants.
+
+    Lines are masked inside the generator, so that no filter on a line computes it again.
+    """
+    each = documents.select(*_KEY, F.posexplode(masked(_split(F.col("text")))).alias("line_no", "line")).where("line <> ''")
     variable = F.regexp_count("line", F.lit(r"(?<![^ ])<\*>(?![^ ])"))
     each = each.where(~F.contains("line", F.lit(VARIABLE)) | (_size(F.col("line")) - variable >= SIMILARITY * _size(F.col("line"))))
     return each.select(*_KEY, "line_no", F.xxhash64(_size(F.col("line")), F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("line"))
@@ -75,8 +86,8 @@ def templates(documents: DataFrame, lines: DataFrame, scratch: Scratch, min_docs
     itself = counted.where(F.col("docs") >= min_docs).select(*key, "first.doc", "first.version")
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count("*").alias("k"), F.min("docs").alias("least")).where((F.col("n") >= min_docs) & (F.col("k") > 1) & (F.col("least") < min_docs)).select("leaf")
     wanted = counted.join(leaves, "leaf").groupBy(F.col("first.doc").alias("doc"), F.col("first.version").alias("version")).agg(F.collect_list(F.struct(*key, "docs", "first.line_no")).alias("wanted"))
-    distinct = documents.where("lines IS NOT NULL").join(wanted, _KEY)
-    seen = distinct.select("lines", F.explode("wanted").alias("w")).select("w.leaf", "w.line", "w.docs", F.split(masked(F.get("lines", F.col("w.line_no"))), " ").alias("tokens"))
+    found = documents.where("text IS NOT NULL").join(wanted, _KEY).select(_split(F.col("text")).alias("lines"), "wanted")
+    seen = found.select(F.explode(F.transform("wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["line"].alias("line"), w["docs"].alias("docs"), F.split(F.get(masked(F.array(F.get("lines", w["line_no"]))), 0), " ").alias("tokens")))).alias("w")).select("w.*")
     seen = scratch.table(seen.dropDuplicates(key), "generalised")
     tokens = seen.select(*key, "docs", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "at", "token", F.col("n").alias("level"))
@@ -109,11 +120,12 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFram
     found = find_lines(docs, id_col, text_col, min_docs)
     text = F.col(f"`{text_col}`").cast("string")
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
-    side = docs.select(rest.alias("row"), F.split(text, "\n", -1).alias("lines"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("version"))
+    side = docs.select(rest.alias("row"), text.alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("version"))
     both = side.join(found, _KEY, "left")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
-    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.transform(numbers, lambda i: F.get("lines", i)))
-    return both.select("row", F.array_join(kept, "\n").alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"))
+    lines = F.transform(_split(F.col("text")), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    kept = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("dropped", x["i"])), lambda x: x["x"]), "\n")
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return both.select("row", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(n_lines, F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
