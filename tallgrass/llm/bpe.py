@@ -32,7 +32,7 @@ DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Pre-tokens whose ids a worker remembers, and the longest it remembers.
-MEMO_ENTRIES, MEMO_LENGTH = 1_200_000, 64
+MEMO_ENTRIES, MEMO_LENGTH = 500_000, 64
 #: Pre-tokens handled at once while a text streams through.
 STREAM = 65_536
 

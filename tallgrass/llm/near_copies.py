@@ -44,7 +44,7 @@ from tallgrass.llm.shared import Scratch, Table
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 8
 #: Text of a candidate group up to which one task decides it, rounds of pivots for larger ones, and parts a pivot is sent to.
-GROUP_BYTES, PIVOT_ROUNDS, PARTS = 32 << 20, 12, 64
+GROUP_BYTES, PIVOT_ROUNDS, PARTS = 8 << 20, 12, 64
 _NO_ID = (1 << 63) - 1
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)

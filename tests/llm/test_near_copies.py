@@ -104,3 +104,38 @@ def test_a_fingerprint_without_id_bridges(spark, monkeypatch):
     docs = spark.createDataFrame([(5, "a"), (None, "b"), (1, "c"), (None, "d")], "doc_id long, text string")
     got = {r.fp: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got == {0: 1, 3: 1, 15: 1, 7 << 40: None}
+
+
+def test_groups_of_real_documents_are_those_of_all_pairs(spark):
+    """Every pair with a shingle in common is compared; nothing is proposed by a hash."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    classes, where = {}, {}
+    for d, t in rows:
+        classes.setdefault(frozenset(_shingles(t)), []).append(d)
+    sets = list(classes)
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    shared = {}
+    for own in where.values():
+        for k, i in enumerate(own):
+            for j in own[:k]:
+                shared[(j, i)] = shared.get((j, i), 0) + 1
+    group = list(range(len(sets)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    links = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    for i, j in links:
+        group[find(i)] = find(j)
+    want = {}
+    for i, s in enumerate(sets):
+        want.setdefault(find(i), set()).update(classes[s])
+    got = {}
+    for r in near_copies.near_groups(docs).collect():
+        got.setdefault(r.group, set()).add(r.doc)
+    assert links and {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()}
