@@ -31,28 +31,31 @@ class Tagger:
                 self.p[f"x{d}"][:, h : 2 * h] += 1  # forget gates start open
             self.p |= {"o": draw(2 * h, self.tags, s=0.3), "c": np.zeros(self.tags, np.float32), "t": np.zeros((self.tags, self.tags), np.float32)}
 
-    def _run(self, x: np.ndarray, d: str, keep: bool):
+    def _run(self, x: np.ndarray, keep: bool):
+        """Hidden states (time, batch, 2 * hidden) of both directions, which step side by side; and what a step back needs."""
         h_, steps, n = self.hidden, len(x), x.shape[1]
-        h, c = np.zeros((n, h_), np.float32), np.zeros((n, h_), np.float32)
-        out, saved = np.empty((steps, n, h_), np.float32), []
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = self.p[f"x{d}"][x[t]] + h @ self.p[f"h{d}"]
-            gates = _sigmoid(z[:, : 3 * h_])
-            i, f, o = gates[:, :h_], gates[:, h_ : 2 * h_], gates[:, 2 * h_ :]
-            g = np.tanh(z[:, 3 * h_ :])
-            before, h_before = c, h
+        both = np.stack([x, x[::-1]], 1)  # the second direction reads from the end
+        of_symbol, of_state = (np.stack([self.p[f"{k}f"], self.p[f"{k}b"]]) for k in "xh")
+        way = np.arange(2)[:, None]
+        h, c = np.zeros((2, n, h_), np.float32), np.zeros((2, n, h_), np.float32)
+        out, saved = np.empty((steps, 2, n, h_), np.float32), []
+        for t in range(steps):
+            z = of_symbol[way, both[t]] + h @ of_state
+            gates = _sigmoid(z[..., : 3 * h_])
+            i, f, o = gates[..., :h_], gates[..., h_ : 2 * h_], gates[..., 2 * h_ :]
+            g = np.tanh(z[..., 3 * h_ :])
+            before = c
             c = f * c + i * g
             u = np.tanh(c)
             h = o * u
             out[t] = h
             if keep:
-                saved.append((t, i, f, o, g, u, before, h_before))
-        return out, saved
+                saved.append((i, f, o, g, u, before))
+        return np.concatenate([out[:, 0], out[::-1, 1]], 2), out, saved
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Scores (time, batch, tags) of symbols (time, batch)."""
-        both = np.concatenate([self._run(x, "f", False)[0], self._run(x, "b", False)[0]], 2)
-        return both @ self.p["o"] + self.p["c"]
+        return self._run(x, False)[0] @ self.p["o"] + self.p["c"]
 
     def _crf(self, e: np.ndarray, y: np.ndarray):
         """Mean negative log-likelihood and its gradients by emissions and transitions."""
@@ -80,24 +83,28 @@ class Tagger:
         return float((z - score).mean()), (marginal / n).astype(np.float32), (pair / n).astype(np.float32)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        h_ = self.hidden
-        (forward, fs), (backward, bs) = self._run(x, "f", True), self._run(x, "b", True)
-        both = np.concatenate([forward, backward], 2)
+        h_, steps, n = self.hidden, *x.shape
+        both, out, saved = self._run(x, True)
         loss, de, dt = self._crf(both @ self.p["o"] + self.p["c"], y)
         grad = {"t": dt, "c": de.sum((0, 1)), "o": both.reshape(-1, 2 * h_).T @ de.reshape(-1, self.tags)}
-        dboth, once = de @ self.p["o"].T, np.eye(self.symbols, dtype=np.float32)[x.ravel()]
-        for d, saved, part in (("f", fs, dboth[:, :, :h_]), ("b", bs, dboth[:, :, h_:])):
-            gh, all_dz = np.zeros_like(self.p[f"h{d}"]), np.empty((*x.shape, 4 * h_), part.dtype)
-            dh = np.zeros(part.shape[1:], np.float32)
-            dc = np.zeros_like(dh)
-            for t, i, f, o, g, u, c_before, h_before in reversed(saved):
-                dh = dh + part[t]
-                dc = dc + dh * o * (1 - u * u)
-                dz = np.concatenate([dc * g * i * (1 - i), dc * c_before * f * (1 - f), dh * u * o * (1 - o), dc * i * (1 - g * g)], 1)
-                all_dz[t] = dz
-                gh += h_before.T @ dz
-                dh, dc = dz @ self.p[f"h{d}"].T, dc * f
-            grad |= {f"x{d}": once.T @ all_dz.reshape(-1, 4 * h_), f"h{d}": gh}
+        dboth = de @ self.p["o"].T
+        part = np.stack([dboth[:, :, :h_], dboth[::-1, :, h_:]], 1)
+        back = np.stack([self.p["hf"].T, self.p["hb"].T])
+        all_dz = np.empty((steps, 2, n, 4 * h_), part.dtype)
+        dh = np.zeros(part.shape[1:], np.float32)
+        dc = np.zeros_like(dh)
+        for t in range(steps - 1, -1, -1):
+            i, f, o, g, u, c_before = saved[t]
+            dh = dh + part[t]
+            dc = dc + dh * o * (1 - u * u)
+            dz = np.concatenate([dc * g * i * (1 - i), dc * c_before * f * (1 - f), dh * u * o * (1 - o), dc * i * (1 - g * g)], 2)
+            all_dz[t] = dz
+            dh, dc = dz @ back, dc * f
+        once = np.eye(self.symbols, dtype=np.float32)
+        for d, way in enumerate("fb"):
+            dz = all_dz[:, d].reshape(-1, 4 * h_)
+            grad[f"x{way}"] = once[(x if d == 0 else x[::-1]).ravel()].T @ dz
+            grad[f"h{way}"] = out[:-1, d].reshape(-1, h_).T @ dz[n:]  # the first step's state before is zero
         return loss, grad
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int = 64, rate: float = 0.03) -> list[float]:

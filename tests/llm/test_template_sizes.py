@@ -35,6 +35,6 @@ def test_the_threshold_is_a_parameter(spark):
 
 
 def test_long_text(spark):
-    rows = [(k, "Terms of use apply to this site\n" * 40_000 + f"end {chr(97 + k) * 3}\n" + chr(97 + k) * 2_000_000) for k in range(6)]
+    rows = [(k, "Terms of use apply to this site\n" * 12_000 + f"end {chr(97 + k) * 3}\n" + chr(97 + k) * 700_000) for k in range(6)]
     got = {r.doc_id: len(r.text) for r in line_templates.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0] == len(rows[0][1]) and all(got[k] == len("end xxx\n") + 2_000_000 for k in range(1, 6))
+    assert got[0] == len(rows[0][1]) and all(got[k] == len("end xxx\n") + 700_000 for k in range(1, 6))
