@@ -22,7 +22,10 @@ def daily_agg(tx: DataFrame, entity: list[str], distinct: str | None = None, epo
 
 
 def spine(entities: DataFrame, days: DataFrame) -> DataFrame:
-    """Every (entity, day) that needs features. Both sides are distinct; days are few, a calendar."""
+    """Every (entity, day) that needs features: entities times the days listed, which go to all tasks.
+
+    The result is as large as that product by definition; list the days to serve, not a history.
+    """
     return entities.distinct().crossJoin(F.broadcast(days.distinct()))
 
 

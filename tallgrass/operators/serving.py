@@ -53,7 +53,10 @@ def fill_lists(own: DataFrame, category: DataFrame, best: DataFrame, customers:
 
 
 def score_catalog(customers: DataFrame, catalog: DataFrame, score, k: int) -> DataFrame:
-    """One stage: every listed customer against every article, k best. The catalogue goes to all tasks if it is small enough."""
+    """One stage: every listed customer against every article, k best. The catalogue goes to all tasks if it is small enough.
+
+    The comparison that the two stages are held against, for a cohort; it scores customers times articles by definition.
+    """
     pairs = customers.crossJoin(small_side(catalog)).withColumn("score", score)
     w = Window.partitionBy("customer_id").orderBy(F.desc("score"), "article_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
