@@ -256,6 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
     rows = table.df
     n = {r[0]: r[1] for r in rows.groupBy("label").agg(F.count("*")).collect()}
     if not n.get(0) or not n.get(1):
+        table.drop()
         share = n.get(1, 0) / max(1, sum(n.values())) if n else 0.5
         return Model(np.zeros(TABLE, np.float32), np.append(np.zeros(N_FEATURES), np.log((share + 1e-6) / (1 - share + 1e-6))))
     # A copied text brings its sentences again; only distinct ones count as evidence.
