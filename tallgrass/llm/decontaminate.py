@@ -8,8 +8,8 @@ item) laid side by side with at least ``SIMILARITY`` equal tokens; items shorter
 tokens of an admitted window were replaced, some mask reads only equal ones, so no
 admitted overlap goes without a seed.
 
-Seeds of the benchmark set the bits of a filter of some sixteen bits a seed, at most
-``1 << MAX_FILTER_BITS`` bits (16 MB), which alone is sent to all tasks; seeds of the
+Seeds of the benchmark set the bits of a filter of some ``BITS_A_SEED`` bits a seed, at
+most ``1 << MAX_FILTER_BITS`` bits (16 MB), which alone is sent to all tasks; seeds of the
 corpus that pass it are joined with the benchmark's on their hashes.  A larger benchmark
 only makes more seeds pass.  Hits say where a stretch of a document and an item may lie
 side by side; the tokens of both are fetched once for each pair, not for each hit.
@@ -39,7 +39,7 @@ MASKS = ((0, 1, 2, 6, 8, 9), (0, 1, 3, 5, 6, 7), (0, 2, 3, 4, 9, 10))
 SHORT_MASKS = ((0, 1, 2, 4, 7), (0, 1, 3, 4, 5), (0, 3, 4, 5, 6))
 #: Tokens kept on either side of a hit, all that a window around it can reach, and of a stretch.
 REACH, STRETCH = WINDOW, 512
-MAX_FILTER_BITS = 27
+BITS_A_SEED, MAX_FILTER_BITS = 256, 27
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
@@ -143,7 +143,7 @@ def benchmark_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFra
 
 def seed_filter(own: DataFrame) -> tuple[np.ndarray, int]:
     """(bits, number of low bits of a seed that name one), built by the executors in pieces of 4 KB."""
-    size = min(MAX_FILTER_BITS, max(16, (16 * own.count()).bit_length()))
+    size = min(MAX_FILTER_BITS, max(16, (BITS_A_SEED * own.count()).bit_length()))
     bit = F.col("seed").bitwiseAND(F.lit((1 << size) - 1)) + 1
     pieces = own.groupBy(F.bitmap_bucket_number(bit).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = np.zeros(1 << (size - 3), np.uint8)

@@ -186,7 +186,7 @@ def _against_pivot(batches):
 
 
 def exact_links(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) whose components are those of 'similarity at least' within each component of (component, class, text)."""
+    """(node, component) of the classes that link to another by 'similarity at least', within each component of (component, class, text)."""
     found = None
     left = scratch.table(texts.withColumn("reached", F.lit(False)), "candidates")
     for turn in range(PIVOT_ROUNDS + 1):
@@ -195,8 +195,8 @@ def exact_links(texts: DataFrame, scratch: Scratch) -> DataFrame:
         small = left.join(large, "component", "left_anti").select("component", "class", "text").groupBy("component").applyInPandas(_stars, "a long, b long")
         small = scratch.table(small, "stars")
         found = small if found is None else found.unionByName(small)
-        if large.isEmpty():
-            return found
+        if large.isEmpty():  # without pivots each class points at the first of its group already
+            return connected_components(found, scratch) if turn else found.select(F.col("a").alias("node"), F.col("b").alias("component"))
         rows = left.join(large, "component", "left_semi").withColumn("part", F.pmod(F.xxhash64("class"), F.lit(PARTS)))
         pivot = rows.groupBy("component").agg(F.min(F.struct("reached", "class")).alias("first")).select("component", F.col("first.class").alias("class"))
         pivot = rows.join(pivot, ["component", "class"]).select("component", F.col("class").alias("pivot"), F.col("text").alias("pivot_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
@@ -225,7 +225,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         candidates = connected_components(own.join(shared, "bucket").select(F.col("class").alias("a"), F.col("low").alias("b")), scratch)
         wanted = candidates.join(classes, F.col("node") == F.col("class")).select("class", "component", "first.doc", "first.version")
         texts = keyed.join(wanted, ["doc", "version"]).select("component", "class", "text").dropDuplicates(["class"])
-        groups = connected_components(exact_links(texts, scratch), scratch)
+        groups = exact_links(texts, scratch)
         named = marked.join(groups, marked["class"] == groups["node"], "left")
         return Table(named.select("doc", "version", F.coalesce("component", "class").alias("group")), "groups").df
 

@@ -6,7 +6,8 @@ or an ablation is a bitwise expression over the ledger and never a second pass
 over the texts.
 
 Defined results: a null text counts as empty (no words, fails ``few_words``); an
-empty table gives an empty ledger; repeated rows each get their own ledger row;
+empty table gives an empty ledger; a very long text is measured whole; repeated rows
+each get their own ledger row;
 extra columns of the input are ignored by ``ledger`` and carried through
 unchanged, whatever their names, by ``filter_documents``.
 """
