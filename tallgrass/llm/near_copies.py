@@ -191,11 +191,11 @@ def exact_links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     left = scratch.table(texts.withColumn("reached", F.lit(False)), "candidates")
     for turn in range(PIVOT_ROUNDS + 1):
         large = left.groupBy("component").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > GROUP_BYTES).select("component")
-        large = scratch.table(large.where(F.lit(turn < PIVOT_ROUNDS)), "large")
-        small = left.join(large, "component", "left_anti").select("component", "class", "text").groupBy("component").applyInPandas(_stars, "a long, b long")
-        small = scratch.table(small, "stars")
+        last = turn == PIVOT_ROUNDS or large.limit(1).isEmpty()
+        small = left if last else left.join(large := scratch.table(large, "large"), "component", "left_anti")
+        small = scratch.table(small.select("component", "class", "text").groupBy("component").applyInPandas(_stars, "a long, b long"), "stars")
         found = small if found is None else found.unionByName(small)
-        if large.isEmpty():  # without pivots each class points at the first of its group already
+        if last:  # without pivots each class points at the first of its group already
             return connected_components(found, scratch) if turn else found.select(F.col("a").alias("node"), F.col("b").alias("component"))
         rows = left.join(large, "component", "left_semi").withColumn("part", F.pmod(F.xxhash64("class"), F.lit(PARTS)))
         pivot = rows.groupBy("component").agg(F.min(F.struct("reached", "class")).alias("first")).select("component", F.col("first.class").alias("class"))
@@ -217,8 +217,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with Scratch() as scratch:
         marked = scratch.table(_marked(keyed), "shingles")
         classes = scratch.table(marked.groupBy("class").agg(F.min(F.struct("doc", "version")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
-        prints = scratch.table(classes.select("fp").distinct(), "prints")
-        close = simhash.link(prints, scratch)
+        close = simhash.link(classes.select("fp").distinct(), scratch)
         own = classes.join(close, classes["fp"] == close["node"], "left").select("class", F.coalesce("component", "fp").alias("bucket"))
         own = own.unionByName(classes.select("class", F.explode("bands").alias("bucket")))
         shared = own.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket", "low")
