@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import bpe, decontaminate, line_templates, nbsvm, pii, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from tallgrass.llm import bpe, decontaminate, importance, line_templates, nbsvm, pii, quality_rules, secrets, segment_topk, simhash, suffix_dedup, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_bilstm_crf_pii": pii.op8_bilstm_crf_pii,
         "op9_bucket_pointer_dedup": suffix_dedup.op9_bucket_pointer_dedup,
         "op10_nbsvm_quality": nbsvm.op10_nbsvm_quality,
+        "op11_segment_topk": segment_topk.op11_segment_topk,
+        "op12_importance_resampling": importance.op12_importance_resampling,
+        "op13_jacobi_whitening": whitening.op13_jacobi_whitening,
     }
 
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict:
         "op2_line_templates": line_templates.ORACLE,
         "op3_quality_rules": quality_rules.ORACLE,
         "op9_bucket_pointer_dedup": suffix_dedup.ORACLE,
+        "op11_segment_topk": segment_topk.ORACLE,
+        "op12_importance_resampling": importance.ORACLE,
     }
