@@ -1,7 +1,7 @@
 """Importance resampling towards a target: a sparse count matrix, its column sums, and its product with gains.
 
 Documents become rows of a matrix of feature counts by bucket, written once as CSR blocks
-(ids, row pointers, bucket ids, counts). Column sums of the corpus and of the target give two
+(ids, row pointers, and bucket ids and counts, compressed, as a task reads many blocks at once). Column sums of the corpus and of the target give two
 distributions; the log ratio of a bucket is its gain, and the matrix times the gains gives each
 document's weight. A Gumbel number hashed from the id is added, and the highest scores are
 drawn, which samples without replacement by weight.
@@ -24,8 +24,10 @@ from tallgrass.operators.prefix import running_total
 
 BUCKETS = 10_000
 #: Entries after which a block is closed; one document has ``BUCKETS`` entries at most.
-BLOCK_ENTRIES = 1 << 17
-BLOCK = "ids array<long>, words array<long>, starts array<long>, buckets array<int>, counts array<long>"
+BLOCK_ENTRIES = 1 << 16
+BLOCK = "ids array<long>, words array<long>, starts array<long>, entries binary"
+#: Bucket and count of an entry, as stored.
+ENTRY = np.dtype([("bucket", "<u2"), ("count", "<u4")])
 
 #: Bytes of words as they are, A-Z lower-cased, every other ASCII byte a blank.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -65,16 +67,21 @@ def csr_blocks(docs: DataFrame, id_col: str, text_col: str, buckets: int = BUCKE
 
     def block(ids, words, sizes, found):
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        cols = [ids, words, starts, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.list_(t)) for c, t in zip(cols, kinds)], ["ids", "words", "starts", "buckets", "counts"])
+        entries = np.empty(starts[-1], ENTRY)
+        entries["bucket"], entries["count"] = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+        # the two columns one after the other, as they compress better apart
+        packed = zlib.compress(entries["bucket"].tobytes() + entries["count"].tobytes(), 1)
+        rows = [pa.array([c], pa.list_(pa.int64())) for c in (ids, words, starts)]
+        return pa.RecordBatch.from_arrays([*rows, pa.array([packed], pa.binary())], ["ids", "words", "starts", "entries"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(build, BLOCK)
 
 
-def _rows(batch: pa.RecordBatch):
-    for r in range(batch.num_rows):
-        yield tuple(batch.column(c)[r].values for c in range(batch.num_columns))
+def _entries(packed: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids and counts of a block."""
+    data = zlib.decompress(packed.as_py())
+    n = len(data) // ENTRY.itemsize
+    return np.frombuffer(data, ENTRY["bucket"], n), np.frombuffer(data, ENTRY["count"], n, n * ENTRY["bucket"].itemsize).astype(np.int64)
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -83,12 +90,13 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def total(batches):
         sums = np.zeros(buckets, np.int64)
         for batch in batches:
-            for b, c in _rows(batch):
-                np.add.at(sums, b.to_numpy(), c.to_numpy())
+            for packed in batch.column(0):
+                b, c = _entries(packed)
+                np.add.at(sums, b, c)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], ["bucket", "n"])
 
-    found = blocks.select("buckets", "counts").mapInArrow(total, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = blocks.select("entries").mapInArrow(total, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for row in found.collect():
         out[row.bucket] = row.n
@@ -106,9 +114,10 @@ def document_weights(blocks: DataFrame, gains: np.ndarray) -> DataFrame:
 
     def multiply(batches):
         for batch in batches:
-            for ids, words, starts, b, c in _rows(batch):
-                counts, at = c.to_numpy(), starts.to_numpy()
-                sums = [np.concatenate([[0], np.cumsum(x)])[at] for x in (counts, counts * gains[b.to_numpy()])]
+            for r in range(batch.num_rows):
+                ids, words, starts = (batch.column(c)[r].values for c in range(3))
+                b, counts = _entries(batch.column(3)[r])
+                sums = [np.concatenate([[0], np.cumsum(x)])[starts.to_numpy()] for x in (counts, counts * gains[b])]
                 yield pa.RecordBatch.from_arrays([ids, words, *(pa.array(np.diff(s), pa.int64()) for s in sums)], ["id", "n_words", "n_features", "weight"])
 
     return blocks.mapInArrow(multiply, "id long, n_words long, n_features long, weight long")
