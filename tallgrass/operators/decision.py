@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions.scalars import hash_bucket, hash_uniform, price_response
 from tallgrass.operators.model import money
 from tallgrass.operators.prefix import running_total
+from tallgrass.sources.scratch import Table
 
 #: The discount menu.
 MENU = (0.0, 0.1, 0.2, 0.3)
@@ -49,30 +50,58 @@ def offers(base: DataFrame, eps: float, menu=MENU) -> DataFrame:
     return d.select("id", "discount", p.alias("p"), (p * F.col("price") * (1 - F.col("discount"))).alias("revenue"), (p * F.col("price") * F.col("discount")).alias("spend"))
 
 
+def _hull(points):
+    """The vertices of the upper hull of (spend, revenue), spend rising: from each the steepest rise, of equal ones the farthest.
+
+    ``points`` is an array column of (spend, revenue, discount), one id's menu.
+    """
+    first = F.array_sort(points, lambda a, b: F.when(a["spend"] != b["spend"], F.signum(a["spend"] - b["spend"])).when(a["revenue"] != b["revenue"], F.signum(b["revenue"] - a["revenue"])).otherwise(F.signum(a["discount"] - b["discount"])).cast("int"))
+    rise = lambda at, p: (p["revenue"] - at["revenue"]) / (p["spend"] - at["spend"])
+
+    def follow(found, _):
+        at = F.element_at(found, -1)
+        ahead = F.filter(first, lambda p: (p["spend"] > at["spend"]) & (p["revenue"] > at["revenue"]))
+        best = F.array_max(F.transform(ahead, lambda p: F.struct(rise(at, p).alias("rise"), p["spend"].alias("spend"), (-p["discount"]).alias("back"), p.alias("p"))))
+        return F.when(F.size(ahead) == 0, found).otherwise(F.concat(found, F.array(best["p"])))
+
+    return F.aggregate(first, F.slice(first, 1, 1), follow)
+
+
 def discount_steps(offer: DataFrame) -> DataFrame:
-    """(id, discount, gain, cost, ratio): what each step of the menu adds in revenue and spend; steps without gain are left out."""
-    step = Window.partitionBy("id").orderBy("discount")
-    gain = F.col("revenue") - F.lag("revenue").over(step)
-    cost = F.col("spend") - F.lag("spend").over(step)
-    steps = offer.select("id", "discount", F.round(gain, 6).alias("gain"), F.round(cost, 6).alias("cost")).where((F.col("gain") > 0) & (F.col("cost") > 0))
+    """(id, discount, gain, cost, step, ratio): what each step along the upper hull of an id's menu adds in revenue and spend.
+
+    Choices below the hull are left out, as some mix of two others gives more for the same
+    spend; so each step is taken over the choice that it replaces, ratios fall along a
+    menu, and the steps of an id are taken in order. Rows whose spend or revenue is
+    null or not finite are no choice. A menu is gathered per id, and has to be as short as menus are.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    menu = offer.where(finite("spend") & finite("revenue")).groupBy("id").agg(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ("spend", "revenue", "discount")))).alias("menu"))
+    hull = menu.select("id", _hull(F.col("menu")).alias("hull"))
+    pairs = F.zip_with(F.slice("hull", F.lit(1), F.size("hull") - 1), F.slice("hull", F.lit(2), F.size("hull") - 1), lambda a, b: F.struct(b["discount"].alias("discount"), F.round(b["revenue"] - a["revenue"], 6).alias("gain"), F.round(b["spend"] - a["spend"], 6).alias("cost")))
+    steps = hull.where(F.size("hull") > 1).select("id", F.posexplode(pairs).alias("step", "s")).select("id", "s.*", "step").where((F.col("gain") > 0) & (F.col("cost") > 0))
     return steps.withColumn("ratio", F.round(F.col("gain") / F.col("cost"), 6))
 
 
+def _taken(offer: DataFrame) -> DataFrame:
+    """The steps with ``spent``, the spend up to each, in the order of their ratios; an id's steps keep theirs where rounded ratios are equal."""
+    order = [F.desc("ratio"), F.asc("id"), F.asc("step")]
+    spent = running_total(discount_steps(offer), order, F.col("cost").cast("decimal(20,6)"), "spent")
+    return spent.withColumn("spent", F.col("spent").cast("double"))
+
+
 def allocate_greedy(offer: DataFrame, budget: float) -> DataFrame:
     """Discount steps by marginal revenue per unit of spend until the budget is reached; a prefix, nothing skipped."""
-    order = [F.desc("ratio"), F.asc("id"), F.asc("discount")]
-    spent = running_total(discount_steps(offer), order, F.col("cost").cast("decimal(20,6)"), "spent")
-    return spent.withColumn("spent", F.col("spent").cast("double")).where(F.col("spent") <= budget).select("id", "discount", "gain", "cost", "spent")
+    return _taken(offer).where(F.col("spent") <= budget).select("id", "discount", "gain", "cost", "spent")
 
 
 def allocation_bound(offer: DataFrame, budget: float) -> DataFrame:
     """The greedy allocation beside its linear program: gain and spend of the prefix, and the optimum with a fractional last step.
 
-    Ratios fall along each id's menu, so the relaxed program takes steps in the order of
+    Ratios fall along each id's hull, so the relaxed program takes steps in the order of
     their ratios too, and the part of the first step beyond the budget that still fits.
     """
-    order = [F.desc("ratio"), F.asc("id"), F.asc("discount")]
-    spent = running_total(discount_steps(offer), order, F.col("cost").cast("decimal(20,6)"), "spent").withColumn("spent", F.col("spent").cast("double"))
+    spent = _taken(offer)
     inside = F.col("spent") <= budget
     part = F.greatest(F.lit(0.0), F.least(F.col("cost"), budget - (F.col("spent") - F.col("cost"))))
     return spent.agg(
@@ -82,6 +111,45 @@ def allocation_bound(offer: DataFrame, budget: float) -> DataFrame:
     )
 
 
+def dual_price(offer: DataFrame, budget: float, prices: int = 64, passes: int = 9) -> float:
+    """The price of a unit of spend at which the ids, each taking its best choice for it, stay within the budget.
+
+    Each pass sums the spend at ``prices`` prices in one aggregate over the steps and narrows
+    the interval between the last price above the budget and the first within it; what
+    reaches the driver is one row. No step is sorted.
+    """
+    steps = Table(discount_steps(offer).select("gain", "cost"), "steps")
+    ratio, high = F.col("gain") / F.col("cost"), 0.0
+    try:
+        top = steps.df.agg(F.max(ratio), F.sum("cost")).first()
+        if top[0] is None or top[1] <= budget:
+            return 0.0
+        low, high = 0.0, float(top[0])
+        for _ in range(passes):
+            tried = [low + (high - low) * k / (prices + 1) for k in range(1, prices + 1)]
+            spend = steps.df.agg(*(F.coalesce(F.sum(F.when(ratio > p, F.col("cost"))), F.lit(0.0)) for p in tried)).first()
+            fits = next((k for k, x in enumerate(spend) if x <= budget), prices)
+            low, high = tried[fits - 1] if fits else low, tried[fits] if fits < prices else high
+    finally:
+        steps.drop()
+    return high
+
+
+def dual_bound(offer: DataFrame, budget: float) -> DataFrame:
+    """Greedy gain, relaxed optimum and dual bound over the choice of each id that costs least, in rising order.
+
+    The dual bound is taken on the whole menus, not on hulls: budget times the price, plus for
+    every id the most of revenue less price times spend. No allocation within the budget gains more.
+    """
+    price = dual_price(offer, budget)
+    rows = offer.where(F.col("spend").isNotNull() & F.col("revenue").isNotNull())
+    base = F.min(F.struct(F.col("spend").cast("double").alias("spend"), (-F.col("revenue")).cast("double").alias("revenue")))
+    each = rows.groupBy("id").agg(F.max(F.col("revenue") - price * F.col("spend")).alias("best"), base.alias("base"))
+    gain = F.col("best") + F.col("base.revenue") + price * F.col("base.spend")
+    dual = each.agg(F.round(F.coalesce(F.sum(gain), F.lit(0.0)) + price * budget, 4).alias("dual_gain"))
+    return allocation_bound(offer, budget).join(F.broadcast(dual))
+
+
 def guardrails(decisions: DataFrame, catalog: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """Catalog coverage, share of new articles, lowest segment relevance, discount spend, each against its threshold."""
     total = catalog.agg(F.count("*").alias("n_catalog"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.functions.scalars import day_index
+from tallgrass.operators import distinct
 from tallgrass.operators import features as f
 from tallgrass.plans.common import ART, EPOCH, EV, EVENT_EPOCH, TX, day
 from tallgrass.sources import adapter as a
@@ -50,6 +51,30 @@ def pit_cross_rolling(spark, d):
     return f.rolling_features(f.daily_agg(tx, ["customer_id", "product_type"], epoch=EPOCH), ["customer_id", "product_type"], ["n_txn"], (90,), prefix="x")
 
 
+def _distincts(keys: tuple[str, ...], member: str, prefix: str, extra: str = "", source: str = "tx") -> str:
+    name, by, on = member.removesuffix("_id"), ", ".join(keys), " AND ".join(f"b.{k} = a.{k}" for k in keys)
+    counts = ", ".join(f"count(DISTINCT CASE WHEN b.day_index >= a.day_index - {w} THEN b.{member} END) AS {prefix}_n_{name}s_{w}d" for w in f.WINDOWS)
+    own = ", ".join(f"a.{k}" for k in keys)
+    return f"WITH {TX}{extra}, s AS (SELECT DISTINCT {by}, {member}, {day(EPOCH)} AS day_index FROM {source}), d AS (SELECT DISTINCT {by}, day_index FROM s) SELECT {own}, a.day_index, {counts} FROM d a LEFT JOIN s b ON {on} AND b.day_index BETWEEN a.day_index - 90 AND a.day_index - 1 GROUP BY ALL"
+
+
+@query("rolling_distinct_customer", _distincts(("customer_id",), "article_id", "cust"))
+def rolling_distinct_customer(spark, d):
+    """Articles that each customer bought in the days before, each once however often."""
+    return distinct.rolling_distinct(a.transactions(spark, d), ["customer_id"], "article_id", prefix="cust", epoch=EPOCH)
+
+
+@query("rolling_distinct_article", _distincts(("article_id",), "customer_id", "art"))
+def rolling_distinct_article(spark, d):
+    return distinct.rolling_distinct(a.transactions(spark, d), ["article_id"], "customer_id", prefix="art", epoch=EPOCH)
+
+
+@query("rolling_distinct_cross", _distincts(("customer_id", "product_type"), "article_id", "cross", f", {ART}, typed AS (SELECT * FROM tx JOIN art USING (article_id))", "typed"))
+def rolling_distinct_cross(spark, d):
+    tx = a.transactions(spark, d).join(a.articles(spark, d).select("article_id", "product_type"), "article_id")
+    return distinct.rolling_distinct(tx, ["customer_id", "product_type"], "article_id", prefix="cross", epoch=EPOCH)
+
+
 _SPINE = f"""WITH {EV}, d AS (SELECT customer_id, {day(EVENT_EPOCH)} AS day_index, count(*) AS n_txn FROM tx GROUP BY ALL),
 s AS (SELECT customer_id, day_index FROM (SELECT DISTINCT customer_id FROM tx), (SELECT unnest([7, 14, 21, 28]) AS day_index)),
 j AS (SELECT coalesce(d.customer_id, s.customer_id) AS customer_id, coalesce(d.day_index, s.day_index) AS day_index, n_txn, s.customer_id IS NOT NULL AS wanted FROM d FULL JOIN s ON d.customer_id = s.customer_id AND d.day_index = s.day_index),

@@ -104,6 +104,40 @@ def greedy_allocation(spark, d):
     return p.allocate_greedy(_offers(spark, d), 5000.0)
 
 
+#: A menu whose first step can lose revenue and whose later steps gain again: demand jumps at a fifth off.
+_PROMO = """base AS (SELECT p_partkey AS id, p_retailprice AS price, 0.05 + (p_size % 10) / 50.0 AS p0, -0.5 - (p_size % 4) AS eps FROM part),
+offers AS (SELECT id, discount, least(1.0, p0 * pow(1 - discount, eps) * CASE WHEN discount >= 0.2 THEN 1.4 ELSE 1.0 END) AS p, price FROM base, (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4])::DOUBLE AS discount)),
+o AS (SELECT id, discount, p * price * (1 - discount) AS revenue, p * price * discount AS spend FROM offers),
+v AS (SELECT * FROM o j WHERE NOT EXISTS (SELECT 1 FROM o i WHERE i.id = j.id AND i.discount <> j.discount AND i.spend <= j.spend AND i.revenue >= j.revenue)
+  AND NOT EXISTS (SELECT 1 FROM o i JOIN o k ON k.id = i.id WHERE i.id = j.id AND i.spend < j.spend AND j.spend < k.spend AND (j.revenue - i.revenue) * (k.spend - i.spend) <= (k.revenue - i.revenue) * (j.spend - i.spend))),
+st AS (SELECT id, discount, round(revenue - lag(revenue) OVER w, 6) AS gain, round(spend - lag(spend) OVER w, 6) AS cost, row_number() OVER w AS step FROM v WINDOW w AS (PARTITION BY id ORDER BY spend)),
+ra AS (SELECT *, round(gain / cost, 6) AS ratio FROM st WHERE gain > 0 AND cost > 0),
+ru AS (SELECT *, CAST(sum(CAST(cost AS DECIMAL(20,6))) OVER (ORDER BY ratio DESC, id, step ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS spent FROM ra)"""
+
+
+def _promo(spark, d):
+    part = a.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), (0.05 + (F.col("p_size") % 10) / 50.0).alias("p0"), (-0.5 - F.col("p_size") % 4).alias("eps"))
+    rows = part.withColumn("discount", F.explode(F.array(*map(F.lit, (0.0, 0.1, 0.2, 0.3, 0.4)))))
+    p_ = F.least(F.lit(1.0), F.col("p0") * F.pow(1 - F.col("discount"), F.col("eps")) * F.when(F.col("discount") >= 0.2, 1.4).otherwise(1.0))
+    return rows.select("id", "discount", (p_ * F.col("price") * (1 - F.col("discount"))).alias("revenue"), (p_ * F.col("price") * F.col("discount")).alias("spend"))
+
+
+@query("allocation_any_menu", f"WITH {_PROMO} SELECT id, discount, gain, cost, spent FROM ru WHERE spent <= 5000")
+def allocation_any_menu(spark, d):
+    """Steps along each id's hull, so that one which loses revenue is passed over together with the next."""
+    return p.allocate_greedy(_promo(spark, d), 5000.0)
+
+
+@query("allocation_dual", f"""WITH {_PROMO}, cum AS (SELECT r, sum(c) OVER (ORDER BY r DESC) - c AS above FROM (SELECT gain / cost AS r, sum(cost) AS c FROM ra GROUP BY 1)),
+pr AS (SELECT CASE WHEN (SELECT sum(cost) FROM ra) <= 5000 THEN 0 ELSE min(r) END AS price FROM cum WHERE above <= 5000),
+ch AS (SELECT id, max(revenue - price * spend) - max(CASE WHEN discount = 0 THEN revenue END) AS gain, max(price) AS price FROM o, pr GROUP BY id)
+SELECT count(CASE WHEN spent <= 5000 THEN 1 END) AS n_steps, round(sum(CASE WHEN spent <= 5000 THEN gain END), 4) AS greedy_gain, round(sum(CASE WHEN spent <= 5000 THEN cost END), 4) AS greedy_spend,
+round(sum(gain * greatest(0.0, least(cost, 5000 - (spent - cost))) / cost), 4) AS lp_gain, (SELECT round(sum(gain) + 5000 * max(price), 4) FROM ch) AS dual_gain FROM ru""")
+def allocation_dual(spark, d):
+    """Greedy, relaxed and dual value of one budget, each at least the one before."""
+    return p.dual_bound(_promo(spark, d), 5000.0)
+
+
 _DEC = "dec AS (SELECT l_partkey AS article_id, c_mktsegment AS segment, l_quantity > 45 AS is_new, l_discount AS relevance, CAST(l_tax AS DECIMAL(12,4)) AS spend FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
 
 

@@ -160,6 +160,21 @@ def late_batch_fact(spark, d):
     return fact.select("customer_id", "article_id", "t_dat", "sales_channel_id", "qty", "revenue")
 
 
+@query("late_batch_cross", f"WITH {TX}, {ART}, x AS (SELECT customer_id, product_type, {day(EPOCH)} AS day_index, count(*) AS n_txn FROM tx JOIN art USING (article_id) GROUP BY ALL), r AS (SELECT customer_id, product_type, day_index, {_windows('customer_id, product_type', 'n_txn', (30, 90), 'cros')} FROM x) SELECT * FROM r WHERE day_index BETWEEN 2002 AND 2091")
+def late_batch_cross(spark, d):
+    """A third of a day arrives late, twice; the cross features of the days it made stale are read from their table."""
+    tx = a.transactions(spark, d).withColumn("_source_file", F.lit(None).cast("string"))
+    table = SnapshotTable(spark, _path(spark))
+    table.create(tx.schema, "t_dat")
+    table.add_column("_ingested_at", T.TimestampType())
+    late_rows = (f.day_index(F.col("t_dat"), EPOCH) == 2001) & (F.col("customer_id") % 3 == 0)
+    table.append(tx.where(~late_rows).drop("_source_file"), fill_missing=True)
+    sinks = {"cross": SnapshotTable(spark, _path(spark))}
+    for _ in range(2):
+        late.apply_late_batch(table, tx.where(late_rows).drop("_source_file"), "late", EPOCH, a.articles(spark, d).select("article_id", "product_type"), sinks)
+    return sinks["cross"].read(start=2002, end=2091).select("customer_id", "product_type", "day_index", "cros_n_txn_30d", "cros_n_txn_90d")
+
+
 @query("reload_with_corrections", f"WITH {EV} SELECT t_dat, CASE WHEN {_LATE} THEN 'fix-1' ELSE 'base' END AS source, count(*) AS n FROM tx WHERE t_dat BETWEEN DATE '2024-01-11' AND DATE '2024-01-13' GROUP BY ALL")
 def reload_with_corrections(spark, d):
     """Days loaded again from their whole source: the base rows and every correction of those days."""
@@ -195,6 +210,14 @@ def feature_sink(spark, d):
     return table.read().select("customer_id", "day_index", "cust_n_txn_7d", "cust_n_txn_90d")
 
 
+@query("feature_sink_bounds", f"WITH {TX}, x AS (SELECT customer_id, {day(EPOCH)} AS day_index, count(*) AS n_txn FROM tx GROUP BY ALL), r AS (SELECT customer_id, day_index, {_windows('customer_id', 'n_txn', (7, 90), 'cust')} FROM x) SELECT * FROM r WHERE day_index BETWEEN 990 AND 1005")
+def feature_sink_bounds(spark, d):
+    """Days of three and four digits from a table by day number: bounds compare as numbers."""
+    table = SnapshotTable(spark, _path(spark))
+    f.write_features(table, f.build_features(a.transactions(spark, d), start=980, end=1020, epoch=EPOCH, windows=(7, 90))["customer"])
+    return table.read(start=990, end=1005).select("customer_id", "day_index", "cust_n_txn_7d", "cust_n_txn_90d")
+
+
 @query("backfill_article", f"WITH {TX}, x AS (SELECT article_id, {day(EPOCH)} AS day_index, count(*) AS n_txn FROM tx GROUP BY ALL), r AS (SELECT article_id, day_index, {_windows('article_id', 'n_txn', (30,), 'arti')} FROM x) SELECT * FROM r WHERE day_index BETWEEN 2000 AND 2030")
 def backfill_article(spark, d):
     return f.build_features(a.transactions(spark, d), start=2000, end=2030, epoch=EPOCH, windows=(30,))["article"].select("article_id", "day_index", "arti_n_txn_30d")

@@ -9,6 +9,7 @@ from tallgrass.operators import merge
 from tallgrass.sources import csv
 from tallgrass.sources.snapshots import ConcurrentCommit, SnapshotTable
 from tallgrass.sources.warehouse import Warehouse
+from tallgrass.operators.features import build_features
 from tallgrass.streaming.late import apply_late_batch, sink
 
 HEADER = "t_dat,customer_id,article_id,price,sales_channel_id\n"
@@ -141,7 +142,8 @@ def test_late_batch_once_and_survives_reload(spark, warehouse):
     late = spark.createDataFrame([(dt.date(2019, 6, 1), "q", "0001", 0.7, 1)], "t_dat date, customer_id string, article_id string, price double, sales_channel_id int")
     done = apply_late_batch(t, late, "fix-1")
     assert done["range"][1] - done["range"][0] == 89 and done["fact"].count() == 4
-    assert apply_late_batch(t, late, "fix-1") is None
+    again = apply_late_batch(t, late, "fix-1")
+    assert done["landed"] and not again["landed"] and again["range"] == done["range"] and again["fact"].count() == 4
     merge.assert_identical(t.read().where("customer_id = 'q'").select("t_dat", "article_id"), late.select("t_dat", "article_id"))
     warehouse.load_transactions(corrections={"fix-1": late})
     assert t.read().where("customer_id = 'q'").count() == 1
@@ -149,3 +151,74 @@ def test_late_batch_once_and_survives_reload(spark, warehouse):
     write(late, 7)
     write(late, 7)
     assert t.read().where(F.col("_source_file") == "stream-7").count() == 1
+
+
+def test_partition_bounds_compare_as_the_column_does(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.create("day int, x int", "day")
+    t.append(spark.createDataFrame([(d, d) for d in (-5, 95, 950, 1000, 1005, 2000)] + [(None, 0)], "day int, x int"))
+    days = lambda **kw: sorted(r.day for r in t.read(**kw).collect())
+    assert days(start=900, end=1005) == [950, 1000, 1005]
+    assert days(end=95) == [-5, 95] and days(start=-10, end=0) == [-5] and days(start=3000) == []
+    assert days(only={95, 2000}) == [95, 2000] and days(only=set()) == []
+    assert len(t.read(start=900, end=1005).inputFiles()) == 3
+
+
+def test_a_manifest_is_there_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "t")
+    t = SnapshotTable(spark, path)
+    t.create("id int")
+    t.append(spark.createDataFrame([(1,)], "id int"))
+    (tmp_path / "t" / "_log" / "_dead-writer.tmp").write_text("")
+    assert t.snapshot_ids() == [1, 2] and t.read().count() == 1
+    seen, publish = [], t._publish
+
+    def look(aside, final):
+        seen.append((SnapshotTable(spark, path).snapshot_ids(), SnapshotTable(spark, path).read().count()))
+        publish(aside, final)
+
+    t._publish = look
+    t.append(spark.createDataFrame([(2,)], "id int"))
+    assert seen == [([1, 2], 1)] and t.snapshot_ids() == [1, 2, 3] and t.read().count() == 2
+
+    def die(aside, final):
+        raise KeyboardInterrupt
+
+    t._publish = die
+    with pytest.raises(KeyboardInterrupt):
+        t.append(spark.createDataFrame([(3,)], "id int"))
+    assert SnapshotTable(spark, path).read().count() == 2
+    assert not [f for f in (tmp_path / "t" / "_log").iterdir() if f.name.endswith(".tmp") and "dead" not in f.name]
+
+
+def test_a_new_batch_is_known_by_the_manifest(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.create("id int, _source_file string")
+    t.append(spark.createDataFrame([(0,)], "id int"), fill_missing=True)
+    reads, read = [], t.read
+    t.read = lambda *a, **kw: reads.append(1) or read(*a, **kw)
+    row = spark.createDataFrame([(1,)], "id int")
+    assert t.append_once(row, "a") and t.append_once(row, "b") and not reads
+    assert t.append_once(row, "a") is None and reads
+    t.replace(spark.createDataFrame([(0,)], "id int"), fill_missing=True)
+    assert t.append_once(row, "a") is not None and read().count() == 2
+
+
+def test_late_batch_is_mended_by_its_replay(spark, tmp_path):
+    """The job died after the append: the replay builds and writes all three grains."""
+    log = SnapshotTable(spark, str(tmp_path / "log"))
+    kinds = "t_dat date, customer_id string, article_id string, price decimal(12,2), sales_channel_id int, _ingested_at timestamp, _source_file string"
+    log.create(kinds, "t_dat")
+    rows = lambda day, n: spark.createDataFrame([(dt.date(2019, 6, day), f"c{k % 2}", f"a{k}", 1, 1) for k in range(n)], "t_dat date, customer_id string, article_id string, price int, sales_channel_id int").withColumn("price", F.col("price").cast("decimal(12,2)"))
+    log.append(rows(1, 4).unionByName(rows(5, 4)), fill_missing=True)
+    types = spark.createDataFrame([(f"a{k}", f"t{k % 2}") for k in range(4)], "article_id string, product_type string")
+    late = rows(3, 3)
+    log.append_once(late.withColumn("_ingested_at", F.current_timestamp()), "late")
+    sinks = {g: SnapshotTable(spark, str(tmp_path / g)) for g in ("customer", "article", "cross")}
+    done = apply_late_batch(log, late, "late", article_type=types, sinks=sinks)
+    assert not done["landed"] and sorted(done["features"]) == ["article", "cross", "customer"]
+    clean = build_features(log.read(), types)
+    for grain, sink_table in sinks.items():
+        lo, hi = done["range"]
+        merge.assert_identical(sink_table.read(), clean[grain].where(F.col("day_index").between(lo, hi)))
+    assert sinks["cross"].read().where("day_index = 258").count() == 2
