@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +32,47 @@ def elasticity(panel: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.round(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x")), 6).alias("elasticity"))
 
 
-def elasticity_with_weeks(panel: DataFrame) -> float:
-    """The same with week-of-year dummies, all demeaned within articles."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+#: Weeks of a year, as ISO numbers them.
+WEEKS = 53
 
-    w = Window.partitionBy("article_id")
-    base = panel.where("mean_price > 0").select("article_id", F.log("mean_price").alias("x"), F.log("units").alias("y"), F.weekofyear("week").alias("woy"))
-    dummies = {f"w{k}": (F.col("woy") == k).cast("double") for k in range(2, 54)}
-    cols = ["x", *dummies]
-    d = base.withColumns(dummies)
-    d = d.select(*((F.col(c) - F.avg(c).over(w)).alias(c) for c in [*cols, "y"]))
-    model = LinearRegression(featuresCol="f", labelCol="y", fitIntercept=False, regParam=1e-8).fit(VectorAssembler(inputCols=cols, outputCol="f").transform(d))
-    return float(model.coefficients[0])
+
+def elasticity_with_weeks(panel: DataFrame) -> DataFrame:
+    """The same slope with an effect for every article and every week of the year.
+
+    Least squares needs the cross moments of price, units and the 53 week indicators about the
+    articles' means only. These follow from each article's sums by week, one shuffle of the
+    panel; each task adds them up to one matrix of 55 by 55, and the driver solves the sum.
+    """
+    d = panel.where("mean_price > 0").select("article_id", F.log("mean_price").alias("x"), F.log("units").alias("y"), F.weekofyear("week").alias("woy"))
+    weekly = d.groupBy("article_id", "woy").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+    weekly = weekly.select("article_id", "woy", F.col("n").cast("double").alias("n"), "x", "y", "xx", "xy")
+    own = weekly.groupBy("article_id").agg(F.collect_list(F.struct("woy", "n", "x", "y", "xx", "xy")).alias("w")).select("w")  # 53 at most
+    size = WEEKS + 2
+
+    def moments(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            for article in batch.column(0):
+                w = np.array([list(r.values()) for r in article.as_py()])
+                at, n = 1 + w[:, 0].astype(int), w[:, 1]
+                sums = np.zeros(size)
+                sums[0], sums[1], sums[at] = w[:, 2].sum(), w[:, 3].sum(), n
+                total[0, 0] += w[:, 4].sum()
+                total[0, 1] += w[:, 5].sum()
+                total[0, at] += w[:, 2]
+                total[1, at] += w[:, 3]
+                total[at, at] += n
+                total -= np.triu(np.outer(sums, sums)) / n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["row", "part"])
+
+    parts = own.mapInArrow(moments, "row int, part array<double>")
+    m = np.zeros((size, size))
+    for r in parts.groupBy("row").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("sum")).collect():
+        m[r.row] = r.sum
+    m = np.triu(m) + np.triu(m, 1).T
+    use = np.array([0, *range(2, size)])
+    slope = np.linalg.lstsq(m[np.ix_(use, use)], m[use, 1], rcond=1e-11)[0][0] if m[0, 0] > 0 else None
+    return d.agg(F.count("*").alias("n"), F.round(F.lit(None if slope is None else float(slope)).cast("double"), 6).alias("elasticity"))
 
 
 def offers(base: DataFrame, eps: float, menu=MENU) -> DataFrame:

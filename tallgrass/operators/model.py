@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallgrass.operators.quantile import exact_quantiles
+
 GRAIN = ["customer_id", "article_id", "t_dat", "sales_channel_id"]
 
 
@@ -27,10 +29,10 @@ def grain_profile(tx: DataFrame, grain) -> DataFrame:
 
 
 def price_spread(tx: DataFrame, grain) -> DataFrame:
-    """Exact quantiles of (max - min) / max over groups with several prices."""
+    """Exact quantiles of (max - min) / max over groups with several prices, by range counting."""
     groups = tx.groupBy(*grain).agg(F.min("price").cast("double").alias("lo"), F.max("price").cast("double").alias("hi")).where("hi > lo")
     spread = (F.col("hi") - F.col("lo")) / F.col("hi")
-    return groups.select(spread.alias("s")).agg(F.count("*").alias("n"), *(F.round(F.percentile("s", F.lit(q)), 8).alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (1.0, "p100"))))
+    return exact_quantiles(groups.select(spread.alias("s")), [], "s", {"p50": 0.5, "p90": 0.9, "p100": 1.0}, 8)
 
 
 def check_unique(df: DataFrame, keys) -> DataFrame:

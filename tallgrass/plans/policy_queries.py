@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.functions import scalars as s
+from tallgrass.operators import calibration
 from tallgrass.operators import decision as p
 from tallgrass.operators import ranking as k
 from tallgrass.plans.common import AS_OF, TX
@@ -197,10 +198,15 @@ def age_buckets(spark, d):
     return a.table(spark, d, "customer").groupBy(s.age_bucket(F.col("c_acctbal"), (2500, 5000, 7500)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("isotonic")
+@query("isotonic", f"""WITH {_SCORED}, ro AS (SELECT group_id, article_id, round(score, 3) AS score, label FROM sc), pt AS (SELECT score, sum(label) AS y, count(*) AS n FROM ro WHERE group_id % 2 = 0 GROUP BY 1),
+cu AS (SELECT row_number() OVER w AS i, score, y, n, sum(y) OVER w AS sy, sum(n) OVER w AS sn FROM pt WINDOW w AS (ORDER BY score)),
+pr AS (SELECT a.i AS a, b.i AS b, min((b.sy - a.sy + a.y) / CAST(b.sn - a.sn + a.n AS DOUBLE)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least FROM cu a JOIN cu b ON a.i <= b.i),
+fit AS (SELECT score, value, lead(score) OVER (ORDER BY score) AS score2, lead(value) OVER (ORDER BY score) AS value2 FROM (SELECT b, max(least) AS value FROM pr GROUP BY b) JOIN cu ON cu.i = b),
+al AS (SELECT ro.*, CASE WHEN f.score IS NULL THEN (SELECT min(value) FROM fit) WHEN f.score2 IS NULL OR ro.score = f.score THEN f.value ELSE f.value + (f.value2 - f.value) * (ro.score - f.score) / (f.score2 - f.score) END AS c FROM ro ASOF LEFT JOIN fit f ON ro.score >= f.score)
+SELECT group_id, article_id, CASE WHEN group_id % 2 = 0 THEN 'calib' ELSE 'rest' END AS fold, round(c, 6) AS calibrated FROM al""")
 def isotonic(spark, d):
-    """Fitted on even groups; all rows are calibrated, and ``fold`` tells which were fitted on."""
-    rows = _scored(spark, d).select("group_id", "article_id", "score", F.col("label").cast("double").alias("label"))
+    """Fitted on even groups; all rows are calibrated, and ``fold`` tells which were fitted on. The SQL is the min-max formula."""
+    rows = _scored(spark, d).select("group_id", "article_id", F.round("score", 3).alias("score"), "label")
     fold = F.col("group_id") % 2 == 0
-    done = k.fit_calibrator(rows.where(fold)).transform(rows)
+    done = calibration.calibrate(rows, calibration.fit_isotonic(rows.where(fold)))
     return done.select("group_id", "article_id", F.when(fold, "calib").otherwise("rest").alias("fold"), F.round("calibrated", 6).alias("calibrated"))

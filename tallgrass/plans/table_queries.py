@@ -165,7 +165,7 @@ def late_batch_cross(spark, d):
     """A third of a day arrives late, twice; the cross features of the days it made stale are read from their table."""
     tx = a.transactions(spark, d).withColumn("_source_file", F.lit(None).cast("string"))
     table = SnapshotTable(spark, _path(spark))
-    table.create(tx.schema, "t_dat")
+    table.create(tx.schema)
     table.add_column("_ingested_at", T.TimestampType())
     late_rows = (f.day_index(F.col("t_dat"), EPOCH) == 2001) & (F.col("customer_id") % 3 == 0)
     table.append(tx.where(~late_rows).drop("_source_file"), fill_missing=True)
