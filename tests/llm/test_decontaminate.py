@@ -93,3 +93,12 @@ def test_long_text_full_of_hits(spark):
     text = " ".join(f"{item} gap{k}" for k in range(3000)) + " and " + "x" * 3_000_000
     rows = found(spark, [(1, text), (2, "none of it")], [(7, item), (8, "tiny item here")])
     assert rows == {(1, 7, 0, 12, 12)}
+
+
+def test_no_id_beside_every_number(spark):
+    """Items and documents without an id and with -1 are two, though their texts are equal."""
+    text = " ".join(f"word{j}" for j in range(20))
+    docs, items = [(-1, text), (None, text), (0, text)], [(-1, text), (None, text)]
+    assert {(d, i) for d, i, *_ in found(spark, docs, items)} == {(d, i) for d in (-1, None, 0) for i in (-1, None)}
+    frames = spark.createDataFrame([*docs, (5, "clean")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert [r.doc_id for r in dc.drop_leaks(*frames).collect()] == [5]
