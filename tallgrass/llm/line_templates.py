@@ -122,8 +122,10 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFram
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     side = docs.select(rest.alias("row"), text.alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("version"))
     both = side.join(found, _KEY, "left")
-    lines = F.transform(_split(F.col("text")), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    kept = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("dropped", x["i"])), lambda x: x["x"]), "\n")
+    # what lies between the dropped lines, each stretch cut out once; lines and numbers are bound first, so that they are made once
+    between = lambda s: F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), s["d"]), F.concat(s["d"], F.array(F.size(s["l"]))), lambda a, b: F.slice(s["l"], a + 2, b - a - 1)))
+    bound = F.array(F.struct(_split(F.col("text")).alias("l"), F.array_sort("dropped").alias("d")))
+    kept = F.array_join(F.get(F.transform(bound, between), F.lit(0)), "\n")
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return both.select("row", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(n_lines, F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"))
 
