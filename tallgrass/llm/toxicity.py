@@ -44,7 +44,7 @@ from tallgrass.llm.linear import hinge_dcd, logistic, sigmoid
 from tallgrass.llm.nbsvm import score_rows
 from tallgrass.llm.shared import Table
 
-PER_CLASS, SENTENCES, LANDMARKS, ROUNDS = 2_500, 5_000, 128, 2
+PER_CLASS, SENTENCES, LANDMARKS, ROUNDS = 2_500, 5_000, 192, 2
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: Added to a word's squared length, so that a word of one subsequence counts less.
 SHORT = 0.25
@@ -53,6 +53,9 @@ SHORT = 0.25
 #: many times likelier there; at most so many of them.
 STEM_LETTERS, SEED_SENTENCES, SEED_ODDS, SEED_STEMS = range(3, 11), 6, 12.0, 64
 
+#: Copies of a toxic word with so many letters put inside that are learned beside it, and the cost of missing one.
+INSERTED, INSERTS, INSERT_COST = (1, 2), 8, 30.0
+
 #: Longest piece of a sentence, cut at white space if there is any.
 PIECE = 400
 _PIECES = rf"(?s)\S.{{0,{PIECE - 2}}}\S(?!\S)|\S(?!\S)|\S{{{PIECE}}}"
@@ -199,6 +202,17 @@ class Landmarks:
         return out
 
 
+def with_inserts(word: bytes, rng: np.random.Generator) -> list[bytes]:
+    """The word as it is written to pass a filter: ``INSERTS`` copies for each number of letters put inside."""
+    out = []
+    for n in INSERTED * INSERTS:
+        new = list(word)
+        for _ in range(n):
+            new.insert(int(rng.integers(1, len(new))), int(rng.integers(26)))
+        out.append(bytes(new))
+    return out
+
+
 def _machine(z: list[np.ndarray], y: list[int], weight: list[float]) -> np.ndarray:
     columns = np.arange(len(z[0]))
     return hinge_dcd([(columns, row) for row in z], np.array(y), len(columns), np.array(weight), 25)
@@ -207,7 +221,8 @@ def _machine(z: list[np.ndarray], y: list[int], weight: list[float]) -> np.ndarr
 def fit(toxic: list[str], clean: list[str], marks: list[str], seed: int = 5) -> np.ndarray:
     """Subsequence weights from labelled sentences; ``marks`` are the stems that made sentences toxic ones.
 
-    A toxic sentence stands for its words of such a stem, a clean one for any of its words;
+    A toxic sentence stands for its words of such a stem and for copies of them with one or
+    two letters put inside, as long as no clean sentence holds such a word, a clean one for any of its words;
     after each fit, a clean sentence also gives the word that the machine finds worst,
     and the worst of those become landmarks.  A clean word weighs as many sentences as it
     is in, so a common word that resembles an insult is not taken for one.
@@ -228,9 +243,10 @@ def fit(toxic: list[str], clean: list[str], marks: list[str], seed: int = 5) ->
     if not positive or not drawn:
         return np.zeros(TABLE, np.float32)
     cost = lambda w: 10.0 * min(common[w], 100)
+    stretched = {v for w in sorted(positive) for v in with_inserts(w, rng)} - positive.keys() - common.keys()
     landmarks = sorted(positive, key=lambda w: (-positive[w], w))[: LANDMARKS // 2]
     landmarks += [drawn[i] for i in rng.permutation(len(drawn))[: LANDMARKS - len(landmarks)]]
-    seen = {**{w: (1, 100.0) for w in positive}, **{w: (-1, cost(w)) for w in drawn}}
+    seen = {**{w: (1, 100.0) for w in positive}, **{w: (1, INSERT_COST) for w in sorted(stretched)}, **{w: (-1, cost(w)) for w in drawn}}
     every = sorted(common)
     codes = np.frombuffer(bytes([_SPACE]) + bytes([_SPACE]).join(every) + bytes([_SPACE]) * SPAN, np.uint8)
     for turn in range(ROUNDS + 1):
