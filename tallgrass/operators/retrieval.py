@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.scalars import recency_weight
+from tallgrass.sources.scratch import Table
 
 #: Vectors in a block of queries and in a block of items: some 2 MB and 4 MB at 128 floats each.
 QUERY_ROWS, ITEM_ROWS = 4_096, 8_192
@@ -77,12 +78,10 @@ def covisit_candidates(tx: DataFrame, pairs: DataFrame, as_of, lookback: int = 9
     return top_k(score, ["customer_id"], [F.desc("score"), "article_id"], n)
 
 
-def _packed(df: DataFrame, ident: str, vec: str, rows: int, names: tuple[str, str, str]) -> DataFrame:
-    """Blocks of about ``rows`` vectors, each as its ids and one flat array."""
+def _packed(df: DataFrame, blocks: int, names: tuple[str, str, str]) -> DataFrame:
+    """(id, v) in so many blocks by id, each as its ids and one flat array."""
     block, ids, flat = names
-    n = df.count()
-    blocks = max(1, -(-n // rows))
-    each = df.select(F.pmod(F.xxhash64(ident), F.lit(blocks)).alias(block), F.struct(F.col(ident).cast("long").alias("i"), F.col(vec).cast("array<float>").alias("v")).alias("x"))
+    each = df.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(block), F.struct(F.col("id").alias("i"), F.col("v").alias("v")).alias("x"))
     return each.groupBy(block).agg(F.collect_list("x").alias("x")).select(block, F.col("x.i").alias(ids), F.flatten("x.v").alias(flat))
 
 
@@ -111,11 +110,13 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, qid: str = "q_id",
     block of queries, so what moves is the items times the blocks of queries. Neither
     side is collected or broadcast, whatever its size.
     """
-    q = _packed(queries, qid, vec, QUERY_ROWS, ("qb", "q", "qv"))
-    it = _packed(items, iid, vec, ITEM_ROWS, ("ib", "i", "iv"))
-    n_blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    # both sides once: what they are computed from is read once, and their counts are those of the files
+    both = [Table(df.select(F.col(ident).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v")), "vectors").df for df, ident in ((queries, qid), (items, iid))]
+    n_blocks, n_items = (max(1, -(-df.count() // rows)) for df, rows in zip(both, (QUERY_ROWS, ITEM_ROWS)))
+    q = _packed(both[0], n_blocks, ("qb", "q", "qv"))
+    it = _packed(both[1], n_items, ("ib", "i", "iv"))
     met = it.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(q, "qb")
-    both = met.select("q", "qv", "i", "iv").repartition(max(1, min(n_blocks * max(1, -(-items.count() // ITEM_ROWS)), 4096)))
+    pairs = met.select("q", "qv", "i", "iv").repartition(max(1, min(n_blocks * n_items, 4096)))
 
     def score(batches):
         for batch in batches:
@@ -124,7 +125,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, qid: str = "q_id",
                 q_, i_, s = block_topk(q_ids, qv.reshape(len(q_ids), -1), i_ids, iv.reshape(len(i_ids), -1), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_, pa.int64()), pa.array(i_, pa.int64()), pa.array(s, pa.float64())], ["q", "i", "score"])
 
-    found = both.mapInArrow(score, "q long, i long, score double")
+    found = pairs.mapInArrow(score, "q long, i long, score double")
     return top_k(found, ["q"], [F.desc("score"), "i"], k).select(F.col("q").alias(qid), F.col("i").alias(iid), "score", "rank")
 
 

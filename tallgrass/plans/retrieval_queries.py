@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallgrass.operators import ranking, serving
+from tallgrass.operators import graph_index, serving
 from tallgrass.operators import retrieval as r
 from tallgrass.plans.common import ART, AS_OF, TRUTH, TX
 from tallgrass.sources import adapter as a
-from tallgrass.sources.scratch import Table
+from tallgrass.sources.scratch import Scratch, Table
 
 QUERIES, SQL = {}, {}
 
@@ -94,10 +94,33 @@ def mean_vector(spark, d):
     return r.mean_vector(a.transactions(spark, d), vectors, AS_OF, 10)
 
 
+def _graph(spark, d, scratch):
+    """Neighbours by graphs, the vectors scored for each query, and both sides of the search."""
+    e = a.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index, centre = graph_index.build_index(e, scratch)
+    return *graph_index.graph_topk(e.where("id % 100 = 0"), index, centre, 10), e
+
+
+@query("graph_topk")
+def graph_topk(spark, d):
+    """Approximate neighbours of the vectors whose id is divisible by 100; recall in ``graph_recall``."""
+    with Scratch() as scratch:
+        return _graph(spark, d, scratch)[0]
+
+
+@query("graph_recall")
+def graph_recall(spark, d):
+    """Recall@10 of the graphs against the exact search, and the share of the vectors that a query scores."""
+    with Scratch() as scratch:
+        found, scored, e = _graph(spark, d, scratch)
+    exact = r.vector_topk(e.where("id % 100 = 0").withColumnRenamed("id", "q_id"), e.withColumnRenamed("id", "item_id"), 10)
+    return graph_index.recall_and_share(found, exact, scored, e.count())
+
+
 @query("lsh_topk")
 def lsh_topk(spark, d):
-    e = a.table(spark, d, "embeddings").select("vec_id", "embedding")
-    return ranking.lsh_topk(e.where("vec_id % 100 = 0"), e, 10)
+    """The same neighbours by L2 distance of unit vectors; the name is that of the hashing that the graphs replaced."""
+    return graph_topk(spark, d).select("q_id", "item_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("d"), "rank")
 
 
 #: Best sellers for every customer with a history, and the articles nearest to the mean of the customer's latest ones.
