@@ -11,12 +11,12 @@ from tallgrass.operators import joins
 from tallgrass.operators import model as m
 from tallgrass.operators import ranking as k
 from tallgrass.operators import retrieval as r
-from tallgrass.operators import serving
+from tallgrass.operators import serving, towers
 from tallgrass.plans import retrieval_queries as rq
 from tallgrass.plans.common import ART, AS_OF, EPOCH, TRUTH, TX, day
 from tallgrass.plans.policy_queries import _HASH, _PANEL, _SCORED, _offers, _scored, _OFFERS
 from tallgrass.sources import adapter as a
-from tallgrass.sources.scratch import Table
+from tallgrass.sources.scratch import Scratch, Table
 
 QUERIES, SQL = {}, {}
 
@@ -91,12 +91,59 @@ def gbt_rank(spark, d):
     return model.transform(rows).select("customer_id", "article_id", fold.alias("fold"), "label", "prediction")
 
 
+def _factors(tx, n: int):
+    model = k.factorise(r.before(tx, AS_OF), 8)
+    users, items = (x.select(F.col("id").cast("long").alias(name), F.col("features").alias("v")) for x, name in ((model.userFactors, "q_id"), (model.itemFactors, "item_id")))
+    return r.vector_topk(users, items, n).select(F.col("q_id").alias("customer_id"), F.col("item_id").alias("article_id"), "score", "rank")
+
+
 @query("factor_topk")
 def factor_topk(spark, d):
     """Articles by alternating-least-squares factors, five for every customer."""
-    model = k.factorise(r.before(a.transactions(spark, d), AS_OF), 8)
-    users, items = (x.select(F.col("id").cast("long").alias(n), F.col("features").alias("v")) for x, n in ((model.userFactors, "q_id"), (model.itemFactors, "item_id")))
-    return r.vector_topk(users, items, 5).select(F.col("q_id").alias("customer_id"), F.col("item_id").alias("article_id"), "score", "rank")
+    return _factors(a.transactions(spark, d), 5)
+
+
+_HIST = f"""WITH {TX}, r AS (SELECT DISTINCT customer_id, article_id, {day(EPOCH)} AS day_index FROM tx WHERE t_dat < DATE '{AS_OF}'),
+h AS (SELECT d.customer_id, d.day_index, r.article_id, row_number() OVER (PARTITION BY d.customer_id, d.day_index ORDER BY r.day_index DESC, r.article_id) AS k, r.day_index AS past FROM (SELECT DISTINCT customer_id, day_index FROM r) d JOIN r ON r.customer_id = d.customer_id AND r.day_index < d.day_index),
+l AS (SELECT customer_id, day_index, string_agg(CAST(article_id AS VARCHAR), ' ' ORDER BY k) AS history FROM h WHERE k <= 10 GROUP BY ALL) SELECT r.customer_id, r.article_id, r.day_index, history FROM r JOIN l USING (customer_id, day_index)"""
+
+
+@query("tower_examples", _HIST)
+def tower_examples(spark, d):
+    """What the vectors are trained on: purchases with the customer's articles of the days before."""
+    rows = towers.purchase_history(r.before(a.transactions(spark, d), AS_OF), epoch=EPOCH)
+    return rows.withColumn("history", F.array_join(F.col("history").cast("array<string>"), " "))
+
+
+def _towers(spark, d, tx, corrected: bool, k: int = 20):
+    """(customer_id, article_id, score, rank) by trained vectors, k for every customer."""
+    vectors = rq._vectors(spark, d)
+    width = len(vectors.select("v").first()[0])
+    with Scratch() as scratch:
+        batches = towers.training_batches(tx, vectors, AS_OF, scratch, epoch=EPOCH)
+        m, _ = towers.fit_towers(batches, width, corrected)
+    users, items = towers.tower_vectors(tx, vectors, m, AS_OF, EPOCH)
+    near = r.vector_topk(users.withColumnRenamed("customer_id", "q_id"), items.withColumnRenamed("article_id", "item_id"), k)
+    return near.select(F.col("q_id").alias("customer_id"), F.col("item_id").alias("article_id"), "score", "rank")
+
+
+@query("tower_topk")
+def tower_topk(spark, d):
+    """Twenty articles for every customer by vectors trained with corrected in-batch and uniform negatives."""
+    return _towers(spark, d, Table(a.transactions(spark, d), "transactions").df, True)
+
+
+@query("tower_recall")
+def tower_recall(spark, d):
+    """Recall@20 of the trained vectors with and without the correction, of means of articles as they are, and of factors."""
+    tx = Table(a.transactions(spark, d), "transactions").df
+    truth = r.truth_pairs(tx, *TRUTH)
+    sources = {"towers": _towers(spark, d, tx, True), "towers_uncorrected": _towers(spark, d, tx, False), "mean_vectors": rq._ann(tx, rq._vectors(spark, d)), "factors": _factors(tx, 20)}
+    out = None
+    for name, cands in sorted(sources.items()):
+        row = r.recall_at_k(cands, truth, 20).select(F.lit(name).alias("source"), "hits", "n_true", "recall")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("relative_price", f"WITH {TX}, x AS (SELECT customer_id, {day(EPOCH)} AS day_index, count(*) AS n, sum(price) AS spend FROM tx GROUP BY ALL), w AS (SELECT customer_id, day_index, sum(n) OVER o AS n, sum(spend) OVER o AS spend FROM x WINDOW o AS (PARTITION BY customer_id ORDER BY day_index RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING)) SELECT t.customer_id, article_id, t_dat, round(CAST(price AS DOUBLE) / (CAST(spend AS DOUBLE) / n), 8) AS relative_price FROM (SELECT *, {day(EPOCH)} AS day_index FROM tx) t JOIN w USING (customer_id, day_index)")
