@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.functions import scalars as s
+from tallgrass.operators import boosting, calibration
 from tallgrass.operators import decision as p
 from tallgrass.operators import features as f
 from tallgrass.operators import joins
@@ -43,11 +44,9 @@ k4 AS (SELECT c.customer_id, c.article_id, art.product_type, coalesce(cf.n, 0) A
  FROM c JOIN art USING (article_id) LEFT JOIN cf ON cf.customer_id = c.customer_id LEFT JOIN af ON af.article_id = c.article_id LEFT JOIN xf ON xf.customer_id = c.customer_id AND xf.product_type = art.product_type LEFT JOIN truth t ON t.customer_id = c.customer_id AND t.article_id = c.article_id)"""
 
 
-def _training_rows(spark, d):
-    """Candidates of one day with the features of all three grains, by a spine of that day, and whether they were bought."""
-    tx, dim = Table(a.transactions(spark, d), "transactions").df, a.articles(spark, d).select("article_id", "product_type")
+def _hydrated(spark, tx, dim, cands, kept=()):
+    """Candidates (customer, article, ``kept``) of one day with the features of all three grains, by a spine of that day, and whether they were bought."""
     today = spark.range(1).select(F.datediff(F.lit(AS_OF).cast("date"), F.lit(EPOCH).cast("date")).alias("day_index"))
-    cands = r.repurchase(tx, AS_OF, 12).select("customer_id", "article_id").unionByName(r.category_popular(tx, dim, AS_OF, 365, 20).select("customer_id", "article_id")).distinct()
     cands = Table(cands.crossJoin(F.broadcast(today)), "candidates").df
 
     def grain(entity, rows, wanted, measures, prefix):
@@ -61,8 +60,26 @@ def _training_rows(spark, d):
     out = f.candidate_features(cands, dim, customer, article, cross)
     truth = r.truth_pairs(tx, *TRUTH).withColumn("bought", F.lit(1))
     out = out.join(truth, ["customer_id", "article_id"], "left").withColumn("label", F.coalesce("bought", F.lit(0)))
-    names = ["cust_n_txn_90d", "cust_spend_90d", "arti_n_txn_90d", "cros_n_txn_90d"]
-    return out.select("customer_id", "article_id", "product_type", *(m.money(F.col(c)).alias(c) if "spend" in c else F.col(c) for c in names), "label")
+    return out.select("customer_id", "article_id", "product_type", *kept, *(m.money(F.col(c)).alias(c) if "spend" in c else F.col(c) for c in FEATURES), "label")
+
+
+FEATURES = ["cust_n_txn_90d", "cust_spend_90d", "arti_n_txn_90d", "cros_n_txn_90d"]
+SOURCES = ["ann", "category_pop", "covisit", "global_pop", "repurchase"]
+FLAGS = [f"from_{c}" for c in SOURCES]
+
+
+def _training_rows(spark, d):
+    """Own articles and the category's best sellers with their features."""
+    tx, dim = Table(a.transactions(spark, d), "transactions").df, a.articles(spark, d).select("article_id", "product_type")
+    cands = r.repurchase(tx, AS_OF, 12).select("customer_id", "article_id").unionByName(r.category_popular(tx, dim, AS_OF, 365, 20).select("customer_id", "article_id")).distinct()
+    return _hydrated(spark, tx, dim, cands)
+
+
+def _all_rows(spark, d):
+    """Candidates of all five sources with their features and a flag for each source."""
+    tx, dim = Table(a.transactions(spark, d), "transactions").df, a.articles(spark, d).select("article_id", "product_type")
+    flags = [F.array_contains("sources", c).cast("int").alias(name) for c, name in zip(SOURCES, FLAGS)]
+    return _hydrated(spark, tx, dim, rq._cands(spark, d, tx).select("customer_id", "article_id", *flags), FLAGS)
 
 
 @query("candidate_features", _K4 + " SELECT * FROM k4")
@@ -81,12 +98,78 @@ def candidate_size(spark, d):
     return r.candidate_size(_training_rows(spark, d), 64)
 
 
+_K5 = rq._ALL + f""", cf AS (SELECT customer_id, count(*) AS n, sum(price) AS spend FROM tx WHERE {_PAST} GROUP BY 1), af AS (SELECT article_id, count(*) AS n FROM tx WHERE {_PAST} GROUP BY 1),
+xf AS (SELECT customer_id, product_type, count(*) AS n FROM tx JOIN art USING (article_id) WHERE {_PAST} GROUP BY ALL),
+k5 AS (SELECT c.customer_id, c.article_id, art.product_type, {", ".join(f"CAST(list_contains(c.sources, '{x}') AS INTEGER) AS from_{x}" for x in SOURCES)},
+ coalesce(cf.n, 0) AS cust_n_txn_90d, CAST(coalesce(cf.spend, 0) AS DOUBLE) AS cust_spend_90d, coalesce(af.n, 0) AS arti_n_txn_90d, coalesce(xf.n, 0) AS cros_n_txn_90d, CASE WHEN t.customer_id IS NULL THEN 0 ELSE 1 END AS label
+ FROM cands c JOIN art USING (article_id) LEFT JOIN cf ON cf.customer_id = c.customer_id LEFT JOIN af ON af.article_id = c.article_id LEFT JOIN xf ON xf.customer_id = c.customer_id AND xf.product_type = art.product_type LEFT JOIN truth t ON t.customer_id = c.customer_id AND t.article_id = c.article_id)"""
+
+
+@query("candidate_features_all", _K5 + " SELECT * FROM k5")
+def candidate_features_all(spark, d):
+    """The ranker's table: what all five sources propose, with the features of the day and where it comes from."""
+    return _all_rows(spark, d)
+
+
+_QS = ", ".join(f"round(quantile_cont(x, {i}/32.0::DOUBLE), 6) AS q{i}" for i in range(0, 32))
+
+
+@query("boost_first_split", _K5 + f""", lo AS (UNPIVOT (SELECT label, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES + FLAGS)} FROM k5) ON {", ".join(FEATURES + FLAGS)} INTO NAME feature VALUE x),
+qs AS (SELECT feature, {_QS} FROM lo GROUP BY feature), es AS (SELECT DISTINCT feature, e FROM (SELECT feature, q0, unnest([{", ".join(f"q{i}" for i in range(1, 32))}]) AS e FROM qs) WHERE e <> q0),
+pm AS (SELECT avg(label) AS p FROM k5), sp AS (SELECT feature, e, count(*) FILTER (x < e) AS n_left, count(*) AS n, sum(p - label) FILTER (x < e) AS gl, sum(p - label) AS g, p * (1 - p) AS h FROM lo JOIN es USING (feature), pm GROUP BY feature, e, p),
+ga AS (SELECT feature, e AS edge, n_left, gl * gl / (n_left * h + 1) + (g - gl) * (g - gl) / ((n - n_left) * h + 1) - g * g / (n * h + 1) AS gain FROM sp WHERE n_left >= 20 AND n - n_left >= 20)
+SELECT feature, edge, n_left, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(gain, 9) DESC, edge) AS k FROM ga) WHERE k = 1""")
+def boost_first_split(spark, d):
+    """The best first split of each feature over all candidates: its edge, the rows below it, and its gain."""
+    with Scratch() as scratch:
+        rows = scratch.table(_all_rows(spark, d), "training")
+        return boosting.first_splits(rows, FEATURES + FLAGS)
+
+
+def _folds(rows):
+    """Customers dealt by hash: six tenths to train, one each to tune and calibrate, two to test."""
+    part = F.pmod(F.xxhash64("customer_id"), F.lit(10))
+    return rows.withColumn("fold", F.when(part < 6, "train").when(part == 6, "val_tune").when(part == 7, "val_calib").otherwise("test"))
+
+
+def _ranked(spark, d, scratch):
+    """Every candidate with its fold, its probability and the calibrated one; fitted on a tenth of the negatives."""
+    rows = scratch.table(_folds(_all_rows(spark, d)), "training")
+    used = rows.where("fold IN ('train', 'val_tune')").withColumn("train", F.col("fold") == "train")
+    kept = k.downsample_negatives(used, 0.1, F.concat_ws(":", F.col("customer_id").cast("string"), F.col("article_id").cast("string")))
+    model = boosting.fit_booster(kept, FEATURES + FLAGS)
+    scored = scratch.table(model.predict(rows).withColumn("p", s.elkan(F.col("p"), 0.1)), "scored")
+    fitted = calibration.fit_isotonic(scored.where("fold = 'val_calib'"), "p", "label")
+    return Table(calibration.calibrate(scored, fitted, "p"), "ranked").df
+
+
+@query("boost_rank")
+def boost_rank(spark, d):
+    """All candidates scored by boosted trees, corrected for the negatives left out, and calibrated on a fold of their own."""
+    with Scratch() as scratch:
+        return _ranked(spark, d, scratch).select("customer_id", "article_id", "fold", "label", "p", "calibrated")
+
+
+@query("ranker_slices")
+def ranker_slices(spark, d):
+    """For each fold: NDCG@12 of the trees and of popularity, and calibration error before and after the isotonic fit."""
+    with Scratch() as scratch:
+        rows = _ranked(spark, d, scratch)
+    out = None
+    for name in ("train", "val_tune", "val_calib", "test"):
+        own = rows.where(F.col("fold") == name)
+        ndcg = lambda c: k.ndcg_at_k(own.withColumn("score", F.col(c)), ["customer_id"])  # noqa: B023, E731
+        ece = lambda c, n: k.ece(own.withColumn("score", F.col(c))).select(F.col("ece").alias(n))  # noqa: B023, E731
+        row = ndcg("p").withColumnRenamed("ndcg", "ndcg_trees").join(ndcg("arti_n_txn_90d").select(F.col("ndcg").alias("ndcg_popular"))).join(ece("p", "ece_before")).join(ece("calibrated", "ece_after")).select(F.lit(name).alias("fold"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("gbt_rank")
 def gbt_rank(spark, d):
     """A ranker on the candidates' training table; folds by customer, every row scored."""
     rows = Table(_training_rows(spark, d), "training").df.withColumn("part", F.pmod(F.xxhash64("customer_id"), F.lit(10)))
-    features = ["cust_n_txn_90d", "cust_spend_90d", "arti_n_txn_90d", "cros_n_txn_90d"]
-    model = k.fit_ranker(rows.where("part < 6"), rows.where("part BETWEEN 6 AND 7"), features, ["customer_id"], depths=(3,))
+    model = k.fit_ranker(rows.where("part < 6"), rows.where("part BETWEEN 6 AND 7"), FEATURES, ["customer_id"], depths=(3,))
     fold = F.when(F.col("part") < 6, "train").when(F.col("part") < 8, "val_tune").otherwise("test")
     return model.transform(rows).select("customer_id", "article_id", fold.alias("fold"), "label", "prediction")
 
