@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.operators.joins import small_side
 from tallgrass.operators.quantile import exact_quantiles
+from tallgrass.sources.scratch import shared_dir
 
 
 def latest_features(features: DataFrame, day: str = "day_index") -> DataFrame:
@@ -17,10 +19,55 @@ def latest_features(features: DataFrame, day: str = "day_index") -> DataFrame:
     return features.join(F.broadcast(last), day)
 
 
+#: Files of a store: a request opens one of them.
+STORE_BUCKETS = 64
+
+
+class KeyedStore:
+    """Candidates with all that ranking needs, bucketed by customer: a request reads one bucket, a batch of them joins without a shuffle of the store.
+
+    The rows are hydrated when the store is written, by the code that made the features to train
+    on, so serving computes none again.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, key: str = "customer_id"):
+        self.spark, self.name, self.key = spark, name, key
+
+    @classmethod
+    def write(cls, rows: DataFrame, key: str = "customer_id", buckets: int = STORE_BUCKETS) -> KeyedStore:
+        """A store of ``rows``; one file a bucket, sorted by the key."""
+        spark, name = rows.sparkSession, f"store_{uuid.uuid4().hex}"
+        rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/tables/{name}").saveAsTable(name)
+        return cls(spark, name, key)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def of(self, key) -> DataFrame:
+        """The rows of one key."""
+        return self.rows().where(F.col(self.key) == F.lit(key))
+
+    def recommend(self, key, k: int = 12, score: str = "score", item: str = "article_id") -> DataFrame:
+        """The key's k best rows, those without a score last; none for a key that is not there."""
+        return self.of(key).orderBy(F.desc_nulls_last(score), item).limit(k)
+
+    def recommend_all(self, requests: DataFrame, k: int = 12, score: str = "score", item: str = "article_id") -> DataFrame:
+        """The k best rows of every key that is asked for, with their rank."""
+        met = self.rows().join(requests.select(self.key).distinct(), self.key)
+        w = Window.partitionBy(self.key).orderBy(F.desc_nulls_last(score), item)
+        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/tables/{self.name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def recommend(cands: DataFrame, scores: DataFrame, customer_id, k: int = 12) -> tuple[DataFrame, dict[str, float]]:
     """The customer's k best candidates, and the seconds that retrieving, hydrating and ranking them took.
 
-    A request handles one customer's few candidates, so each stage ends in the driver.
+    ``cands`` are best a store's rows, of which a request reads one bucket. It handles one
+    customer's few candidates, so each stage ends in the driver.
     """
     spark, took, start = cands.sparkSession, {}, time.perf_counter()
 
@@ -53,14 +100,17 @@ def fill_lists(own: DataFrame, category: DataFrame, best: DataFrame, customers:
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("customer_id", "article_id", "rank")
 
 
-def score_catalog(customers: DataFrame, catalog: DataFrame, score, k: int) -> DataFrame:
+def score_catalog(customers: DataFrame, catalog: DataFrame, score, k: int, salts: int = 16) -> DataFrame:
     """One stage: every listed customer against every article, k best. The catalogue goes to all tasks if it is small enough.
 
-    The comparison that the two stages are held against, for a cohort; it scores customers times articles by definition.
+    The comparison that the two stages are held against, for a cohort; it scores customers times
+    articles by definition. The k best of each part of the catalogue come first, so that what
+    meets for a customer is at most ``salts`` times k rows.
     """
-    pairs = customers.crossJoin(small_side(catalog)).withColumn("score", score)
-    w = Window.partitionBy("customer_id").orderBy(F.desc("score"), "article_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    pairs = customers.crossJoin(small_side(catalog)).withColumn("score", score).withColumn("__part", F.pmod(F.xxhash64("article_id"), F.lit(salts)))
+    by = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("score"), "article_id")
+    first = pairs.withColumn("rank", F.row_number().over(by("customer_id", "__part"))).where(F.col("rank") <= k)
+    return first.withColumn("rank", F.row_number().over(by("customer_id"))).where(F.col("rank") <= k).drop("__part")
 
 
 def latency(events: DataFrame) -> DataFrame:

@@ -303,12 +303,23 @@ def two_stage_overlap(spark, d):
 
 @query("recommend_one", f"{_LIST}, who AS (SELECT min(customer_id) AS customer_id FROM cat), sold2 AS (SELECT article_id, count(*) AS score FROM tx WHERE {_PAST} GROUP BY 1) SELECT customer_id, article_id, score FROM cat JOIN who USING (customer_id) LEFT JOIN sold2 USING (article_id) ORDER BY score DESC NULLS LAST, article_id LIMIT 12")
 def recommend_one(spark, d):
-    """One customer's request: retrieve, hydrate, rank."""
+    """One customer's request: one bucket of the store."""
+    store = _store(spark, d)
+    return store.recommend(store.rows().agg(F.min("customer_id")).first()[0])
+
+
+def _store(spark, d):
+    """The category's best sellers of every customer with what they sold lately, hydrated once and kept by customer."""
     tx = a.transactions(spark, d)
     cands = r.category_popular(tx, a.articles(spark, d), AS_OF, 365, 20).select("customer_id", "article_id")
     scores = r.before(tx, AS_OF, 90).groupBy("article_id").agg(F.count("*").alias("score"))
-    who = cands.agg(F.min("customer_id")).first()[0]
-    return serving.recommend(cands, scores, who)[0].select("customer_id", "article_id", "score")
+    return serving.KeyedStore.write(cands.join(scores, "article_id", "left").select("customer_id", "article_id", "score"))
+
+
+@query("recommend_all", f"{_LIST}, sold2 AS (SELECT article_id, count(*) AS score FROM tx WHERE {_PAST} GROUP BY 1) SELECT * FROM (SELECT customer_id, article_id, score, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC NULLS LAST, article_id) AS INTEGER) AS rank FROM cat JOIN (SELECT c_custkey AS customer_id FROM customer) USING (customer_id) LEFT JOIN sold2 USING (article_id)) WHERE rank <= 12")
+def recommend_all(spark, d):
+    """Every customer's request at once, from the same store."""
+    return _store(spark, d).recommend_all(a.customers(spark, d))
 
 
 @query("latest_features", f"WITH {TX}, x AS (SELECT article_id, {day(EPOCH)} AS day_index, count(*) AS n FROM tx GROUP BY ALL), w AS (SELECT article_id, day_index, CAST(coalesce(sum(n) OVER (PARTITION BY article_id ORDER BY day_index RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS art_n_txn_30d FROM x) SELECT * FROM w WHERE day_index = (SELECT max(day_index) FROM w)")

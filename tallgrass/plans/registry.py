@@ -17,7 +17,7 @@ DAYS = {
     "fact_grain": ["t_dat"], "fact_grain_events": ["t_dat"], "date_bounds_scan": ["t_dat"], "units_anomaly": ["t_dat"], "daily_rowcount_anomaly": ["t_dat"],
     "freshness": ["latest"], "partition_overwrite": ["t_dat"], "late_arrival_state": ["t_dat"], "replay_guard": ["t_dat"], "repurchase": ["last_day"], "article_week_panel": ["week"],
     "snapshot_time_travel": ["t_dat"], "snapshot_day_overwrite": ["t_dat"], "snapshot_partition_bounds": ["t_dat"], "late_batch_fact": ["t_dat"], "reload_with_corrections": ["t_dat"],
-    "stream_sink_replay": ["t_dat"], "mart_fact": ["t_dat"], "row_set_diff": ["t_dat"], "relative_price": ["t_dat"],
+    "stream_sink_replay": ["t_dat"], "stream_daily_totals": ["t_dat"], "mart_fact": ["t_dat"], "row_set_diff": ["t_dat"], "relative_price": ["t_dat"],
 }
 
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from functools import lru_cache
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +18,7 @@ from tallgrass.sources import csv, marts, schemas
 from tallgrass.sources.scratch import shared_dir
 from tallgrass.sources.snapshots import SnapshotTable
 from tallgrass.sources.warehouse import Warehouse
-from tallgrass.streaming import late
+from tallgrass.streaming import delta, late, totals
 
 QUERIES, SQL = {}, {}
 
@@ -200,6 +198,54 @@ def stream_sink_replay(spark, d):
     return _by_day(table.read())
 
 
+#: What the log comes to: late rows, a day of prices corrected, and rows taken back.
+_FIXED = "customer_id % 10 = 3 AND t_dat = DATE '2024-01-09'"
+_GONE = "customer_id % 10 = 4 AND t_dat = DATE '2024-01-15'"
+_FINAL = f"{EV}, fin AS (SELECT t_dat, customer_id, article_id, CASE WHEN {_FIXED} THEN price + 1 ELSE price END AS price FROM tx WHERE NOT ({_GONE}))"
+
+
+def _maintained(spark, d):
+    """Daily aggregates and features of a first load, then brought up to date by two batches of changes, the second one replayed."""
+    tx = a.event_transactions(spark, d)
+    daily, features = (SnapshotTable(spark, _path(spark)) for _ in range(2))
+    delta.load_daily(daily, tx.where(f"NOT ({_LATE})"), ["customer_id"], EVENT_EPOCH)
+    delta.load_features(features, daily, ["customer_id"], (7, 30), "cust")
+    fixed = tx.where(_FIXED)
+    late_rows, corrected = delta.signed(tx.where(_LATE), tx.where(_GONE)), delta.signed(fixed.withColumn("price", (F.col("price") + 1).cast(a.MONEY)), fixed)
+    for batch_id, changes in (("late", late_rows), ("fix", corrected), ("fix", corrected)):
+        delta.apply_changes(changes, batch_id, daily, features, ["customer_id"], (7, 30), "cust", EVENT_EPOCH)
+    return daily, features
+
+
+@query("delta_daily", f"WITH {_FINAL} SELECT customer_id, {day(EVENT_EPOCH)} AS day_index, count(*) AS n_txn, CAST(sum(price) AS DOUBLE) AS spend FROM fin GROUP BY ALL")
+def delta_daily(spark, d):
+    """Daily aggregates after late rows, corrections and deletions, folded in as signed changes."""
+    return _maintained(spark, d)[0].read().withColumn("spend", F.col("spend").cast("double"))
+
+
+@query("delta_features", f"""WITH {_FINAL}, x AS (SELECT customer_id, {day(EVENT_EPOCH)} AS day_index, count(*) AS n_txn, sum(price) AS spend FROM fin GROUP BY ALL)
+SELECT customer_id, day_index, {_windows('customer_id', 'n_txn', (7, 30), 'cust')}, {", ".join(f"CAST(coalesce(sum(spend) OVER (PARTITION BY customer_id ORDER BY day_index RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS cust_spend_{w}d" for w in (7, 30))} FROM x""")
+def delta_features(spark, d):
+    """Rolling features after the same changes: only the days in reach are written again."""
+    rows = _maintained(spark, d)[1].read()
+    return rows.withColumns({c: F.col(c).cast("double") for c in rows.columns if "spend" in c})
+
+
+@query("stream_daily_totals", "SELECT CAST(ts AS DATE) AS t_dat, event_type AS article_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS revenue FROM events GROUP BY ALL")
+def stream_daily_totals(spark, d):
+    """The events as they arrive, up to three days late, in six micro-batches: totals kept in event time."""
+    e = a.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast(a.MONEY).alias("value"), "event_id")
+    arrival = F.datediff(F.to_date("ts"), F.lit(EVENT_EPOCH).cast("date")) + F.pmod(F.xxhash64("event_id"), F.lit(4))
+    files, table = _path(spark), SnapshotTable(spark, _path(spark))
+    e = e.withColumn("turn", F.least(F.floor(arrival / 6), F.lit(5)))
+    for turn in range(6):
+        e.where(F.col("turn") == turn).drop("turn").coalesce(1).write.mode("append").parquet(files)
+    rows = spark.readStream.schema(e.drop("turn").schema).option("maxFilesPerTrigger", 1).parquet(files)
+    run = totals.daily_totals(rows, "event_type", "value").writeStream.outputMode("update").foreachBatch(totals.totals_sink(table, "event_type")).option("checkpointLocation", _path(spark)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return table.read().select(F.col("day").alias("t_dat"), F.col("event_type").alias("article_id"), "n", m.money(F.col("total")).alias("revenue"))
+
+
 @query("feature_sink", f"WITH {TX}, x AS (SELECT customer_id, {day(EPOCH)} AS day_index, count(*) AS n_txn FROM tx GROUP BY ALL), r AS (SELECT customer_id, day_index, {_windows('customer_id', 'n_txn', (7, 90), 'cust')} FROM x) SELECT * FROM r WHERE day_index BETWEEN 2000 AND 2030")
 def feature_sink(spark, d):
     """A month of features written by day, ten of its days written again, read back."""
@@ -245,34 +291,29 @@ def _raw_files(spark, d) -> str:
     return path
 
 
-@lru_cache(maxsize=4)
-def _loaded(application: str, d: str) -> tuple[str, str]:
-    """Paths of a warehouse loaded once a session: raw files read by their declared schemas; the rest loaded a second time."""
-    spark = SparkSession.active()
+def _warehouse(spark, d, dimensions=("customers", "articles"), transactions: bool = True) -> Warehouse:
+    """A warehouse with the tables that one query needs: raw files read by their declared schemas; a month and the dimensions loaded a second time."""
     w = Warehouse(spark, _path(spark), _raw_files(spark, d))
     w.create_tables()
-    w.load_transactions()
-    w.create_tables()
-    w.load_transactions(dt.date(2000, 1, 1), dt.date(2000, 1, 31))
-    for name in ("customers", "articles") * 2:
+    if transactions:
+        w.load_transactions()
+        w.create_tables()
+        w.load_transactions(dt.date(2000, 1, 1), dt.date(2000, 1, 31))
+    for name in dimensions * 2:
         w.load_dimension(name)
-    return w.path, w.data_raw
-
-
-def _warehouse(spark, d) -> Warehouse:
-    return Warehouse(spark, *_loaded(spark.sparkContext.applicationId, d))
+    return w
 
 
 @query("mart_fact", f"WITH {TX} SELECT lpad(CAST(customer_id AS VARCHAR), 10, '0') AS customer_id, lpad(CAST(article_id AS VARCHAR), 10, '0') AS article_id, t_dat, CAST(sales_channel_id AS INTEGER) AS sales_channel_id, count(*) AS qty, CAST(sum(price) AS DOUBLE) AS revenue FROM tx GROUP BY ALL")
 def mart_fact(spark, d):
     """Raw files, raw tables, staging views, fact: a month loaded twice, there once."""
-    fact = marts.build_marts(_warehouse(spark, d), ("fact_transaction",))["fact_transaction"].read()
+    fact = marts.build_marts(_warehouse(spark, d, ()), ("fact_transaction",))["fact_transaction"].read()
     return fact.select("customer_id", "article_id", "t_dat", "sales_channel_id", "qty", m.money(F.col("revenue")).alias("revenue"))
 
 
 @query("mart_dims", "SELECT 'article' AS dim, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS id, p_name AS label, p_type AS detail FROM part UNION ALL SELECT 'customer', lpad(CAST(c_custkey AS VARCHAR), 10, '0'), c_mktsegment, CAST(20 + c_custkey % 60 AS VARCHAR) FROM customer")
 def mart_dims(spark, d):
-    built = marts.build_marts(_warehouse(spark, d), ("dim_article", "dim_customer"))
+    built = marts.build_marts(_warehouse(spark, d, transactions=False), ("dim_article", "dim_customer"))
     articles = built["dim_article"].read().select(F.lit("article").alias("dim"), F.col("article_id").alias("id"), F.col("prod_name").alias("label"), F.col("product_type").alias("detail"))
     customers = built["dim_customer"].read().select(F.lit("customer"), "customer_id", "club_member_status", F.col("age").cast("string"))
     return articles.union(customers)
@@ -281,7 +322,7 @@ def mart_dims(spark, d):
 @query("staging_view_sql", f"WITH {TX} SELECT sales_channel_id, count(DISTINCT customer_id) AS n_customers, count(*) AS n FROM (SELECT CAST(sales_channel_id AS INTEGER) AS sales_channel_id, customer_id FROM tx) GROUP BY 1")
 def staging_view_sql(spark, d):
     """SQL text over the registered staging view."""
-    marts.staging(_warehouse(spark, d))
+    marts.staging(_warehouse(spark, d, ()))
     return spark.sql("SELECT sales_channel_id, count(DISTINCT customer_id) AS n_customers, count(*) AS n FROM stg_transactions GROUP BY sales_channel_id")
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallgrass import session
 from tallgrass.operators import decision, features, joins, merge, retrieval, serving
+from tallgrass.sources.scratch import shared_dir
 from tallgrass.sources import csv, marts
 from tallgrass.sources.snapshots import SnapshotTable
 from tallgrass.sources.warehouse import Warehouse
@@ -56,6 +58,34 @@ def test_request_stages(spark):
     assert [r.article_id for r in out.collect()] == [11, 10] and set(took) == {"retrieve", "hydrate", "rank"} and all(t > 0 for t in took.values())
 
 
+def test_a_request_reads_one_bucket(spark):
+    rows = spark.range(2000).select((F.col("id") % 200).alias("customer_id"), F.col("id").alias("article_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 13).alias("score"))
+    store = serving.KeyedStore.write(rows, buckets=16)
+    try:
+        own = store.recommend(5, 4)
+        by_hand = lambda c: sorted((r for r in range(2000) if r % 200 == c), key=lambda r: (r % 7 == 0, -(r % 13), r))[:4]
+        assert [r.article_id for r in own.collect()] == by_hand(5) and store.recommend(999).count() == 0
+        requests = spark.createDataFrame([(5,), (6,), (6,), (999,)], "customer_id long")
+        every = store.recommend_all(requests, 4)
+        got = {}
+        for r in every.orderBy("rank").collect():
+            got.setdefault(r.customer_id, []).append(r.article_id)
+        assert got == {5: by_hand(5), 6: by_hand(6)}
+        out, took = serving.recommend(store.rows().select("customer_id", "article_id"), spark.createDataFrame([(5, 1.0)], "article_id long, score double"), 5, 2)
+        assert out.first()["article_id"] == 5 and len(took) == 3
+        # with every other file spoilt the request is answered all the same
+        kept = store.of(5).select(F.input_file_name()).first()[0].rsplit("/", 1)[1]
+        files = list(Path(f"{shared_dir(spark)}/tables/{store.name}").glob("part-*"))
+        for f in files:
+            if f.name != kept:
+                f.write_bytes(b"spoilt")
+        assert len(files) == 16
+        spark.catalog.refreshTable(store.name)
+        assert [r.article_id for r in store.recommend(5, 4).collect()] == by_hand(5)
+    finally:
+        store.drop()
+
+
 def test_catalogue_and_overlap(spark):
     customers, catalog = spark.createDataFrame([(1, 2.0), (2, -1.0)], "customer_id int, w double"), spark.createDataFrame([(a, float(a)) for a in range(5)], "article_id int, x double")
     one = serving.score_catalog(customers, catalog, F.col("w") * F.col("x"), 2)
