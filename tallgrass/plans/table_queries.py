@@ -113,6 +113,23 @@ def snapshot_log(spark, d):
     return table.snapshots().select("snapshot_id", "operation", "parent")
 
 
+@query("snapshot_sizes", f"""WITH {EV}, d AS (SELECT t_dat, count(*) AS n, sum(price) AS s FROM tx GROUP BY 1), b AS (SELECT t_dat, count(*) AS n, sum(price) AS s FROM tx WHERE article_id = 'click' AND t_dat IN (DATE '2024-01-05', DATE '2024-01-06') GROUP BY 1),
+st AS (SELECT 1 AS id, 'create' AS operation, 0 AS n, 0 AS s UNION ALL SELECT 2, 'append', sum(n), sum(s) FROM d WHERE t_dat < DATE '2024-01-10' UNION ALL SELECT 3, 'append', sum(n), sum(s) FROM d
+UNION ALL SELECT 4, 'overwrite partitions', (SELECT sum(n) FROM d WHERE t_dat NOT IN (SELECT t_dat FROM b)) + coalesce((SELECT sum(n) FROM b), 0), (SELECT sum(s) FROM d WHERE t_dat NOT IN (SELECT t_dat FROM b)) + coalesce((SELECT sum(s) FROM b), 0))
+SELECT CAST(id AS BIGINT) AS snapshot_id, operation, CAST(n AS BIGINT) AS n, CAST(s AS DOUBLE) AS revenue FROM st""")
+def snapshot_sizes(spark, d):
+    """Every snapshot of a table's history, with the rows and the revenue that a reader of it sees."""
+    table, tx = _event_log(spark, d)
+    table.append(tx.where("t_dat < DATE '2024-01-10'"))
+    table.append(tx.where("t_dat >= DATE '2024-01-10'"))
+    table.overwrite_partitions(tx.where("t_dat IN (DATE '2024-01-05', DATE '2024-01-06') AND article_id = 'click'"))
+    seen = None
+    for k in table.snapshot_ids():
+        row = table.read(k).agg(F.count("*").alias("n"), F.coalesce(m.money(F.sum("price")), F.lit(0.0)).alias("revenue")).withColumn("snapshot_id", F.lit(k).cast("long"))
+        seen = row if seen is None else seen.unionByName(row)
+    return table.snapshots().select("snapshot_id", "operation").join(seen, "snapshot_id")
+
+
 @query("snapshot_describe", "SELECT * FROM (VALUES (0, 'id', 'bigint'), (1, 'segment', 'string'), (2, 'balance', 'decimal(12,2)')) t(pos, name, kind)")
 def snapshot_describe(spark, d):
     table = SnapshotTable(spark, _path(spark))

@@ -32,6 +32,15 @@ def test_salted_join_is_a_join(spark, how):
 def test_only_small_sides_are_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(joins.small_side(spark.range(5), 5)) and "broadcast" not in plan(joins.small_side(spark.range(6), 5))
+    wide = spark.range(5).select(F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.lit("ab"), F.lit("c")).alias("a"), F.struct(F.lit(1).alias("n"), F.lit(None).cast("map<string,int>").alias("m")).alias("t"))
+    assert "broadcast" in plan(joins.small_side(wide, 5, 6_000)) and "broadcast" not in plan(joins.small_side(wide, 5, 5_000))
+    assert "broadcast" in plan(joins.small_side(wide.limit(0), 5, 1))
+
+
+def test_equal_rows_of_a_hot_key_are_dealt_out(spark):
+    big = spark.range(0, 4000, 1, 8).select(F.lit("hot").alias("key"), F.lit(1).alias("x"))
+    order = joins.salted_join(big, spark.createDataFrame([("hot", 2)], "key string, y int"), "key", 8)
+    assert order.count() == 4000 and order._jdf.queryExecution().analyzed().toString().count("SPARK_PARTITION_ID") == 1
 
 
 def test_customer_vectors_are_the_means(spark):
