@@ -7,7 +7,7 @@ heap of candidate merges over a doubly linked list of byte symbols.
 
 Defined results: a null or empty text has no ids; every text is encoded whole,
 as a stream of pre-tokens, so memory does not grow with its length; repeated
-rows each get a row; other columns are ignored.
+rows each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

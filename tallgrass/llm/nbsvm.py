@@ -14,7 +14,8 @@ shares of all learnable labels, so it does not move with the bound.  A text alon
 Defined results: a null or empty text is scored as the empty text; a very long text is
 scored whole; equal rows of the sample are fitted in the order of ids; repeated rows
 each get a score; a null doc_id is not held out; without labels of both classes
-every score is the class share (0.5 if there is none); other columns are ignored.
+every score is the class share (0.5 if there is none); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

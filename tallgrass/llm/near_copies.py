@@ -19,6 +19,8 @@ sets themselves are compared, and two classes link if their similarity is at lea
 one pivot, in parallel.  Those near it are linked.  As Jaccard distance is a metric,
 only what lies within ``1 - SIMILARITY`` of the nearest member that is not near can link
 to one, so the rest of the near ones is done, and the others go on to the next round.
+What is left of a group after ``PIVOT_ROUNDS`` rounds is decided bucket by bucket, as only
+members of one bucket were proposed to each other, with pivots again for a large bucket.
 
 Defined results: null and blank texts are one class; a text of fewer than ``SHINGLE``
 words is one shingle; rows without id are judged by their text and give way to rows
@@ -185,19 +187,20 @@ def _against_pivot(batches):
             yield pa.RecordBatch.from_arrays([pa.array(component), pa.array(own), pa.array(pivot), pa.array(out), pa.array(reached)], ["component", "class", "pivot", "similarity", "reached"])
 
 
-def exact_links(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of the classes that link to another by 'similarity at least', within each component of (component, class, text)."""
+def _rounds(left: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, int]:
+    """Links (a, b) within each component of (component, class, text, reached), the rows that are undecided after all rounds, and the rounds."""
     found = None
-    left = scratch.table(texts.withColumn("reached", F.lit(False)), "candidates")
     for turn in range(PIVOT_ROUNDS + 1):
         large = left.groupBy("component").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > GROUP_BYTES).select("component")
-        last = turn == PIVOT_ROUNDS or large.limit(1).isEmpty()
-        small = left if last else left.join(large := scratch.table(large, "large"), "component", "left_anti")
+        done = large.limit(1).isEmpty()
+        small = left if done else left.join(large := scratch.table(large, "large"), "component", "left_anti")
         small = scratch.table(small.select("component", "class", "text").groupBy("component").applyInPandas(_stars, "a long, b long"), "stars")
         found = small if found is None else found.unionByName(small)
-        if last:  # without pivots each class points at the first of its group already
-            return connected_components(found, scratch) if turn else found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        if done:
+            return found, None, turn
         rows = left.join(large, "component", "left_semi").withColumn("part", F.pmod(F.xxhash64("class"), F.lit(PARTS)))
+        if turn == PIVOT_ROUNDS:
+            return found, rows.drop("part", "reached"), turn
         pivot = rows.groupBy("component").agg(F.min(F.struct("reached", "class")).alias("first")).select("component", F.col("first.class").alias("class"))
         pivot = rows.join(pivot, ["component", "class"]).select("component", F.col("class").alias("pivot"), F.col("text").alias("pivot_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
         pairs = rows.join(pivot, ["component", "part"]).select("component", "class", "reached", "text", "pivot", "pivot_text")
@@ -211,6 +214,26 @@ def exact_links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     raise AssertionError("the last round leaves nothing")
 
 
+def exact_links(texts: DataFrame, scratch: Scratch, buckets: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the classes that link to another by 'similarity at least', within each component of (component, class, text).
+
+    What the rounds leave of a component is decided bucket by bucket of (bucket, class), as only
+    classes that share one were proposed; so a component that chance has joined from many
+    buckets is never gathered in one task.
+    """
+    found, rest, turns = _rounds(scratch.table(texts.withColumn("reached", F.lit(False)), "candidates"), scratch)
+    if rest is None and not turns:  # without pivots each class points at the first of its group already
+        return found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if rest is not None and buckets is not None:
+        dealt = rest.drop("component").join(buckets.select(F.col("bucket").alias("component"), "class").distinct(), "class")
+        several = dealt.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        more, rest, _ = _rounds(scratch.table(dealt.join(several, "component").withColumn("reached", F.lit(False)), "candidates"), scratch)
+        found = found.unionByName(more)
+    if rest is not None:
+        found = found.unionByName(scratch.table(rest.groupBy("component").applyInPandas(_stars, "a long, b long"), "stars"))
+    return connected_components(found, scratch)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc, version (hash of the text) and group; doc is the largest long where there is no id."""
     keyed = docs.select(*_key(docs, id_col, text_col), docs[f"`{text_col}`"].cast("string").alias("text"))
@@ -224,7 +247,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         candidates = connected_components(own.join(shared, "bucket").select(F.col("class").alias("a"), F.col("low").alias("b")), scratch)
         wanted = candidates.join(classes, F.col("node") == F.col("class")).select("class", "component", "first.doc", "first.version")
         texts = keyed.join(wanted, ["doc", "version"]).select("component", "class", "text").dropDuplicates(["class"])
-        groups = exact_links(texts, scratch)
+        groups = exact_links(texts, scratch, own)
         named = marked.join(groups, marked["class"] == groups["node"], "left")
         return Table(named.select("doc", "version", F.coalesce("component", "class").alias("group")), "groups").df
 

@@ -139,3 +139,32 @@ def test_groups_of_real_documents_are_those_of_all_pairs(spark):
     for r in near_copies.near_groups(docs).collect():
         got.setdefault(r.group, set()).add(r.doc)
     assert links and {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()}
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_a_group_joined_by_chance_is_decided_bucket_by_bucket(spark, monkeypatch, rounds):
+    """All rows are one candidate group over a bucket that says nothing; the rest of the rounds gathers the members of a bucket at most."""
+    monkeypatch.setattr(near_copies, "GROUP_BYTES", 3_000)
+    monkeypatch.setattr(near_copies, "PIVOT_ROUNDS", rounds)
+    rows = _worn(9, 3, 40)
+    sizes, stars = [], near_copies._rounds
+
+    def watched(left, scratch):
+        sizes.append({r["component"]: r["count"] for r in left.groupBy("component").count().collect()})
+        return stars(left, scratch)
+
+    monkeypatch.setattr(near_copies, "_rounds", watched)
+    joined = near_copies.connected_components
+    first = []
+
+    def chance(edges, scratch=None):
+        if not first:  # the candidates: one more link to a common class joins all
+            first.append(1)
+            low = edges.agg(F.min("b").alias("b"))
+            edges = edges.unionByName(edges.select("a").distinct().join(F.broadcast(low))).unionByName(edges.select(F.col("b").alias("a")).distinct().join(F.broadcast(low)))
+        return joined(edges, scratch)
+
+    monkeypatch.setattr(near_copies, "connected_components", chance)
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(_first_of_groups(rows))
+    assert len(sizes) == 2 and len(sizes[0]) == 1 and len(sizes[1]) > 1
