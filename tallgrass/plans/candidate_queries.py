@@ -54,15 +54,20 @@ def _hydrated(spark, tx, dim, cands, kept=()):
         return f.rolling_features(daily, entity, measures, (90,), f.spine(wanted, today), prefix)
 
     customer = grain(["customer_id"], tx, cands.select("customer_id"), ["n_txn", "spend"], "cust")
-    article = grain(["article_id"], tx, cands.select("article_id"), ["n_txn"], "arti")
+    article = grain(["article_id"], tx, cands.select("article_id"), ["n_txn", "spend"], "arti")
     typed = tx.join(dim, "article_id")
     cross = grain(["customer_id", "product_type"], typed, cands.join(dim, "article_id").select("customer_id", "product_type"), ["n_txn"], "cros")
     out = f.candidate_features(cands, dim, customer, article, cross)
     truth = r.truth_pairs(tx, *TRUTH).withColumn("bought", F.lit(1))
     out = out.join(truth, ["customer_id", "article_id"], "left").withColumn("label", F.coalesce("bought", F.lit(0)))
-    return out.select("customer_id", "article_id", "product_type", *kept, *(m.money(F.col(c)).alias(c) if "spend" in c else F.col(c) for c in FEATURES), "label")
+    mean = lambda g: s.safe_ratio(m.money(F.col(f"{g}_spend_90d")), F.col(f"{g}_n_txn_90d"))
+    rates = {"type_rate": F.coalesce(s.safe_ratio(F.col("cros_n_txn_90d"), F.col("cust_n_txn_90d")), F.lit(0.0)), "price_ratio": F.coalesce(s.safe_ratio(mean("arti"), mean("cust")), F.lit(-1.0))}
+    made = [F.round(rates[c], 6).alias(c) for c in RATES if c in kept]
+    return out.select("customer_id", "article_id", "product_type", *(c for c in kept if c not in RATES), *(m.money(F.col(c)).alias(c) if "spend" in c else F.col(c) for c in FEATURES), *made, "label")
 
 
+#: The customer's share of the product type, and the article's mean price over the customer's (-1 where one has none).
+RATES = ["type_rate", "price_ratio"]
 FEATURES = ["cust_n_txn_90d", "cust_spend_90d", "arti_n_txn_90d", "cros_n_txn_90d"]
 SOURCES = ["ann", "category_pop", "covisit", "global_pop", "repurchase"]
 FLAGS = [f"from_{c}" for c in SOURCES]
@@ -79,7 +84,7 @@ def _all_rows(spark, d):
     """Candidates of all five sources with their features and a flag for each source."""
     tx, dim = Table(a.transactions(spark, d), "transactions").df, a.articles(spark, d).select("article_id", "product_type")
     flags = [F.array_contains("sources", c).cast("int").alias(name) for c, name in zip(SOURCES, FLAGS)]
-    return _hydrated(spark, tx, dim, rq._cands(spark, d, tx).select("customer_id", "article_id", *flags), FLAGS)
+    return _hydrated(spark, tx, dim, rq._cands(spark, d, tx).select("customer_id", "article_id", *flags), FLAGS + RATES)
 
 
 @query("candidate_features", _K4 + " SELECT * FROM k4")
@@ -98,10 +103,11 @@ def candidate_size(spark, d):
     return r.candidate_size(_training_rows(spark, d), 64)
 
 
-_K5 = rq._ALL + f""", cf AS (SELECT customer_id, count(*) AS n, sum(price) AS spend FROM tx WHERE {_PAST} GROUP BY 1), af AS (SELECT article_id, count(*) AS n FROM tx WHERE {_PAST} GROUP BY 1),
+_K5 = rq._ALL + f""", cf AS (SELECT customer_id, count(*) AS n, sum(price) AS spend FROM tx WHERE {_PAST} GROUP BY 1), af AS (SELECT article_id, count(*) AS n, sum(price) AS spend FROM tx WHERE {_PAST} GROUP BY 1),
 xf AS (SELECT customer_id, product_type, count(*) AS n FROM tx JOIN art USING (article_id) WHERE {_PAST} GROUP BY ALL),
 k5 AS (SELECT c.customer_id, c.article_id, art.product_type, {", ".join(f"CAST(list_contains(c.sources, '{x}') AS INTEGER) AS from_{x}" for x in SOURCES)},
- coalesce(cf.n, 0) AS cust_n_txn_90d, CAST(coalesce(cf.spend, 0) AS DOUBLE) AS cust_spend_90d, coalesce(af.n, 0) AS arti_n_txn_90d, coalesce(xf.n, 0) AS cros_n_txn_90d, CASE WHEN t.customer_id IS NULL THEN 0 ELSE 1 END AS label
+ coalesce(cf.n, 0) AS cust_n_txn_90d, CAST(coalesce(cf.spend, 0) AS DOUBLE) AS cust_spend_90d, coalesce(af.n, 0) AS arti_n_txn_90d, coalesce(xf.n, 0) AS cros_n_txn_90d,
+ round(coalesce(CAST(xf.n AS DOUBLE) / cf.n, 0), 6) AS type_rate, round(coalesce(CAST(af.spend AS DOUBLE) / af.n / (CAST(cf.spend AS DOUBLE) / cf.n), -1), 6) AS price_ratio, CASE WHEN t.customer_id IS NULL THEN 0 ELSE 1 END AS label
  FROM cands c JOIN art USING (article_id) LEFT JOIN cf ON cf.customer_id = c.customer_id LEFT JOIN af ON af.article_id = c.article_id LEFT JOIN xf ON xf.customer_id = c.customer_id AND xf.product_type = art.product_type LEFT JOIN truth t ON t.customer_id = c.customer_id AND t.article_id = c.article_id)"""
 
 
@@ -114,7 +120,7 @@ def candidate_features_all(spark, d):
 _QS = ", ".join(f"round(quantile_cont(x, {i}/32.0::DOUBLE), 6) AS q{i}" for i in range(0, 32))
 
 
-@query("boost_first_split", _K5 + f""", lo AS (UNPIVOT (SELECT label, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES + FLAGS)} FROM k5) ON {", ".join(FEATURES + FLAGS)} INTO NAME feature VALUE x),
+@query("boost_first_split", _K5 + f""", lo AS (UNPIVOT (SELECT label, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES + FLAGS + RATES)} FROM k5) ON {", ".join(FEATURES + FLAGS + RATES)} INTO NAME feature VALUE x),
 qs AS (SELECT feature, {_QS} FROM lo GROUP BY feature), es AS (SELECT DISTINCT feature, e FROM (SELECT feature, q0, unnest([{", ".join(f"q{i}" for i in range(1, 32))}]) AS e FROM qs) WHERE e <> q0),
 pm AS (SELECT avg(label) AS p FROM k5), sp AS (SELECT feature, e, count(*) FILTER (x < e) AS n_left, count(*) AS n, sum(p - label) FILTER (x < e) AS gl, sum(p - label) AS g, p * (1 - p) AS h FROM lo JOIN es USING (feature), pm GROUP BY feature, e, p),
 ga AS (SELECT feature, e AS edge, n_left, gl * gl / (n_left * h + 1) + (g - gl) * (g - gl) / ((n - n_left) * h + 1) - g * g / (n * h + 1) AS gain FROM sp WHERE n_left >= 20 AND n - n_left >= 20)
@@ -123,7 +129,7 @@ def boost_first_split(spark, d):
     """The best first split of each feature over all candidates: its edge, the rows below it, and its gain."""
     with Scratch() as scratch:
         rows = scratch.table(_all_rows(spark, d), "training")
-        return boosting.first_splits(rows, FEATURES + FLAGS)
+        return boosting.first_splits(rows, FEATURES + FLAGS + RATES)
 
 
 def _folds(rows):
@@ -137,7 +143,7 @@ def _ranked(spark, d, scratch):
     rows = scratch.table(_folds(_all_rows(spark, d)), "training")
     used = rows.where("fold IN ('train', 'val_tune')").withColumn("train", F.col("fold") == "train")
     kept = k.downsample_negatives(used, 0.1, F.concat_ws(":", F.col("customer_id").cast("string"), F.col("article_id").cast("string")))
-    model = boosting.fit_booster(kept, FEATURES + FLAGS)
+    model = boosting.fit_booster(kept, FEATURES + FLAGS + RATES)
     scored = scratch.table(model.predict(rows).withColumn("p", s.elkan(F.col("p"), 0.1)), "scored")
     fitted = calibration.fit_isotonic(scored.where("fold = 'val_calib'"), "p", "label")
     return Table(calibration.calibrate(scored, fitted, "p"), "ranked").df
