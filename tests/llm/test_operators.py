@@ -325,7 +325,7 @@ def test_sql_of_the_operators(spark):
     from tallgrass.llm import registry
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     queries = registry.queries()
     for name, sql in registry.oracle_sql().items():
