@@ -36,6 +36,28 @@ def test_vector_topk_by_blocks(spark, monkeypatch):
     assert retrieval.vector_topk(queries.limit(0), items, 3).count() == 0 and retrieval.vector_topk(queries, items.limit(0), 3).count() == 0
 
 
+def test_vector_topk_reads_the_items_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 5)
+    monkeypatch.setattr(retrieval, "PAIRS", 1)
+    v = np.random.default_rng(3).normal(size=(40, 3))
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, v array<double>")
+    plan = retrieval.vector_topk(items.withColumnRenamed("item_id", "q_id"), items, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "Window" not in plan  # no copy of the items a block of queries, no second top-k
+
+
+def test_nearest_tells_scores_apart_that_single_precision_does_not():
+    rng = np.random.default_rng(4)
+    v, q = np.full((900, 8), 30.0), np.full((3, 8), 40.0)
+    v[:, 0] += rng.permutation(900) * 2.0**-20  # scores differ by 4e-5 of 9,600
+    v[500:520] = v[499]
+    found = retrieval.Nearest(np.arange(3), q, 7)
+    for part in np.array_split(rng.permutation(900), 4):
+        found.meet(part, v[part])
+    want = sorted((-round(float(40 * x.sum()), 6), i) for i, x in enumerate(v))[:7]
+    _, item, score, rank = found.rows()
+    assert item.reshape(3, 7).tolist() == [[i for _, i in want]] * 3 and score[:7].tolist() == [-s for s, _ in want] and rank[:7].tolist() == list(range(1, 8))
+
+
 def test_running_total_of_one_hot_key_and_of_distinct_ones(spark):
     df = spark.createDataFrame([(1.0, k, k % 5) for k in range(300)], "ratio double, id int, cost int")
     got = {r.id: r.t for r in running_total(df, [F.desc("ratio"), F.asc("id")], F.col("cost"), "t").collect()}
