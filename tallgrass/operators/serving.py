@@ -113,6 +113,28 @@ def score_catalog(customers: DataFrame, catalog: DataFrame, score, k: int, salts
     return first.withColumn("rank", F.row_number().over(by("customer_id"))).where(F.col("rank") <= k).drop("__part")
 
 
+def score_catalog_by_taste(taste: DataFrame, customers: DataFrame, catalog: DataFrame, score, k: int) -> DataFrame:
+    """(customer_id, article_id, score, rank): ``score_catalog`` where the score of an article depends on the customer only through ``n_own``, and does not fall with it.
+
+    ``taste`` (customer_id, product_type, n_own > 0) says how much of a type a customer owns, else it
+    is 0. Customers who own as much of a type rank its articles alike, so each article is scored
+    once for every amount that somebody owns of its type, and the k best of each (type, amount) are
+    kept. Of the types that a customer does not own only the k best of the whole catalogue at
+    amount 0 can be among the customer's: one of them that is of an own type scores no less than
+    at 0. So a customer meets k rows for each own type and k more, not the catalogue.
+    """
+    order = [F.desc("score"), "article_id"]
+    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k).drop("rank")
+    own = taste.where("product_type IS NOT NULL AND n_own > 0")
+    classes = own.select("product_type", "n_own").distinct()
+    listed = best(catalog.join(small_side(classes), "product_type").withColumn("score", score).select("product_type", "n_own", "article_id", "score"), "product_type", "n_own")
+    first = catalog.withColumn("n_own", F.lit(0).cast("long")).withColumn("score", score).orderBy(*order).limit(k).select("article_id", "score")
+    met = own.join(small_side(listed), ["product_type", "n_own"]).join(customers.select("customer_id").distinct(), "customer_id", "left_semi").select("customer_id", "article_id", "score")
+    every = met.unionByName(customers.select("customer_id").crossJoin(F.broadcast(first)))
+    once = every.groupBy("customer_id", "article_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("customer_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
 def latency(events: DataFrame) -> DataFrame:
     """Exact p50, p95 and p99 of (stage, ms), by range counting."""
     return exact_quantiles(events, ["stage"], "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, 6)

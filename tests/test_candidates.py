@@ -102,6 +102,19 @@ def test_catalogue_and_overlap(spark):
     assert serving.two_stage_overlap(one, one.where("article_id > 0")).first().overlap == 0.75
 
 
+def test_catalogue_by_taste_equals_the_whole_catalogue(spark):
+    rng = np.random.default_rng(6)
+    catalog = spark.createDataFrame([(a, None if a % 11 == 0 else f"t{rng.integers(5)}", int(rng.integers(4)) or None) for a in range(90)], "article_id long, product_type string, n_sold long").cache()
+    customers = spark.createDataFrame([(c,) for c in range(12)], "customer_id long")
+    taste = spark.createDataFrame([(c, f"t{t}", int(rng.integers(1, 4))) for c in range(14) for t in range(6) if c and rng.random() < 0.5] + [(3, None, 9)], "customer_id long, product_type string, n_own long").cache()
+    score = F.round(F.log1p(F.coalesce("n_own", F.lit(0))) + F.log1p(F.coalesce("n_sold", F.lit(0))), 1)  # many ties
+    got = serving.score_catalog_by_taste(taste, customers, catalog, score, 7).select("customer_id", "article_id", "score", "rank")
+    pairs = customers.crossJoin(catalog).join(taste, ["customer_id", "product_type"], "left").withColumn("score", score)
+    want = retrieval.top_k(pairs, ["customer_id"], [F.desc("score"), "article_id"], 7).select("customer_id", "article_id", "score", "rank")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 84
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_features_of_the_day(spark):
     tx = _tx(spark, [(0, 1, 10, "2.00"), (5, 1, 10, "4.00"), (5, 2, 10, "4.00"), (9, 1, 11, "8.00")])
     day = spark.createDataFrame([(5,)], "day_index int")
