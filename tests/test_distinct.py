@@ -33,3 +33,10 @@ def test_rolling_distinct_on_a_spine(spark):
     got = rolling_distinct(tx, ["customer_id"], "article_id", (7,), spark.createDataFrame(spine, "customer_id string, day_index int"), epoch="2020-01-01")
     assert sorted(map(tuple, got.collect())) == _brute_distinct(rows, ["customer_id"], "article_id", set(spine), (7,))
     assert rolling_distinct(tx.limit(0), ["customer_id"], "article_id").count() == 0
+
+
+def test_rolling_distinct_shuffles_the_log_once(spark):
+    tx = spark.createDataFrame([("a", 1, dt.date(2020, 1, 1))], "customer_id string, article_id int, t_dat date")
+    plan = rolling_distinct(tx, ["customer_id"], "article_id")._jdf.queryExecution().sparkPlan().toString()
+    physical = rolling_distinct(tx, ["customer_id"], "article_id")._jdf.queryExecution().executedPlan().toString()
+    assert physical.split("== Initial Plan ==")[-1].count("Exchange") == 1 and "Union" not in plan
