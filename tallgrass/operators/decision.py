@@ -193,11 +193,17 @@ def guardrails(decisions: DataFrame, catalog: DataFrame, thresholds: dict[str, f
 
 
 def frontier(df: DataFrame, weights, k: int = 1) -> DataFrame:
-    """Mean relevance and revenue of each group's best item as the weight of price grows."""
-    swept = df.withColumn("weight", F.explode(F.array(*(F.lit(float(w)) for w in weights))))
-    score = F.round((1 - F.col("weight")) * F.col("relevance") + F.col("weight") * F.col("revenue"), 9)
-    w = Window.partitionBy("weight", "group_id").orderBy(F.desc("score"), "article_id")
-    best = swept.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Mean relevance and revenue of each group's best item as the weight of price grows.
+
+    Rows are dealt by group once and ranked there for one weight after the other; only the k
+    best of a weight become a row of it.
+    """
+    chosen = []
+    for i, x in enumerate(map(float, weights)):
+        score = F.round((1 - F.lit(x)) * F.col("relevance") + F.lit(x) * F.col("revenue"), 9)
+        df = df.withColumn(f"__rank_{i}", F.row_number().over(Window.partitionBy("group_id").orderBy(score.desc(), "article_id")))
+        chosen.append(F.when(F.col(f"__rank_{i}") <= k, F.lit(x)))
+    best = df.select("relevance", "revenue", F.explode(F.array_compact(F.array(*chosen))).alias("weight"))
     return best.groupBy("weight").agg(F.count("*").alias("n"), F.round(F.avg("relevance"), 6).alias("relevance"), F.round(F.avg("revenue"), 6).alias("revenue"))
 
 

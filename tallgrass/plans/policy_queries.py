@@ -29,9 +29,11 @@ _HASH = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
 _SCORED = f"sc AS (SELECT l_orderkey AS group_id, l_partkey AS article_id, round({_HASH.format('CAST(l_orderkey AS VARCHAR) || chr(58) || CAST(l_partkey AS VARCHAR)')} / 4294967296.0, 4) AS score, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS label FROM lineitem GROUP BY 1, 2)"
 
 
-def _scored(spark, d):
+def _scored(spark, d, dealt=()):
+    """Scored lines; ``dealt`` names columns of the lines by whose values they are dealt, if what follows needs them together."""
     key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"))
-    rows = a.table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"))
+    lines = a.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    rows = (lines.repartition(*dealt) if dealt else lines).groupBy("l_orderkey", "l_partkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"))
     return rows.select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("article_id"), F.round(s.hash_uniform(key), 4).alias("score"), "label")
 
 
@@ -151,7 +153,7 @@ def guardrails(spark, d):
 
 @query("frontier", f"WITH {_SCORED}, f AS (SELECT group_id, article_id, score AS relevance, round(1 - score * score, 6) AS revenue FROM sc), w AS (SELECT *, round((1 - weight) * relevance + weight * revenue, 9) AS s FROM f, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS weight)), b AS (SELECT *, row_number() OVER (PARTITION BY weight, group_id ORDER BY s DESC, article_id) AS rk FROM w) SELECT weight, count(*) AS n, round(avg(relevance), 6) AS relevance, round(avg(revenue), 6) AS revenue FROM b WHERE rk = 1 GROUP BY 1")
 def frontier(spark, d):
-    rows = _scored(spark, d).select("group_id", "article_id", F.col("score").alias("relevance"), F.round(1 - F.col("score") * F.col("score"), 6).alias("revenue"))
+    rows = _scored(spark, d, ("l_orderkey",)).select("group_id", "article_id", F.col("score").alias("relevance"), F.round(1 - F.col("score") * F.col("score"), 6).alias("revenue"))
     return p.frontier(rows, (0, 0.25, 0.5, 0.75, 1))
 
 

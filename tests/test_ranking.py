@@ -139,3 +139,15 @@ def test_oracles_on_small_tables(spark):
         cols = sorted(df.columns)
         text = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
         assert text(df.select(*cols).collect()) == text(con.sql(f"SELECT {', '.join(cols)} FROM ({sql[name]})").fetchall()), name
+
+
+def test_frontier_deals_each_row_once(spark):
+    rows = [(g, x, round((g * 7 + x * 13) % 10 / 10, 4), round((g * 3 + x * 5) % 4 / 4, 4)) for g in range(30) for x in range(6)]
+    df = spark.createDataFrame(rows, "group_id long, article_id long, relevance double, revenue double")
+    for k in (1, 2):
+        got = decision.frontier(df, (0, 0.5, 1), k)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(group_id") == 1 and plan.count("hashpartitioning(") == 2
+        for r in got.collect():
+            best = [y for g in range(30) for y in sorted((x for x in rows if x[0] == g), key=lambda x: (-round((1 - r.weight) * x[2] + r.weight * x[3], 9), x[1]))[:k]]
+            assert r.n == len(best) and abs(r.relevance - sum(x[2] for x in best) / len(best)) < 1e-6 and abs(r.revenue - sum(x[3] for x in best) / len(best)) < 1e-6
