@@ -91,13 +91,19 @@ def submission(ranked: DataFrame, customers: DataFrame, fallback: list, k: int =
 def fill_lists(own: DataFrame, category: DataFrame, best: DataFrame, customers: DataFrame, k: int = 12) -> DataFrame:
     """(customer_id, article_id, rank): k articles for every customer: own ones, then the category's, then best sellers, each once.
 
-    ``best`` (article_id, rank) holds at least k rows of a short list and goes to all tasks.
+    Each list ranks its articles from 1 without gaps, so none beyond its k-th can be among a
+    customer's k. Own and category rows meet as one array a customer; of ``best`` (article_id,
+    rank), a short list, the first k go to all tasks as one array, so no row is made of them for a
+    customer before the k are known.
     """
-    rows = own.select("customer_id", "article_id", F.lit(0).alias("tier"), "rank").unionByName(category.select("customer_id", "article_id", F.lit(1).alias("tier"), "rank"))
-    everyone = customers.select("customer_id").crossJoin(F.broadcast(best.select("article_id", "rank"))).select("customer_id", "article_id", F.lit(2).alias("tier"), "rank")
-    once = rows.unionByName(everyone).groupBy("customer_id", "article_id").agg(F.min(F.struct("tier", "rank")).alias("place"))
-    w = Window.partitionBy("customer_id").orderBy("place", "article_id")
-    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("customer_id", "article_id", "rank")
+    place = lambda df, tier: df.where(F.col("rank") <= k).select("customer_id", F.struct(F.lit(tier).alias("tier"), F.col("rank").cast("int").alias("rank"), F.col("article_id").cast("long").alias("article_id")).alias("x"))
+    rows = place(own, 0).unionByName(place(category, 1))
+    everyone = customers.select("customer_id", F.lit(None).cast(rows.schema["x"].dataType).alias("x"))
+    lists = rows.unionByName(everyone).groupBy("customer_id").agg(F.sort_array(F.collect_list("x")).alias("x"), F.max(F.col("x").isNull()).alias("listed"))
+    last = best.where(F.col("rank") <= k).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("article_id").cast("long").alias("article_id")))).alias("last"))
+    ids = F.concat("x.article_id", F.when(F.col("listed"), F.col("last.article_id")).otherwise(F.array().cast("array<long>")))
+    first = lists.crossJoin(F.broadcast(last)).select("customer_id", F.posexplode(F.slice(F.array_distinct(ids), 1, k)).alias("rank", "article_id"))
+    return first.select("customer_id", F.col("article_id").cast(own.schema["article_id"].dataType).alias("article_id"), (F.col("rank") + 1).alias("rank"))
 
 
 def score_catalog(customers: DataFrame, catalog: DataFrame, score, k: int, salts: int = 16) -> DataFrame:

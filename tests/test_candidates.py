@@ -60,6 +60,23 @@ def test_lists_are_filled_in_order(spark):
     assert lists == {1: "10 20 30 90", 2: "30 90 20 91", 3: "90 20 91 92"}
 
 
+def test_lists_make_no_row_of_a_best_seller_before_the_k_are_known(spark):
+    rng = np.random.default_rng(3)
+    pairs = lambda rows: spark.createDataFrame(rows, "customer_id long, article_id long, rank int")
+    lists = lambda n: {c: [int(x) for x in rng.permutation(30)[: rng.integers(0, n)]] for c in range(1, 40)}
+    own, category, last = lists(8), lists(12), [int(x) for x in rng.permutation(30)[:20]]
+    rows = lambda found: pairs([(c, x, i + 1) for c, xs in found.items() for i, x in enumerate(xs)])
+    best = spark.createDataFrame([(x, i + 1) for i, x in enumerate(last)], "article_id long, rank int")
+    got = serving.fill_lists(rows(own), rows(category), best, spark.range(1, 51).withColumnRenamed("id", "customer_id"), 6)
+    want = {c: list(dict.fromkeys(own.get(c, []) + category.get(c, []) + last))[:6] for c in range(1, 51)}
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.customer_id, r["rank"])):
+        found.setdefault(r.customer_id, []).append(r.article_id)
+    assert found == want
+    # what meets by customer is not grouped by article, nor sorted to be grouped
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_request_stages(spark):
     cands = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10)], "customer_id int, article_id int")
     scores = spark.createDataFrame([(10, 0.1), (11, 0.9)], "article_id int, score double")
