@@ -15,6 +15,8 @@ from tallgrass.sources.scratch import Scratch, Table
 
 #: Vectors in a block of queries and in a block of items, some 4 MB at 128 floats each; blocks of items that a task reads, and tasks at least, if there are as many pairs of blocks.
 QUERY_ROWS, ITEM_ROWS, STRIP_BLOCKS, PAIRS = 8_192, 8_192, 32, 64
+#: Own articles whose neighbours a task sums, some 40 each.
+BASKET_ROWS = 20_000
 
 
 def top_k(df: DataFrame, by: list[str], order, k: int, rank: str = "rank") -> DataFrame:
@@ -73,8 +75,15 @@ def covisit_pairs(tx: DataFrame, as_of, lookback: int = 90, window: int = 7, hal
 
 
 def covisit_candidates(tx: DataFrame, pairs: DataFrame, as_of, lookback: int = 90, max_basket: int = 50, n: int = 60) -> DataFrame:
-    own = recent_basket(tx, as_of, lookback, max_basket).select("customer_id", F.col("article_id").alias("a")).distinct()
-    score = own.join(pairs.select("a", F.col("b").alias("article_id"), "weight"), "a").groupBy("customer_id", "article_id").agg(F.sum(F.col("weight").cast("decimal(18,6)")).cast("double").alias("score"))
+    """The neighbours of each customer's own articles by summed weight.
+
+    Scores are summed and ranked where the customer's rows meet, in as many tasks as the baskets
+    need: a task has ``BASKET_ROWS`` of them, and their neighbours, whatever the input.
+    """
+    own = Table(recent_basket(tx, as_of, lookback, max_basket).select("customer_id", F.col("article_id").alias("a")).distinct(), "baskets").df
+    tasks = max(1, -(-own.count() // BASKET_ROWS))
+    met = own.join(pairs.select("a", F.col("b").alias("article_id"), "weight"), "a").select("customer_id", "article_id", F.col("weight").cast("decimal(18,6)").alias("weight"))
+    score = met.repartition(tasks, "customer_id").groupBy("customer_id", "article_id").agg(F.sum("weight").cast("double").alias("score"))
     return top_k(score, ["customer_id"], [F.desc("score"), "article_id"], n)
 
 

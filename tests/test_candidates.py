@@ -77,6 +77,25 @@ def test_lists_make_no_row_of_a_best_seller_before_the_k_are_known(spark):
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_neighbours_are_summed_in_as_many_tasks_as_the_baskets_need(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BASKET_ROWS", 10)
+    tx = _tx(spark, [(d % 28, d % 11, d % 17, "1.00") for d in range(150)])
+    got = retrieval.covisit_candidates(tx, retrieval.covisit_pairs(tx, "2020-02-01"), "2020-02-01", n=5)
+    assert got.rdd.getNumPartitions() >= 10
+    pairs = {}
+    for r in retrieval.covisit_pairs(tx, "2020-02-01").collect():
+        pairs.setdefault(r.a, []).append((r.b, r.weight))
+    want = {}
+    for c, x in {(r.customer_id, r.article_id) for r in tx.collect()}:
+        for b, w in pairs.get(x, []):
+            want.setdefault(c, {}).setdefault(b, []).append(w)
+    want = {c: [b for b, _ in sorted(((b, sum(w)) for b, w in s.items()), key=lambda x: (-round(x[1], 6), x[0]))[:5]] for c, s in want.items()}
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.customer_id, r["rank"])):
+        found.setdefault(r.customer_id, []).append(r.article_id)
+    assert found == want
+
+
 def test_request_stages(spark):
     cands = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10)], "customer_id int, article_id int")
     scores = spark.createDataFrame([(10, 0.1), (11, 0.9)], "article_id int, score double")
