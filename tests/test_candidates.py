@@ -96,6 +96,24 @@ def test_neighbours_are_summed_in_as_many_tasks_as_the_baskets_need(spark, monke
     assert found == want
 
 
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, rng.random(6).tolist()) for i in range(40)], "item_id long, v array<double>")
+    kinds = [rng.random(6).tolist() for _ in range(7)]
+    queries = spark.createDataFrame([(i, kinds[i % 7]) for i in range(60)], "q_id long, v array<double>")
+    whole, asked, plain = retrieval.vector_topk(queries, items, 5), [], retrieval.vector_topk
+    monkeypatch.setattr(retrieval, "vector_topk", lambda q, *x: asked.append(q.count()) or plain(q, *x))
+    got = retrieval.shared_topk(queries, items, 5)
+    assert asked == [7] and sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() == 300
+
+
+def test_sources_are_joined_without_sets(spark):
+    pairs = lambda *rows: spark.createDataFrame(rows, "customer_id long, article_id long")
+    got = retrieval.union_candidates(b=pairs((1, 1), (1, 1), (2, 1)), a=pairs((1, 1), (3, 3)), c=pairs((1, 1), (2, 1)))
+    assert {(r.customer_id, r.article_id): r.sources for r in got.collect()} == {(1, 1): ["a", "b", "c"], (2, 1): ["b", "c"], (3, 3): ["a"]}
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_request_stages(spark):
     cands = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10)], "customer_id int, article_id int")
     scores = spark.createDataFrame([(10, 0.1), (11, 0.9)], "article_id int, score double")
