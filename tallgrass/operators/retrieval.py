@@ -255,6 +255,7 @@ def source_contributions(cands: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def keep_sources(contributions: DataFrame, weakest: str) -> DataFrame:
-    """Sources whose marginal hits per slot reach those of the named heuristic."""
+    """Sources whose marginal hits per slot reach those of the named heuristic; the contributions, a row for each source, are written once."""
+    contributions = Table(contributions, "contributions").df
     bar = contributions.where(F.col("source") == weakest).select(F.col("per_slot").alias("bar"))
     return contributions.join(F.broadcast(bar)).where(F.col("per_slot") >= F.col("bar")).select("source", "per_slot")

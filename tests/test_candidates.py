@@ -114,6 +114,13 @@ def test_sources_are_joined_without_sets(spark):
     assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_contributions_are_computed_once(spark):
+    rows = spark.createDataFrame([("a", 0.1), ("b", 0.3), ("b", 0.3), ("c", 0.2)], "source string, x double").groupBy("source").agg(F.max("x").alias("per_slot"))
+    got = retrieval.keep_sources(rows, "c")
+    assert {r.source for r in got.collect()} == {"b", "c"}
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_request_stages(spark):
     cands = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10)], "customer_id int, article_id int")
     scores = spark.createDataFrame([(10, 0.1), (11, 0.9)], "article_id int, score double")
