@@ -151,3 +151,15 @@ def test_frontier_deals_each_row_once(spark):
         for r in got.collect():
             best = [y for g in range(30) for y in sorted((x for x in rows if x[0] == g), key=lambda x: (-round((1 - r.weight) * x[2] + r.weight * x[3], 9), x[1]))[:k]]
             assert r.n == len(best) and abs(r.relevance - sum(x[2] for x in best) / len(best)) < 1e-6 and abs(r.revenue - sum(x[3] for x in best) / len(best)) < 1e-6
+
+
+def test_a_single_depth_is_not_judged(spark, monkeypatch):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    def judged(*_):
+        raise AssertionError("nothing to choose from")
+
+    monkeypatch.setattr(BinaryClassificationEvaluator, "evaluate", judged)
+    df = spark.createDataFrame([(i, float(i % 5), int(i % 5 > 2)) for i in range(60)], "k long, x double, label int")
+    model = ranking.fit_ranker(df.where("k % 2 = 0"), df.where("k % 2 = 1"), ["x"], ["k"], depths=(2,))
+    assert {(r.label, r.prediction) for r in model.transform(df).collect()} == {(0, 0.0), (1, 1.0)}
