@@ -29,11 +29,15 @@ _HASH = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
 _SCORED = f"sc AS (SELECT l_orderkey AS group_id, l_partkey AS article_id, round({_HASH.format('CAST(l_orderkey AS VARCHAR) || chr(58) || CAST(l_partkey AS VARCHAR)')} / 4294967296.0, 4) AS score, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS label FROM lineitem GROUP BY 1, 2)"
 
 
+#: Lines in a task where they are dealt by a column.
+DEALT_ROWS = 250_000
+
+
 def _scored(spark, d, dealt=()):
     """Scored lines; ``dealt`` names columns of the lines by whose values they are dealt, if what follows needs them together."""
     key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"))
     lines = a.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
-    rows = (lines.repartition(*dealt) if dealt else lines).groupBy("l_orderkey", "l_partkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"))
+    rows = (lines.repartition(max(1, -(-lines.count() // DEALT_ROWS)), *dealt) if dealt else lines).groupBy("l_orderkey", "l_partkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"))
     return rows.select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("article_id"), F.round(s.hash_uniform(key), 4).alias("score"), "label")
 
 
