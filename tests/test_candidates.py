@@ -280,3 +280,32 @@ def test_session_settings(spark):
     assert session.get_spark("again", master=spark.sparkContext.master) is not None
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC" and spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "dynamic"
     spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
+def test_narrow_vectors_are_searched_by_boxes(spark, monkeypatch):
+    import numpy as np
+
+    from tallgrass.operators import ranking
+    from tallgrass.operators import retrieval as r
+
+    rng = np.random.default_rng(3)
+    items, queries = np.round(rng.normal(size=(4_000, 4)), 2).astype(np.float32), (1 + 0.3 * rng.normal(size=(300, 4))).astype(np.float32)
+    items[1_000:1_400] = items[0]  # ties by id
+    exact = np.round(queries.astype(float) @ items.astype(float).T, 6) + 0.0
+    wanted = {(q, i, k + 1) for q in range(300) for k, i in enumerate(np.lexsort((np.arange(4_000), -exact[q]))[:5].tolist())}
+    frame = lambda x, name: spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], f"{name} long, v array<float>")
+    for rows in (8_192, 64):
+        monkeypatch.setattr(r, "ITEM_ROWS", rows)
+        found = r.vector_topk(frame(queries, "q_id"), frame(items, "item_id"), 5).collect()
+        assert {(x.q_id, x.item_id, x.rank) for x in found} == wanted
+    seen, near = [], r.Nearest(np.arange(300), queries, 5, True)
+    against = r.Nearest._against
+    monkeypatch.setattr(r.Nearest, "_against", lambda self, lo, margin, ids, *x: (seen.append(len(ids) * len(self.ids[lo : lo + 128])), against(self, lo, margin, ids, *x)))
+    order = r._halved(items, r.BOX)
+    near.meet(order, items[order])
+    q, i, _, rank = near.rows()
+    assert {*zip(q.tolist(), i.tolist(), rank.tolist())} == wanted and sum(seen) < 0.5 * 300 * 4_000
+    # more blocks of factors where there are more counts
+    monkeypatch.setattr(ranking, "BLOCK_COUNTS", 20)
+    tx = spark.createDataFrame([(c, c * 7 % 90 + k) for c in range(60) for k in range(5)], "customer_id long, article_id long")
+    assert ranking.factorise(tx, 4).userFactors.rdd.getNumPartitions() == 15
