@@ -163,3 +163,11 @@ def test_a_single_depth_is_not_judged(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(i % 5), int(i % 5 > 2)) for i in range(60)], "k long, x double, label int")
     model = ranking.fit_ranker(df.where("k % 2 = 0"), df.where("k % 2 = 1"), ["x"], ["k"], depths=(2,))
     assert {(r.label, r.prediction) for r in model.transform(df).collect()} == {(0, 0.0), (1, 1.0)}
+
+
+def test_metrics_of_all_folds_in_one_pass(spark):
+    rows = [(f, 10 * i + g, a, (a * 7 + g) % 5 / 5, int((a + g + i) % 3 == 0)) for i, f in enumerate(("a", "b", "c")) for g in range(4) for a in range(9)]
+    df = spark.createDataFrame(rows, "fold string, customer_id long, article_id long, score double, label int")
+    for metric in (lambda x, **more: ranking.ndcg_at_k(x, ["customer_id"], 3, **more), lambda x, **more: ranking.ece(x, **more)):
+        each = {f: tuple(metric(df.where(F.col("fold") == f)).first()) for f in ("a", "b", "c")}
+        assert {r[0]: tuple(r[1:]) for r in metric(df, within=("fold",)).collect()} == each
