@@ -309,3 +309,21 @@ def test_narrow_vectors_are_searched_by_boxes(spark, monkeypatch):
     monkeypatch.setattr(ranking, "BLOCK_COUNTS", 20)
     tx = spark.createDataFrame([(c, c * 7 % 90 + k) for c in range(60) for k in range(5)], "customer_id long, article_id long")
     assert ranking.factorise(tx, 4).userFactors.rdd.getNumPartitions() == 15
+
+
+def test_candidates_meet_the_customers_side_once(spark):
+    import datetime as dt
+
+    from tallgrass.plans import candidate_queries as q
+
+    day = dt.date(2001, 5, 1)
+    tx = spark.createDataFrame([(day, 1, 10, 2), (day, 1, 10, 4), (day, 1, 11, 3), (day, 2, 12, 5), (dt.date(2001, 7, 1), 1, 12, 1), (dt.date(2001, 7, 1), 3, 13, 1)], "t_dat date, customer_id long, article_id long, price int").withColumn("price", F.col("price").cast("decimal(12,2)"))
+    dim = spark.createDataFrame([(10, "a"), (11, "a"), (12, None), (13, "b")], "article_id long, product_type string")
+    cands = spark.createDataFrame([(1, 10), (1, 12), (1, 13), (2, 12), (3, 13), (4, 11), (None, 11), (4, 99)], "customer_id long, article_id long")
+    df = q._hydrated(spark, tx, dim, cands)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    columns = ["cust_n_txn_90d", "cust_spend_90d", "arti_n_txn_90d", "cros_n_txn_90d", "label"]
+    assert {(r.customer_id, r.article_id): tuple(r[c] for c in columns) for r in df.collect()} == {
+        (1, 10): (3, 9.0, 2, 3, 0), (1, 12): (3, 9.0, 1, 0, 1), (1, 13): (3, 9.0, 0, 0, 0), (2, 12): (1, 5.0, 1, 0, 0),
+        (3, 13): (0, 0.0, 0, 0, 1), (4, 11): (0, 0.0, 1, 0, 0), (None, 11): (0, 0.0, 1, 0, 0),
+    }
